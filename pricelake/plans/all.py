@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("core",)
+MODULES = ("core", "tables")
 for _name in MODULES:
     importlib.import_module(f"pricelake.plans.{_name}")

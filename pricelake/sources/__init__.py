@@ -1 +1 @@
-
+"""Readers and writers: feed payloads, price history, archives, exports."""
