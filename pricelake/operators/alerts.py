@@ -38,7 +38,8 @@ def alert_deviation(
     """Price moved more than the threshold since the previous tick."""
     seen = join_thresholds(with_previous(consensus, ["asset"], "tick", "price", size), thresholds)
     now, before = F.col("price").cast("double"), F.col("prev").cast("double")
-    moved = F.when(before != 0, F.abs((now - before) / before) * 100).when(now != 0, F.lit(float("inf")))
+    moved = F.when(before != 0, F.abs((now - before) / before) * 100).when(
+        before.isNotNull() & (now != 0), F.lit(float("inf")))
     seen = seen.withColumn("__moved", moved)
     hit = seen.filter((F.col("deviation_pct") > 0) & (F.col("__moved") > F.col("deviation_pct")))
     text = F.format_string("Price deviation alert for %s: %.2f%% change", "asset", "__moved")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelake.functions import decimals as D
 from pricelake.operators.chunks import running, top_per_key
+from pricelake.session import materialize
 from pricelake.schemas import FEEDS, POLL_SECONDS, STALENESS_SECONDS
 
 WIDE = D.WIDE
@@ -102,7 +103,8 @@ def consensus_series(
     """
     ceil = lambda c: F.ceil(c / F.lit(poll)).cast("bigint")
     polled = readings.withColumn("tick", ceil(F.col("timestamp"))).filter(F.col("tick") <= last_tick)
-    latest = newest_per_source(polled, ["asset", "source", "tick"])
+    # The last reading per source and tick is read four times below: store it once.
+    latest = materialize(newest_per_source(polled, ["asset", "source", "tick"]), "ticks")
     until = F.least(ceil(F.col("timestamp") + staleness) - 1, last_tick)
     spread = latest.withColumn("__tick", F.explode(F.sequence("tick", F.greatest(until, F.col("tick")))))
     spread = spread.withColumn("tick", F.col("__tick")).drop("__tick")
@@ -119,7 +121,7 @@ def consensus_series(
     if not fill_stale:
         return out
 
-    covered = out.select("asset", "tick", (F.lit(0) - F.col("tick")).alias("__back"))
+    covered = spread.select("asset", "tick").distinct().select("asset", "tick", (F.lit(0) - F.col("tick")).alias("__back"))
     covered = running(
         covered, ["asset"], "__back", {"__next": ("max", F.col("__back"))}, size=chunk_ticks, exclusive=["__next"]
     )

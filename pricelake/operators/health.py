@@ -103,11 +103,11 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     b = buckets.withColumns({
         "__prev": F.coalesce(F.lag("count").over(order), F.lit(0)),
         "__low": F.coalesce(F.lag("le").over(order), F.lit(0.0)),
-        "__rank": F.lit(q) * F.col("total"),
+        "__want": F.lit(q) * F.col("total"),
     })
-    hit = b.filter((F.col("count") >= F.col("__rank")) & ((F.col("__prev") < F.col("__rank")) | (F.col("__prev") == 0)))
+    hit = b.filter((F.col("count") >= F.col("__want")) & ((F.col("__prev") < F.col("__want")) | (F.col("__prev") == 0)))
     first = top_per_key(hit, keys, [F.col("le").asc()], 1)
-    inside = (F.col("__rank") - F.col("__prev")) / (F.col("count") - F.col("__prev"))
+    inside = (F.col("__want") - F.col("__prev")) / (F.col("count") - F.col("__prev"))
     open_end = F.col("le") == float("inf")
     value = F.when(open_end, F.col("__low")).otherwise(F.col("__low") + (F.col("le") - F.col("__low")) * inside)
     return first.filter(F.col("total") > 0).select(*keys, value.alias("quantile"))

@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("core", "tables")
+MODULES = ("core", "tables", "signals")
 for _name in MODULES:
     importlib.import_module(f"pricelake.plans.{_name}")

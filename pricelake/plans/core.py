@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import decimals as D
 from pricelake.operators import breaker, consensus
-from pricelake.plans.inputs import STALE, as_of, line_readings, LINES_SQL, readings, with_readings
+from pricelake.plans.inputs import STALE, as_of, line_readings, LINES_SQL, order_readings, ORDERS_SQL, readings, with_readings
 from pricelake.plans.registry import plan
 
 POLL = 3600
@@ -191,9 +191,9 @@ def latest_per_asset(spark, sf):
     return out.select("asset", "source", F.col("price").cast("string").alias("price"), "timestamp", "seq")
 
 
-@plan("latest_per_asset_lines", f"WITH {LINES_SQL} {_LATEST}")
-def latest_per_asset_lines(spark, sf):
-    out = consensus.latest_per_asset(line_readings(spark, sf))
+@plan("latest_per_asset_orders", f"WITH {ORDERS_SQL} {_LATEST}")
+def latest_per_asset_orders(spark, sf):
+    out = consensus.latest_per_asset(order_readings(spark, sf))
     return out.select("asset", "source", F.col("price").cast("string").alias("price"), "timestamp", "seq")
 
 

@@ -59,6 +59,23 @@ def line_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Orders have a unique key, so they also serve where the order must be total.
+ORDERS_SQL = """readings AS (
+  SELECT o_orderkey AS seq, 'A' || CAST(o_custkey % 50 AS VARCHAR) AS asset, 'S' || CAST(o_orderkey % 4 AS VARCHAR) AS source,
+         CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS DECIMAL(38,0)) AS price, 2 AS decimals,
+         epoch_us(o_orderdate) // 1000000 AS timestamp
+  FROM orders)"""
+
+
+def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS seq", "'A' || CAST(o_custkey % 50 AS STRING) AS asset",
+        "'S' || CAST(o_orderkey % 4 AS STRING) AS source",
+        "CAST(CAST(o_totalprice AS DECIMAL(20,2)) * 100 AS DECIMAL(38,0)) AS price", "2 AS decimals",
+        "unix_timestamp(CAST(o_orderdate AS TIMESTAMP)) AS timestamp",
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request log: latency in seconds, timestamp in ms."""
     return table(spark, sf_dir, "events").selectExpr(
