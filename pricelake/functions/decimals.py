@@ -69,7 +69,7 @@ def rescale(price: Column, have: Column, want: Column) -> Column:
     half = whole_div(unit, F.lit(2).cast(WIDE))
     size = whole_div(F.try_add(magnitude(price), half).cast(WIDE), unit)
     down = F.when(price < 0, F.lit(0).cast(WIDE) - size).otherwise(size)
-    return F.when(gap >= 0, up).otherwise(down)
+    return F.when(gap == 0, price).when(gap > 0, up).otherwise(down)
 
 
 def as_float(price: Column, decimals: Column) -> Column:
@@ -111,13 +111,21 @@ def order_key(timestamp: Column, seq: Column) -> Column:
     return timestamp.cast("decimal(18,0)") * F.lit(_ORDER_BASE).cast("decimal(20,0)") + seq.cast("decimal(19,0)")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def middle_of(values: Column) -> Column:
     """Exact median of a small array of DECIMAL(38,0), with one fraction digit."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return F.when(n > 0, midpoint(low, high))
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+        high = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
+        return F.when(n > 0, midpoint(low, high))
+
+    return bind(F.array_sort(values), middle)
 
 
 def midpoint(low: Column, high: Column) -> Column:

@@ -24,7 +24,8 @@ HALO = "__halo"
 
 
 def add_chunk(df: DataFrame, position: str, size: int = CHUNK_ROWS) -> DataFrame:
-    return df.withColumn(CHUNK, F.expr(f"cast(floor(`{position}` / {int(size)}) as bigint)"))
+    n = int(size)
+    return df.withColumn(CHUNK, F.expr(f"(`{position}` - pmod(`{position}`, {n}L)) div {n}L"))
 
 
 def running(

@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("core", "tables", "signals")
+MODULES = ("core", "tables", "signals", "ledgers")
 for _name in MODULES:
     importlib.import_module(f"pricelake.plans.{_name}")
