@@ -2,6 +2,6 @@
 
 import importlib
 
-MODULES = ("core", "tables", "signals", "ledgers")
+MODULES = ("core", "tables", "signals", "ledgers", "streams")
 for _name in MODULES:
     importlib.import_module(f"pricelake.plans.{_name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelake.operators import consensus, integrity, ledger, lookups, sequential
 from pricelake.plans.inputs import (
-    feed_calls, readings, requests, table, with_readings,
+    CALLS_SQL, REQUESTS_SQL, feed_calls, readings, requests, table, with_readings,
 )
 from pricelake.plans.registry import plan
 
@@ -74,10 +74,17 @@ def reputation_decay(spark, sf):
 STAKES = "CASE WHEN event_type IN ('error', 'view') THEN 'slash' ELSE 'stake' END"
 
 
-@plan("stake_balance", None)
+@plan("stake_balance", f"""WITH RECURSIVE log AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS source, {STAKES} AS kind,
+     CAST(round(value * 100) AS BIGINT) AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+     WHERE round(value * 100) > 0),
+   r AS (SELECT source, n, seq, CASE kind WHEN 'stake' THEN amount ELSE 0 END AS balance, CASE kind WHEN 'slash' THEN 1 ELSE 0 END AS slashes
+         FROM log WHERE n = 1
+     UNION ALL SELECT l.source, l.n, l.seq, CASE l.kind WHEN 'stake' THEN r.balance + l.amount ELSE r.balance - least(l.amount, r.balance) END,
+         r.slashes + CASE l.kind WHEN 'slash' THEN 1 ELSE 0 END FROM r JOIN log l ON l.source = r.source AND l.n = r.n + 1)
+   SELECT seq, source, CAST(balance AS BIGINT) AS balance, CAST(slashes AS BIGINT) AS slash_count FROM r""")
 def stake_balance(spark, sf):
     log = table(spark, sf, "events").selectExpr(
-        "event_id AS seq", "CAST(user_id AS STRING) AS source", f"{STAKES} AS kind", "CAST(value * 100 AS BIGINT) AS amount")
+        "event_id AS seq", "CAST(user_id AS STRING) AS source", f"{STAKES} AS kind", "CAST(round(value * 100) AS BIGINT) AS amount")
     return ledger.stake_balance(log).select("seq", "source", F.col("balance").cast("bigint").alias("balance"), "slash_count")
 
 
@@ -367,13 +374,31 @@ def audit_chain_verify(spark, sf):
     return integrity.audit_chain_verify(log, AUDIT_KEY).select("seq", "hmac", "intact")
 
 
-@plan("feed_breaker")
+@plan("feed_breaker", f"""WITH RECURSIVE {CALLS_SQL}, log AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS n FROM calls),
+   r AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, true AS allowed, 'CLOSED' AS st, 0 AS wins, 0 AS failures,
+                CAST(NULL AS BIGINT) AS failed_at, 0 AS trips FROM (SELECT DISTINCT source FROM calls)
+     UNION ALL SELECT source, n, seq, mode <> 'SKIP',
+       CASE WHEN mode = 'SKIP' THEN 'OPEN' WHEN mode = 'CLOSED' THEN CASE WHEN ok OR failures + 1 < 3 THEN 'CLOSED' ELSE 'OPEN' END
+            WHEN NOT ok THEN 'OPEN' WHEN w + 1 >= 2 THEN 'CLOSED' ELSE 'HALF_OPEN' END,
+       CASE WHEN mode = 'HALF' AND ok AND w + 1 < 2 THEN w + 1 ELSE 0 END,
+       CASE WHEN mode = 'SKIP' THEN failures WHEN NOT ok THEN failures + 1 WHEN mode = 'CLOSED' OR w + 1 >= 2 THEN 0 ELSE failures END,
+       CASE WHEN mode = 'SKIP' OR ok THEN failed_at ELSE ts_ms END,
+       trips + CASE WHEN mode <> 'SKIP' AND NOT ok AND (mode = 'HALF' OR failures + 1 >= 3) THEN 1 ELSE 0 END
+     FROM (SELECT l.source, l.n, l.seq, l.ts_ms, l.ok, r.failures, r.failed_at, r.trips,
+             CASE WHEN r.st = 'HALF_OPEN' THEN r.wins ELSE 0 END AS w,
+             CASE WHEN r.st = 'OPEN' AND l.ts_ms - r.failed_at < 1800000 THEN 'SKIP' WHEN r.st = 'CLOSED' THEN 'CLOSED' ELSE 'HALF' END AS mode
+           FROM r JOIN log l ON l.source = r.source AND l.n = r.n + 1))
+   SELECT seq, source, allowed, st AS state, CAST(failures AS BIGINT) AS failures, CAST(trips AS BIGINT) AS trips FROM r WHERE n > 0""")
 def feed_breaker(spark, sf):
     out = sequential.feed_breaker(feed_calls(spark, sf), cooldown_ms=1_800_000)
     return out.select("seq", "source", "allowed", "state", "failures", "trips")
 
 
-@plan("guard_replay")
+@plan("guard_replay", _recursive("SELECT seq, asset, accepted FROM r",
+    "log AS (SELECT seq, asset, CAST(price AS HUGEINT) AS price, row_number() OVER (PARTITION BY asset ORDER BY seq) AS n FROM readings)",
+    """r AS (SELECT asset, n, seq, price AS last, true AS accepted FROM log WHERE n = 1
+     UNION ALL SELECT l.asset, l.n, l.seq, CASE WHEN r.last = 0 OR abs(l.price - r.last) * 10000 // abs(r.last) <= 5000 THEN l.price ELSE r.last END,
+       r.last = 0 OR abs(l.price - r.last) * 10000 // abs(r.last) <= 5000 FROM r JOIN log l ON l.asset = r.asset AND l.n = r.n + 1)"""))
 def guard_replay(spark, sf):
     out = sequential.guard_replay(readings(spark, sf), bps=5000)
     return out.select("seq", "asset", "accepted")
@@ -386,7 +411,17 @@ def quota_requests(spark, sf):
                       F.floor(F.col("timestamp") / 500).alias("ts_ms"))
 
 
-@plan("quota_replay")
+@plan("quota_replay", f"""WITH RECURSIVE {REQUESTS_SQL}, limits(key, lim) AS (VALUES ('key-0', 60), ('key-1', 45), ('key-2', 500)),
+   log AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n
+           FROM (SELECT 'key-' || CAST(seq % 3 AS VARCHAR) AS key, seq, timestamp // 500 AS ts FROM requests) JOIN limits USING (key)),
+   r AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS seq, true AS allowed, CAST(NULL AS BIGINT) AS retry_after_s,
+                CAST([] AS BIGINT[]) AS taken FROM limits
+     UNION ALL SELECT key, n, seq, len(recent) < lim,
+       CASE WHEN len(recent) >= lim THEN CAST(ceil((recent[1] + 60000 - ts) / 1000.0) AS BIGINT) END,
+       CASE WHEN len(recent) < lim THEN list_append(recent, ts) ELSE recent END
+     FROM (SELECT l.key, l.n, l.seq, l.ts, l.lim, list_filter(r.taken, lambda t: t > l.ts - 60000) AS recent
+           FROM r JOIN log l ON l.key = r.key AND l.n = r.n + 1))
+   SELECT key, seq, allowed, retry_after_s FROM r WHERE n > 0""")
 def quota_replay(spark, sf):
     limits = spark.createDataFrame([("key-0", 60), ("key-1", 45), ("key-2", 500)], "key string, limit bigint")
     out = sequential.quota_replay(quota_requests(spark, sf), limits)
