@@ -32,30 +32,46 @@ def whole_div(dividend: Column, divisor: Column) -> Column:
     return F.try_divide(exact, divisor).cast(WIDE)
 
 
+# Fixed value: the number texts that feeds send.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,4})?$"
+
+
+def bind(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shift_point(raw: Column, decimals: Column) -> Column:
     """round_half_away(raw * 10^decimals) computed on the digits of the text.
 
     Working on the text keeps every digit whatever the scale; null means that
     the value is not a number or needs more than 38 digits.
     """
-    text = F.trim(raw.cast("string"))
-    shape = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,4}))?$"
-    whole = F.regexp_extract(text, shape, 2)
-    fraction = F.regexp_extract(text, shape, 3)
-    exponent = F.regexp_extract(text, shape, 4)
-    digits = F.concat(whole, fraction)
-    power = F.coalesce(F.nullif(exponent, F.lit("")).cast("int"), F.lit(0))
-    point = F.length(whole) + power + decimals.cast("int")
-    integer = (
-        F.when(point <= 0, F.lit("0"))
-        .when(point >= F.length(digits), F.rpad(digits, F.least(point, F.lit(400)), F.lit("0")))
-        .otherwise(F.substring(digits, F.lit(1), point))
-    )
-    follower = F.when(point >= 0, F.substring(digits, point + 1, F.lit(1))).otherwise(F.lit("0"))
-    up = F.when(follower >= "5", F.lit(1)).otherwise(F.lit(0)).cast(WIDE)
-    size = F.try_add(integer.try_cast(WIDE), up)
-    signed = F.when(F.regexp_extract(text, shape, 1) == "-", F.lit(0).cast(WIDE) - size).otherwise(size)
-    return F.when(text.rlike(shape) & (F.length(digits) > 0), signed)
+
+    def shifted(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        integer = (
+            F.when(point <= 0, F.lit("0"))
+            .when(point >= F.length(digits), F.rpad(digits, F.least(point, F.lit(400)), F.lit("0")))
+            .otherwise(F.substring(digits, F.lit(1), point))
+        )
+        round_up = (point >= 0) & (F.substring(digits, point + 1, F.lit(1)) >= "5")
+        size = F.try_add(integer.try_cast(WIDE), F.when(round_up, 1).otherwise(0).cast(WIDE))
+        return F.when(p["negative"], F.lit(0).cast(WIDE) - size).otherwise(size)
+
+    def split(text: Column) -> Column:
+        negative = text.startswith("-")
+        body = F.lower(F.when(negative | text.startswith("+"), F.substring(text, 2, 5000)).otherwise(text))
+        mantissa = F.substring_index(body, "e", 1)
+        power = F.when(F.instr(body, "e") > 0, F.substring_index(body, "e", -1).cast("int")).otherwise(0)
+        dot = F.instr(mantissa, ".")
+        whole = F.when(dot > 0, dot - 1).otherwise(F.length(mantissa))
+        place = F.struct(
+            negative.alias("negative"), F.translate(mantissa, ".", "").alias("digits"),
+            (whole + power + decimals.cast("int")).alias("point"))
+        return F.when(text.rlike(NUMBER), bind(place, shifted))
+
+    return bind(F.trim(raw.cast("string")), split)
 
 
 def rescale(price: Column, have: Column, want: Column) -> Column:
@@ -111,11 +127,6 @@ def order_key(timestamp: Column, seq: Column) -> Column:
     return timestamp.cast("decimal(18,0)") * F.lit(_ORDER_BASE).cast("decimal(20,0)") + seq.cast("decimal(19,0)")
 
 
-def bind(value: Column, body) -> Column:
-    """body(value) with `value` evaluated once however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def middle_of(values: Column) -> Column:
     """Exact median of a small array of DECIMAL(38,0), with one fraction digit."""
 

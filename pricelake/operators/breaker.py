@@ -60,23 +60,18 @@ def breaker_state(
         "deviations": F.sum(dev.cast("bigint")).over(upto),
         "last_suspicion": F.last(F.when(dev, F.col("timestamp")), ignorenulls=True).over(upto),
     })
-    # Last row of a chunk carries the chunk's totals: no second aggregation.
-    summary = base.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.count_if(dev).alias("__devs"),
-        F.max_by("timestamp", F.when(dev, F.col("seq"))).alias("__dev_ts"),
-        F.max(F.when(dev, F.col("seq"))).alias("__dev_seq"),
+    # Running values only grow, so their maxima are the chunk totals; the grouping
+    # reuses the windows' partitioning.
+    summary = local.groupBy(*part).agg(
+        F.max("__n").alias("__rows"),
+        F.max("__dev_at").alias("__at"),
+        F.max("deviations").alias("__devs"),
+        F.max_by("last_suspicion", "__n").alias("__dev_ts"),
     )
-    # Rows after the last deviation of each chunk, for the position of that deviation.
-    tail = base.join(summary.select(*part, "__dev_seq"), part).groupBy(*part).agg(
-        F.count_if(F.col("seq") > F.col("__dev_seq")).alias("__after")
-    )
-    summary = summary.join(tail, part)
     earlier = W.partitionBy("asset", "source").orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     summary = summary.withColumn("__base", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-    at = F.when(F.col("__dev_seq").isNotNull(), F.col("__base") + F.col("__rows") - F.col("__after"))
     carry = summary.withColumns({
-        "__c_at": F.max(at).over(earlier),
+        "__c_at": F.max(F.col("__base") + F.col("__at")).over(earlier),
         "__c_devs": F.coalesce(F.sum("__devs").over(earlier), F.lit(0)),
         "__c_ts": F.last("__dev_ts", ignorenulls=True).over(earlier),
     }).select(*part, "__base", "__c_at", "__c_devs", "__c_ts")

@@ -20,6 +20,7 @@ import json
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -459,27 +460,37 @@ def quota_replay(requests: DataFrame, limits: DataFrame) -> DataFrame:
     rows = per_ms.join(spans, ["key", "minute"]).select("key", "run", "busy", "ts_ms", "n", "limit")
 
     def scan(frames):
-        current, log, total = None, [], 0
-        first = 0
+        current, log, first, total = None, [], 0, 0
         for frame in frames:
-            out = []
-            for key, (busy, ts, n, limit) in _rows(frame, ["key", "run"], ["busy", "ts_ms", "n", "limit"]):
+            parts = []
+            for key, part in frame.groupby(["key", "run"], sort=False):
                 if key != current:
-                    current, log, total, first = key, [], 0, 0
-                while first < len(log) and log[first][0] <= ts - QUOTA_WINDOW_MS:
-                    total -= log[first][1]
-                    first += 1
-                if first > 4096:
-                    log, first = log[first:], 0
-                taken = n if not busy else max(0, min(n, limit - total))
-                if taken:
-                    log.append((ts, taken))
-                    total += taken
-                if busy:
-                    oldest = log[first][0] if first < len(log) else ts
-                    wait = -((ts - oldest - QUOTA_WINDOW_MS) // 1000)
-                    out.append((key[0], ts, taken, wait))
-            yield pd.DataFrame(out, columns=["key", "ts_ms", "taken", "wait"])
+                    current, log, first, total = key, [], 0, 0
+                limit = int(part["limit"].iloc[0])
+                ts, n, busy = (part[c].to_numpy() for c in ("ts_ms", "n", "busy"))
+                taken, oldest = np.zeros(len(ts), np.int64), ts.copy()
+                i = 0
+                while i < len(ts):
+                    while first < len(log) and log[first][0] <= ts[i] - QUOTA_WINDOW_MS:
+                        total -= log[first][1]
+                        first += 1
+                    if total >= limit:
+                        # Nothing passes before the oldest request leaves the window.
+                        upto = int(np.searchsorted(ts, log[first][0] + QUOTA_WINDOW_MS))
+                        oldest[i:upto] = log[first][0]
+                        i = upto
+                        continue
+                    taken[i] = n[i] if not busy[i] else min(n[i], limit - total)
+                    log.append((int(ts[i]), int(taken[i])))
+                    total += int(taken[i])
+                    oldest[i] = log[first][0]
+                    i += 1
+                    if first > 4096:
+                        log, first = log[first:], 0
+                wait = -((ts - oldest - QUOTA_WINDOW_MS) // 1000)
+                shown = pd.DataFrame({"key": key[0], "ts_ms": ts, "taken": taken, "wait": wait})
+                parts.append(shown[busy])
+            yield pd.concat(parts) if parts else pd.DataFrame(columns=["key", "ts_ms", "taken", "wait"])
 
     verdict = _scan(rows, ["key", "run"], ["ts_ms"], scan, "key string, ts_ms bigint, taken bigint, wait bigint")
     judged = requests.join(verdict, ["key", "ts_ms"], "left").join(limits, "key", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from pricelake.operators.chunks import running
 from pricelake.operators import consensus, integrity, ledger, lookups, sequential
 from pricelake.plans.inputs import (
     CALLS_SQL, REQUESTS_SQL, feed_calls, readings, requests, table, with_readings,
@@ -303,12 +304,10 @@ _LEAF = """leaves AS (SELECT timestamp // 3600 AS nonce, row_number() OVER (PART
 
 
 def leaves(spark, sf):
-    from pyspark.sql import Window as W
-
-    nonce = F.floor(F.col("timestamp") / 3600)
-    rank = F.row_number().over(W.partitionBy("nonce").orderBy("seq")).cast("bigint") - 1
-    entries = readings(spark, sf).withColumn("nonce", nonce).withColumn("leaf_index", rank)
-    return integrity.merkle_leaf(entries)
+    """One batch per hour, leaves numbered in arrival order."""
+    entries = readings(spark, sf).withColumn("nonce", F.floor(F.col("timestamp") / 3600))
+    numbered = running(entries, ["nonce"], "seq", {"leaf_index": ("sum", F.lit(1).cast("bigint"))})
+    return integrity.merkle_leaf(numbered.withColumn("leaf_index", F.col("leaf_index") - 1))
 
 
 @plan("merkle_leaf", with_readings("SELECT seq, nonce, leaf_index, leaf FROM leaves", _LEAF))

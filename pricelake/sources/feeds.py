@@ -2,48 +2,43 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricelake.functions import decimals as D
-from pricelake.schemas import FEED_PAYLOADS
+from pricelake.schemas import FEED_DECIMALS, FEED_PAYLOADS
 
 # Feed symbols per asset; other assets use the feed's default form.
 BAND_SYMBOLS = {"XLM": "XLM", "USDC": "USDC-USD", "BTC": "BTC-USD", "ETH": "ETH-USD", "USDT": "USDT-USD"}
 PLAIN_SYMBOLS = {"XLM": "XLM", "USDC": "USDC", "BTC": "BTC", "ETH": "ETH", "USDT": "USDT"}
 
 
-@dataclass(frozen=True)
-class Feed:
-    """Where one feed keeps its values: text columns over `payload` and `asset`."""
-
-    price: Column
-    decimals: Column | None
-    timestamp: Column | None
-    default_decimals: int
-
+def _entry(price: Column, decimals: Column | None = None, timestamp: Column | None = None, scale: int = 8) -> Column:
+    """What one feed says: price text, decimals and time, with the feed's defaults."""
+    none = F.lit(None).cast("string")
+    return F.struct(
+        price.alias("raw"),
+        _or_default(decimals if decimals is not None else none, F.lit(scale).cast("bigint")).cast("int").alias("decimals"),
+        _or_default(timestamp if timestamp is not None else none, F.col("ingest_ts")).alias("timestamp"),
+    )
 
-def _entry(document: str, key: Column, shape: str) -> Column:
-    parsed = F.from_json(F.col("payload"), document)
-    holder = parsed if shape == "" else parsed[shape]
-    return F.try_element_at(holder, key)
 
+def feeds() -> dict[str, Column]:
+    """Entry struct per feed, over the columns `payload`, `asset` and `ingest_ts`.
 
-def feeds() -> dict[str, Feed]:
+    A further feed is one more item: where its price, decimals and time are.
+    """
     payload = F.col("payload")
     item = "STRUCT<value: STRING, decimals: STRING>"
     quote = "STRUCT<price: STRING, decimals: STRING, timestamp: STRING>"
-    by_symbol = _entry(f"MAP<STRING, {item}>", F.upper("asset"), "")
-    by_pair = _entry(
-        f"STRUCT<prices: MAP<STRING, {quote}>>", F.concat(F.lit("Crypto."), F.col("asset"), F.lit("/USD")), "prices"
-    )
-    pick = lambda path: F.get_json_object(payload, path)
+    by_symbol = F.try_element_at(F.from_json(payload, f"MAP<STRING, {item}>"), F.upper("asset"))
+    pair = F.concat(F.lit("Crypto."), F.col("asset"), F.lit("/USD"))
+    by_pair = F.try_element_at(F.from_json(payload, f"STRUCT<prices: MAP<STRING, {quote}>>")["prices"], pair)
+    data = F.from_json(payload, "STRUCT<data: STRUCT<price: STRING, decimals: STRING, updated_at: STRING>>")["data"]
     return {
-        "chainlink": Feed(pick("$.USD.PRICE"), None, None, 8),
-        "redstone": Feed(by_symbol["value"], by_symbol["decimals"], None, 8),
-        "band": Feed(pick("$.data.price"), pick("$.data.decimals"), pick("$.data.updated_at"), 9),
-        "reflector": Feed(by_pair["price"], by_pair["decimals"], by_pair["timestamp"], 8),
+        "chainlink": _entry(F.get_json_object(payload, "$.USD.PRICE")),
+        "redstone": D.bind(by_symbol, lambda e: _entry(e["value"], e["decimals"])),
+        "band": D.bind(data, lambda e: _entry(e["price"], e["decimals"], e["updated_at"], FEED_DECIMALS["band"])),
+        "reflector": D.bind(by_pair, lambda e: _entry(e["price"], e["decimals"], e["timestamp"])),
     }
 
 
@@ -64,19 +59,19 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     Other columns, such as an arrival number, are kept. Payloads without a price
     give no row; prices beyond 38 digits get the reason `price_overflow`.
     """
-    raw = decimals = stamp = None
-    for name, feed in feeds().items():
+    entry = None
+    for name, found in feeds().items():
         here = F.col("source") == name
-        parts = (feed.price, feed.decimals, feed.timestamp)
-        shown = [p if p is not None else F.lit(None).cast("string") for p in parts]
-        value = _or_default(shown[1], F.lit(feed.default_decimals).cast("bigint"))
-        raw = F.when(here, shown[0]) if raw is None else raw.when(here, shown[0])
-        decimals = F.when(here, value) if decimals is None else decimals.when(here, value)
-        when = _or_default(shown[2], F.col("ingest_ts"))
-        stamp = F.when(here, when) if stamp is None else stamp.when(here, when)
-    out = payloads.withColumns({"raw": raw, "decimals": decimals.cast("int"), "timestamp": stamp})
-    out = out.filter(F.col("raw").isNotNull() & (F.col("raw") != "") & ~F.coalesce(
-        F.col("raw").try_cast("double") == 0, F.lit(False)))
+        entry = F.when(here, found) if entry is None else entry.when(here, found)
+
+    def has_price(e: Column) -> Column:
+        zero = F.coalesce(e["raw"].try_cast("double") == 0, F.lit(False))
+        return e["raw"].isNotNull() & (e["raw"] != "") & ~zero
+
+    # Exploding the filtered one-element array parses every payload once; a plain
+    # filter would be pushed below the projection and parse it again.
+    out = payloads.withColumn("__e", F.explode(F.filter(F.array(entry), has_price)))
+    out = out.select(*[c for c in payloads.columns], "__e.*")
     asset, price = normalize_price(F.col("asset"), F.col("raw"), F.col("decimals"))
     out = out.withColumns({"asset": asset, "price": price})
     number = F.col("raw").try_cast("double").isNotNull()

@@ -154,7 +154,7 @@ def archive_cold(spark: SparkSession, path: str, cold: str, *, cutoff: int, batc
     """
     old = scan_history_table(spark, path, end=cutoff - 1).drop("chunk")
     (
-        old.repartitionByRange("timestamp", "asset")
+        old.repartitionByRange("timestamp", *[c for c in ("seq", "id") if c in old.columns])
         .sortWithinPartitions("timestamp")
         .write.mode("overwrite")
         .option("compression", "gzip")
