@@ -123,6 +123,8 @@ class _Cover:
         found = False
         while low <= high:
             if at < len(self.lows) and self.lows[at] <= low:
+                if self.highs[at] >= high:
+                    break
                 low = self.highs[at] + 1
                 at += 1
                 continue
@@ -135,6 +137,8 @@ class _Cover:
                 self.highs.insert(at, upto)
                 self.owner.insert(at, owner)
                 at += 1
+            if upto >= high:
+                break
             low = upto + 1
         return found
 
