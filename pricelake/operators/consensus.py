@@ -127,6 +127,10 @@ def consensus_series(
     )
     after = F.coalesce(F.lit(0) - F.col("__next"), last_tick + 1)
     gaps = covered.select("asset", "tick", (after - 1).alias("gap_end")).filter(F.col("gap_end") > F.col("tick"))
+    # Gaps are few and feed two branches; most series have none at all.
+    gaps = materialize(gaps, "gaps")
+    if gaps.isEmpty():
+        return out
 
     # Last known reading of every source at the tick before each gap.
     marks = gaps.join(firsts, "asset").filter(F.col("first_tick") <= F.col("tick"))
