@@ -322,8 +322,8 @@ def histogram_le(spark, sf):
 
 
 @plan("histogram_quantile", f"""WITH {HIST_CTE}, p AS (SELECT *, coalesce(lag(count) OVER w, 0) AS prev, coalesce(lag(le) OVER w, 0) AS low,
-     0.99 * total AS r FROM hist WINDOW w AS (PARTITION BY endpoint ORDER BY le))
-   SELECT endpoint, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (r - prev) / (count - prev) END, 6) AS quantile
+     CAST(0.99 AS DOUBLE) * total AS r FROM hist WINDOW w AS (PARTITION BY endpoint ORDER BY le))
+   SELECT endpoint, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * ((r - prev) / (count - prev)) END, 6) AS quantile
    FROM (SELECT *, row_number() OVER (PARTITION BY endpoint ORDER BY le) AS rn FROM p WHERE count >= r) WHERE rn = 1""")
 def histogram_quantile(spark, sf):
     buckets = health.histogram_le(requests(spark, sf), ["endpoint"], "latency_s", health.HTTP_LATENCY_BUCKETS)
