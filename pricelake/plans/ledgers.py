@@ -283,8 +283,8 @@ def cursor_meta(spark, sf):
     return lookups.cursor_meta(page, 50)
 
 
-@plan("page_offset", with_readings(f"SELECT {_ROW} FROM readings ORDER BY timestamp, source, seq
-   LIMIT 20 OFFSET (SELECT (least(201, greatest(1, (count(*) + 19) // 20)) - 1) * 20 FROM readings)"))
+@plan("page_offset", with_readings(f"""SELECT {_ROW} FROM readings ORDER BY timestamp, source, seq
+   LIMIT 20 OFFSET (SELECT (least(201, greatest(1, (count(*) + 19) // 20)) - 1) * 20 FROM readings)"""))
 def page_offset(spark, sf):
     page, _ = lookups.page_offset(
         readings(spark, sf), ["timestamp", "source", "seq"], F.floor(F.col("timestamp") / 3600), page=201)
