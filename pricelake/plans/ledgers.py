@@ -195,19 +195,18 @@ def fk_dims(spark, sf):
     return lookups.fk_dims(facts, parts, supps).select("l_orderkey", "l_linenumber", "asset", "source", "price")
 
 
-_SUBS = """clients AS (SELECT DISTINCT 'c' || CAST(user_id AS VARCHAR) AS client FROM events WHERE user_id % 30 < 2),
-subs AS (SELECT DISTINCT 'c' || CAST(user_id AS VARCHAR) AS client, asset FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'XLM'
-   WHEN 'purchase' THEN 'BTC' END AS asset FROM events WHERE user_id % 30 = 1) WHERE asset IS NOT NULL),
+_SUBS = """clients AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) AS client FROM nation),
+subs AS (SELECT 'c' || CAST(n_nationkey AS VARCHAR) AS client, CASE n_regionkey WHEN 0 THEN 'XLM' WHEN 1 THEN 'BTC' WHEN 2 THEN 'ETH'
+   ELSE 'USDC' END AS asset FROM nation WHERE n_regionkey <> 4),
 pairs AS (SELECT r.seq, r.asset, c.client FROM readings r, clients c WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.client = c.client)
           OR EXISTS (SELECT 1 FROM subs s WHERE s.client = c.client AND s.asset = r.asset))"""
 
 
 def subscriptions(spark, sf):
-    e = table(spark, sf, "events").withColumn("client", F.concat(F.lit("c"), F.col("user_id").cast("string")))
-    clients = e.filter("user_id % 30 < 2").select("client").distinct()
-    subs = e.filter("user_id % 30 = 1 AND event_type IN ('click', 'purchase')").select(
-        "client", F.when(F.col("event_type") == "click", "XLM").otherwise("BTC").alias("asset")).distinct()
-    return clients, subs
+    """Nations as clients; those of one region have no subscription and get everything."""
+    clients = table(spark, sf, "nation").withColumn("client", F.concat(F.lit("c"), F.col("n_nationkey").cast("string")))
+    asset = F.expr("CASE n_regionkey WHEN 0 THEN 'XLM' WHEN 1 THEN 'BTC' WHEN 2 THEN 'ETH' ELSE 'USDC' END")
+    return clients.select("client"), clients.filter("n_regionkey <> 4").select("client", asset.alias("asset"))
 
 
 @plan("fanout_subscriptions", with_readings("SELECT seq, asset, client FROM pairs", _SUBS))
@@ -221,18 +220,19 @@ def fanout_counts(spark, sf):
     return lookups.fanout_counts(readings(spark, sf).select("seq", "asset"), *subscriptions(spark, sf))
 
 
-HOOKS_SQL = f"""hooks AS (SELECT 'hook-' || CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 2 WHEN 0 THEN 'threshold' ELSE 'interval' END AS type,
-   CASE c_custkey % 5 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'XLM' WHEN 3 THEN 'USDC' ELSE 'USDT' END AS asset,
-   CASE c_custkey % 2 WHEN 0 THEN 2000.0 + c_custkey ELSE 3600000.0 * (1 + c_custkey % 9) END AS value,
-   1704067200000 + c_custkey * 86400000 AS created_ms FROM customer WHERE c_custkey <= 25)"""
+_HOOK = {
+    "id": "'hook-' || CAST(n_nationkey AS {text})",
+    "type": "CASE n_nationkey % 2 WHEN 0 THEN 'threshold' ELSE 'interval' END",
+    "asset": "CASE n_nationkey % 5 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'XLM' WHEN 3 THEN 'USDC' ELSE 'USDT' END",
+    "value": "CAST(CASE n_nationkey % 2 WHEN 0 THEN 2000.0 + n_nationkey ELSE 3600000.0 * (1 + n_nationkey % 9) END AS DOUBLE)",
+    "created_ms": "1704067200000 + CAST(n_nationkey AS BIGINT) * 86400000",
+}
+HOOKS_SQL = "hooks AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _HOOK.items()).format(text="VARCHAR") + " FROM nation)"
 
 
 def hooks(spark, sf):
-    return table(spark, sf, "customer").filter("c_custkey <= 25").selectExpr(
-        "'hook-' || CAST(c_custkey AS STRING) AS id", "CASE c_custkey % 2 WHEN 0 THEN 'threshold' ELSE 'interval' END AS type",
-        "CASE c_custkey % 5 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' WHEN 2 THEN 'XLM' WHEN 3 THEN 'USDC' ELSE 'USDT' END AS asset",
-        "CAST(CASE c_custkey % 2 WHEN 0 THEN 2000.0 + c_custkey ELSE 3600000.0 * (1 + c_custkey % 9) END AS DOUBLE) AS value",
-        "1704067200000 + c_custkey * 86400000 AS created_ms")
+    """One registration per nation."""
+    return table(spark, sf, "nation").selectExpr(*[f"{v} AS {k}".format(text="STRING") for k, v in _HOOK.items()])
 
 
 def updates(spark, sf):

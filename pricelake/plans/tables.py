@@ -166,19 +166,22 @@ def semi_delete(spark, sf):
     return reading_out(history.semi_delete(df, gone, ("seq", "timestamp")))
 
 
-@plan("migrate_history", with_readings("""SELECT asset, CAST(price AS VARCHAR) AS price, CAST(8 AS BIGINT) AS decimals,
-   CASE WHEN seq % 5 = 0 THEN 'unknown' ELSE source END AS source, timestamp FROM readings
-   WHERE (asset IN ('BTC', 'ETH') AND seq % 3 = 0 OR asset NOT IN ('BTC', 'ETH') AND seq % 3 <> 0) AND seq % 7 <> 0"""))
+@plan("migrate_history", with_readings("""SELECT asset, CAST(min(price + CASE WHEN asset IN ('BTC', 'ETH') THEN 0 ELSE 1 END) AS VARCHAR) AS price,
+   CAST(8 AS BIGINT) AS decimals, CASE WHEN seq % 5 = 0 THEN 'unknown' ELSE source END AS source, timestamp FROM readings
+   WHERE seq % 7 <> 0 GROUP BY ALL"""))
 def migrate_history(spark, sf):
-    """BTC and ETH exist in both folders (the first wins), the others in the second."""
+    """BTC and ETH exist in both folders (the first wins), the others in the second.
+
+    Some points lack a source (unknown), some a price (skipped), all the scale.
+    """
     df = readings(spark, sf).withColumns({
         "source": F.when(F.col("seq") % 5 != 0, F.col("source")),
         "price": F.when(F.col("seq") % 7 != 0, F.col("price")),
         "decimals": F.lit(None).cast("int"),
     })
     one, two, out = (scratch_path(spark, n) for n in ("migrate-a", "migrate-b", "migrated"))
-    history.write_history_json(df.filter(F.col("asset").isin("BTC", "ETH") & (F.col("seq") % 3 == 0)), one)
-    history.write_history_json(df.filter(F.col("seq") % 3 != 0), two)
+    history.write_history_json(df.filter(F.col("asset").isin("BTC", "ETH")), one)
+    history.write_history_json(df.withColumn("price", F.col("price") + 1), two)
     history.migrate_history(spark, [one, two], out, multi_line=False)
     done = spark.read.parquet(out)
     return done.select("asset", F.col("price").cast("string").alias("price"),

@@ -77,6 +77,16 @@ def dedupe_readings(df: DataFrame, *, on_conflict: str = "first", position: str
     return df.groupBy(*KEY).agg(*values).select(*df.columns)
 
 
+def _not_stored(spark: SparkSession, fresh: DataFrame, path: str) -> DataFrame:
+    """Rows whose key the table lacks; only the chunks they fall into are read."""
+    keyed = fresh.withColumn("chunk", chunk_of(F.col("timestamp")))
+    low, high = keyed.agg(F.min("chunk"), F.max("chunk")).first()
+    if low is None:
+        return fresh
+    stored = spark.read.parquet(path).filter(F.col("chunk").between(low, high)).select("chunk", *KEY)
+    return keyed.join(stored, ["chunk", *KEY], "left_anti").drop("chunk")
+
+
 def sink_history_append(
     spark: SparkSession, new: DataFrame, path: str, *, on_conflict: str = "first", position: str = "seq"
 ) -> None:
@@ -89,16 +99,15 @@ def sink_history_append(
     if not files.exists(spark, path):
         write_history(fresh, path)
         return
+    if on_conflict == "first":
+        write_history(_not_stored(spark, fresh, path), path)
+        return
     keyed = fresh.withColumn("chunk", chunk_of(F.col("timestamp")))
     low, high = keyed.agg(F.min("chunk"), F.max("chunk")).first()
     if low is None:
         return
     touched = keyed.select("chunk").distinct()
     stored = spark.read.parquet(path).filter(F.col("chunk").between(low, high))
-    if on_conflict == "first":
-        keys = stored.select("chunk", *KEY)
-        write_history(keyed.join(keys, ["chunk", *KEY], "left_anti").drop("chunk"), path)
-        return
     kept = stored.join(touched, "chunk", "left_semi").join(keyed.select("chunk", *KEY), ["chunk", *KEY], "left_anti")
     merged = materialize(kept.drop("chunk").select(*fresh.columns).unionByName(fresh), "merge")
     _laid_out(merged, 8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -192,7 +201,7 @@ def migrate_history(spark: SparkSession, folders: list[str], path: str, *, multi
     good = good.filter(F.col("price").isNotNull()).withColumn("__pos", F.monotonically_increasing_id())
     good = materialize(dedupe_readings(good, position="__pos").drop("__pos"), "migrate")
     if files.exists(spark, path):
-        good = good.join(spark.read.parquet(path).select(*KEY), KEY, "left_anti")
+        good = _not_stored(spark, good, path)
     write_history(good.observe(kept, F.count(F.lit(1)).alias("n")), path)
     inserted = kept.get["n"]
     # The scan was observed while `good` was staged.
