@@ -212,7 +212,13 @@ def exact_median(
         target = target.drop("__fits")
     per_value = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = per_value.withColumn("__upto", upto).join(target, keys)
+    ranked = per_value.withColumn("__upto", upto)
+    if rounds:
+        ranked = ranked.join(target, keys)
+    else:
+        # Nothing was set aside: the group size comes from the same windows.
+        ranked = ranked.withColumn("n", F.sum("__c").over(W.partitionBy(*keys)))
+        ranked = ranked.withColumns({"__lo": F.floor((F.col("n") + 1) / 2), "__hi": F.floor(F.col("n") / 2) + 1})
     covers = lambda rank: (F.col(rank) <= F.col("__upto")) & (F.col(rank) > F.col("__upto") - F.col("__c"))
     picked = ranked.groupBy(*keys).agg(
         F.max("n").alias("n"),
