@@ -317,7 +317,6 @@ def merkle_leaf(spark, sf):
 
 
 # The tree by recursion: level by level, an odd last node pairs with itself.
-_TREE = """RECURSIVE """
 _LEVELS = """lv AS (SELECT 0 AS level, nonce, leaf_index AS idx, leaf AS h FROM leaves
   UNION ALL SELECT level + 1, nonce, idx, sha256(unhex(h) || unhex(coalesce(nh, h))) FROM (
     SELECT level, nonce, idx // 2 AS idx, idx % 2 AS odd, h, lead(h) OVER (PARTITION BY nonce ORDER BY idx) AS nh,

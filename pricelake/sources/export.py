@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricelake.operators.chunks import top_per_key
-
 # Fixed values of the export request format.
 FORMATS = ("csv", "ndjson", "parquet", "arrow_ipc")
 PROVIDERS = ("aws_s3", "gcs", "azure_blob")
@@ -111,12 +109,6 @@ def export_request_reasons(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reasons", F.filter(broken, lambda r: r.isNotNull()))
 
 
-def live_jobs(ledger: DataFrame, now_ms: Column) -> DataFrame:
-    """Newest live ledger entry per key (expired entries are dropped)."""
-    return top_per_key(
-        ledger.filter(now_ms <= F.col("created_ms") + JOB_TTL_MS), ["key"], [F.col("created_ms").desc()], 1)
-
-
 def read_export(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     from pricelake.schemas import EXPORT_ROWS
 
