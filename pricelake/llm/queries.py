@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, mixing, sketch, suffix
+from pricelake.llm import chat, minhash, mixing, sketch, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +79,12 @@ def chat_segments(spark, sf_dir):
         F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op8_near_groups")
+def near_groups(spark, sf_dir):
+    out = minhash.group_near(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op9_suffix_dedup")
 def suffix_dedup(spark, sf_dir):
     out = suffix.strip_repeats(documents(spark, sf_dir).select("doc_id", "text"))
