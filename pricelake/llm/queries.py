@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, minhash, mixing, sketch, suffix
+from pricelake.llm import chat, langid, minhash, mixing, sketch, suffix, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,18 @@ def scaled_sketch(spark, sf_dir):
         sketch.containment(F.col("own"), F.col("changed")).alias("held_by_edited"))
 
 
+def model_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_counts")
+def token_counts(spark, sf_dir):
+    out = tokens.count_tokens(documents(spark, sf_dir), model_path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -79,6 +91,19 @@ def chat_segments(spark, sf_dir):
         F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def fold(folds: int):
+    """Remainder of crc32 of the id's decimal text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query("op7_language_masks")
+def language_masks(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    filters = langid.learn(docs.filter(fold(3) != 1))
+    out = langid.predict(docs.select("doc_id", "text"), filters)
+    return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 @query("op8_near_groups")
 def near_groups(spark, sf_dir):
     out = minhash.group_near(documents(spark, sf_dir).select("doc_id", "text"))
