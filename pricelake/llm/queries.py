@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, langid, minhash, mixing, sketch, suffix, tokens
+from pricelake.llm import chat, langid, minhash, mixing, quality, sketch, suffix, tokens
+from pricelake.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +46,21 @@ def scaled_sketch(spark, sf_dir):
         sketch.containment(F.col("own"), F.col("changed")).alias("held_by_edited"))
 
 
+def fold(folds: int):
+    """Remainder of crc32 of the id's decimal text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query("op3_quality_kernel")
+def quality_kernel(spark, sf_dir):
+    docs = materialize(quality.describe(documents(spark, sf_dir).select("doc_id", "text")), "statistics")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    known = docs.filter(fold(5) != 0).join(labels, "doc_id").withColumn("calibrate", fold(5) == 1)
+    out = quality.apply(docs, quality.fit(known))
+    return out.select(
+        "doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def model_path(name: str) -> str:
     import public_tokenizers
 
@@ -91,11 +107,6 @@ def chat_segments(spark, sf_dir):
         F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def fold(folds: int):
-    """Remainder of crc32 of the id's decimal text."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-
-
 @query("op7_language_masks")
 def language_masks(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
