@@ -210,14 +210,16 @@ def repeated_spans(
     """Spans (doc, mark, s, e) of `docs` (doc, mark, text) that repeated windows cover; they may overlap."""
     gram = length // GRAM_SHARE
     anchors = materialize(docs.select("doc", "mark", "text").mapInArrow(_scan(length, gram), ANCHORS), "anchors")
-    often = anchors.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
+    # Stored, so that the join has an exchange on both sides and can split a common key.
+    often = materialize(
+        anchors.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"), "often")
     shared = materialize(anchors.join(often, "key"), "shared-anchors")
-    bodies = shared.groupBy("key", "body").agg(
-        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "mark", "at", "off", "n")])
+    bodies = materialize(shared.groupBy("key", "body").agg(
+        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "mark", "at", "off", "n")]), "bodies")
     whole = shared.join(bodies.filter("times > 1").select("key", "body"), ["key", "body"]).select(
         "doc", "mark", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + length).alias("e"))
 
-    mixed = bodies.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = materialize(bodies.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
     rivals = bodies.join(mixed, "key").select(
         "key", "doc", "mark", "at", "off", "n", "kinds", (F.col("times") == 1).alias("lone"))
     texts = docs.select("doc", "mark", F.col("text").cast("binary").alias("raw"))
