@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, langid, minhash, mixing, quality, sketch, suffix, tokens
+from pricelake.llm import chat, decontam, langid, minhash, mixing, quality, sketch, suffix, tokens
 from pricelake.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_template_decontamination")
+def template_decontamination(spark, sf_dir):
+    """One row for each document and benchmark item found in it."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    out = decontam.contaminated(documents(spark, sf_dir).select("doc_id", "text"), items)
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "covered", F.col("size").alias("n_tokens"),
+        "same_slots", (F.col("covered") / F.col("size")).alias("coverage"))
+
+
 @query("op2_scaled_sketch")
 def scaled_sketch(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
