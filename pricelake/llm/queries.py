@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, decontam, langid, minhash, mixing, quality, sketch, suffix, tokens
+from pricelake.llm import chat, decontam, langid, lattice, minhash, mixing, quality, sketch, suffix, tokens
 from pricelake.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +117,15 @@ def chat_segments(spark, sf_dir):
         F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query("op6_subword_lattice")
+def subword_lattice(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("learn", fold(7) != 2)
+    model, rare = lattice.learn(docs, tokens.read_model(model_path("piece_bpe_32k.model")))
+    out = lattice.score(docs, model, rare)
+    return out.select(
+        "doc_id", (fold(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_language_masks")
 def language_masks(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
