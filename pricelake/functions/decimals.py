@@ -61,7 +61,7 @@ def shift_point(raw: Column, decimals: Column) -> Column:
 
     def split(text: Column) -> Column:
         negative = text.startswith("-")
-        body = F.lower(F.when(negative | text.startswith("+"), F.substring(text, 2, 5000)).otherwise(text))
+        body = F.lower(F.when(negative | text.startswith("+"), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
         mantissa = F.substring_index(body, "e", 1)
         power = F.when(F.instr(body, "e") > 0, F.substring_index(body, "e", -1).cast("int")).otherwise(0)
         dot = F.instr(mantissa, ".")

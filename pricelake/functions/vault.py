@@ -16,7 +16,7 @@ def key_id(key: bytes) -> str:
 
 
 def is_encrypted(value: Column) -> Column:
-    return F.coalesce(value.startswith(f"{PREFIX}:"), F.lit(False))
+    return F.coalesce(value.startswith(f"{PREFIX}:{VERSION}:"), F.lit(False))
 
 
 def encrypt(value: Column, key: bytes) -> Column:
@@ -46,7 +46,7 @@ def decrypt(value: Column, keys: list[bytes]) -> Column:
         hit = F.get(part, 2) == key_id(key)
         text = F.aes_decrypt(blob, F.lit(key), F.lit("GCM")).cast("string")
         opened = F.when(hit, text) if opened is None else opened.when(hit, text)
-    missing = F.raise_error(F.concat(F.lit("no key for key id "), F.get(part, 2))).cast("string")
+    missing = F.raise_error(F.concat(F.lit("no key for key id "), F.coalesce(F.get(part, 2), F.lit("(none)")))).cast("string")
     opened = opened.otherwise(missing) if opened is not None else missing
     return F.when(is_encrypted(value), opened).otherwise(value)
 

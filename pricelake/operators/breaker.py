@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pricelake.functions import decimals as D
@@ -15,13 +17,23 @@ RECOVERY_SUCCESSES = 3
 MEDIAN_HISTORY = 10
 
 
+def feeds_of(readings: DataFrame, feeds: Sequence[str] | None) -> list[str]:
+    """The given feeds, or all sources that occur (one column each, so they are few)."""
+    if feeds is not None:
+        return list(feeds)
+    found = {r[0] for r in readings.select("source").distinct().collect() if r[0] is not None}
+    return [*[f for f in FEEDS if f in found], *sorted(found - set(FEEDS))]
+
+
 def asof_latest_by_source(
-    readings: DataFrame, *, feeds: tuple[str, ...] = FEEDS, scale: int = 18, size: int = CHUNK_ROWS
+    readings: DataFrame, *, feeds: Sequence[str] | None = None, scale: int = 18, size: int = CHUNK_ROWS
 ) -> DataFrame:
     """Each reading with the newest arrival of every feed of its asset so far.
 
-    Adds `price_<feed>` columns (at `scale` decimals) and the array `current`.
+    Adds `price_<feed>` columns (at `scale` decimals) and the array `current`. The feeds
+    are those given, which saves a job, or else all sources of the readings.
     """
+    feeds = feeds_of(readings, feeds)
     scaled = readings.withColumn("__p", D.rescale(F.col("price"), F.col("decimals"), F.lit(scale)))
     values = {f"price_{f}": ("last", F.when(F.col("source") == f, F.col("__p"))) for f in feeds}
     out = running(scaled, ["asset"], "seq", values, size)
@@ -34,7 +46,7 @@ def breaker_state(
     *,
     limit_pct: float = DEVIATION_LIMIT_PCT,
     recovery: int = RECOVERY_SUCCESSES,
-    feeds: tuple[str, ...] = FEEDS,
+    feeds: Sequence[str] | None = None,
     scale: int = 18,
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -44,6 +56,7 @@ def breaker_state(
     (asset, source) suspicious until `recovery` good readings in a row. Positions
     and last deviations are found per chunk and offset by the chunk summaries.
     """
+    feeds = feeds_of(readings, feeds)
     seen = asof_latest_by_source(readings, feeds=feeds, scale=scale, size=size)
     seen = seen.withColumn("median", D.middle_of(F.col("current")))
     seen = seen.withColumn("deviation", D.deviation_pct(F.col("scaled_price"), F.col("median")))

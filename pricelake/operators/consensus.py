@@ -165,30 +165,31 @@ def consensus_series(
 
 #: Distinct values of one key that a single task ranks without narrowing first.
 RANKED_ROWS = 2_000_000
+#: The finest quantile sketch; a band of it holds too many rows only if most are few values.
+MOST_BINS = 12_800
 
 
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, *, rounds: int | None = None, bins: int = 200
+    df: DataFrame, keys: list[str], value: str, *, ranked_rows: int = RANKED_ROWS, bins: int = 200
 ) -> DataFrame:
     """Exact median per key for groups of any size, with the row count.
 
     Equal values are counted map-side before anything is ranked. While the
-    largest group is beyond `RANKED_ROWS`, quantile sketches (merged
+    largest group is beyond `ranked_rows`, quantile sketches (merged
     map-side) give a narrow band that must contain the middle ranks; rows outside
-    are only counted. The number of such rounds comes from one aggregate over the
-    largest group unless given. A group whose band misses the middle keeps all of
-    its rows, so the result is exact whatever the sketch returned.
+    are only counted. A group whose band misses the middle keeps all of its rows,
+    so the result is exact whatever the sketch returned. Rounds repeat, with a finer
+    sketch if one did not help, until the largest rest can be ranked or is one value.
     """
     rows = df.select(*keys, F.col(value).cast(WIDE).alias("__v")).filter(F.col("__v").isNotNull())
     rows = rows.withColumn("__d", F.col("__v").cast("double"))
     target = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     target = target.withColumns({"__lo": F.floor((F.col("n") + 1) / 2), "__hi": F.floor(F.col("n") / 2) + 1})
     target = target.withColumn("__m", F.col("n"))
-    if rounds is None:
-        largest = target.agg(F.max("n")).first()[0] or 0
-        rounds = 0 if largest <= RANKED_ROWS else 1 if largest <= RANKED_ROWS * bins // 8 else 2
-    steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    for _ in range(rounds):
+    largest, rounds = target.agg(F.max("n")).first()[0] or 0, 0
+    while largest > ranked_rows and bins <= MOST_BINS:
+        rounds += 1
+        steps = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
         sketch = rows.groupBy(*keys).agg(F.percentile_approx("__d", steps, 20 * bins).alias("__q"))
         place = lambda rank: F.floor((F.col(rank) - 1) / F.col("__m") * bins).cast("int")
         band = target.join(sketch, keys).withColumns({
@@ -208,8 +209,14 @@ def exact_median(
             F.when(fits, F.col("__in")).otherwise(F.col("__m")).alias("__m"),
         )
         keep = target.select(*keys, "__fits")
-        rows = tagged.join(keep, keys).filter(~F.col("__fits") | inside).select(*keys, "__v", "__d")
-        target = target.drop("__fits")
+        # Both are read again below and in the next round.
+        rows = materialize(tagged.join(keep, keys).filter(~F.col("__fits") | inside).select(*keys, "__v", "__d"), "band")
+        target = materialize(target.drop("__fits"), "middle-ranks")
+        spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), (F.min("__v") < F.max("__v")).alias("mixed"))
+        rest = spread.filter("mixed").agg(F.max("c")).first()[0] or 0
+        if rest > largest // 2:
+            bins *= 4
+        largest = rest
     per_value = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     upto = F.sum("__c").over(W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
     ranked = per_value.withColumn("__upto", upto)

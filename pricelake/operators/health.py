@@ -131,10 +131,12 @@ def slo_report(events: DataFrame, *, objectives: dict[str, float] | None = None)
 
 
 def uptime_pct(checks: DataFrame, *, keep: int = UPTIME_CHECKS) -> DataFrame:
-    """Share of successes in the newest checks of each component, two decimals."""
+    """Share of successes in the newest checks of each component, two decimals; 100 without checks."""
     recent = top_per_key(checks.filter("kind = 'check'"), ["component"], [F.col("seq").desc()], keep)
     ok = recent.groupBy("component").agg(F.avg(F.col("ok").cast("double")).alias("__r"))
-    return ok.select("component", (_half_up(F.col("__r") * 10000) / 100).alias("uptime_pct"))
+    every = checks.select("component").distinct().join(ok, "component", "left")
+    return every.select(
+        "component", F.coalesce(_half_up(F.col("__r") * 10000) / 100, F.lit(100.0)).alias("uptime_pct"))
 
 
 def component_status(checks: DataFrame) -> DataFrame:

@@ -473,7 +473,8 @@ def quota_replay(requests: DataFrame, limits: DataFrame) -> DataFrame:
                 limit = int(part["limit"].iloc[0])
                 ts, n, busy = (part[c].to_numpy() for c in ("ts_ms", "n", "busy"))
                 taken, oldest = np.zeros(len(ts), np.int64), ts.copy()
-                i = 0
+                # A limit of 0 lets nothing through, and no log ever begins.
+                i = 0 if limit > 0 else len(ts)
                 while i < len(ts):
                     while first < len(log) and log[first][0] <= ts[i] - QUOTA_WINDOW_MS:
                         total -= log[first][1]

@@ -8,6 +8,7 @@ from pricelake.functions import decimals as D
 from pricelake.operators import breaker, consensus
 from pricelake.plans.inputs import STALE, as_of, line_readings, LINES_SQL, order_readings, ORDERS_SQL, readings, with_readings
 from pricelake.plans.registry import plan
+from pricelake.schemas import FEEDS
 
 POLL = 3600
 LIMIT = 90.0
@@ -81,9 +82,8 @@ def states(spark, sf):
    CAST(p_chainlink AS VARCHAR) AS p_chainlink, CAST(p_redstone AS VARCHAR) AS p_redstone,
    CAST(p_band AS VARCHAR) AS p_band, CAST(p_reflector AS VARCHAR) AS p_reflector FROM asofs""", BREAKER_CTE))
 def asof_latest_by_source(spark, sf):
-    df = breaker.asof_latest_by_source(readings(spark, sf), scale=8)
-    feeds = ("chainlink", "redstone", "band", "reflector")
-    return df.select("seq", "asset", "source", *[F.col(f"price_{f}").cast("string").alias(f"p_{f}") for f in feeds])
+    df = breaker.asof_latest_by_source(readings(spark, sf), feeds=FEEDS, scale=8)
+    return df.select("seq", "asset", "source", *[F.col(f"price_{f}").cast("string").alias(f"p_{f}") for f in FEEDS])
 
 
 @plan("breaker_state", with_readings("""SELECT seq, asset, source, CAST(median AS VARCHAR) AS median,

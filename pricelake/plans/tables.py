@@ -132,6 +132,18 @@ def archive_cold(spark, sf):
     return reading_out(hot.unionByName(archived), "cold")
 
 
+@plan("archive_cold_retry", with_readings(f"""SELECT {_READING_COLUMNS}, timestamp < {CUTOFF} AS cold FROM readings"""))
+def archive_cold_retry(spark, sf):
+    """The archive run twice with the same cutoff: nothing is lost, nothing is there twice."""
+    path, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
+    history.write_history(readings(spark, sf), path)
+    for _ in range(2):
+        history.archive_cold(spark, path, cold, cutoff=CUTOFF)
+    hot = spark.read.parquet(path).drop("chunk").withColumn("cold", F.lit(False))
+    archived = spark.read.schema(readings(spark, sf).schema).json(f"{cold}/*").withColumn("cold", F.lit(True))
+    return reading_out(hot.unionByName(archived), "cold")
+
+
 @plan("archive_dry_run", with_readings("""SELECT count(*) FILTER (timestamp < (SELECT t FROM newest) - 7 * 86400) AS archived,
    count(*) FILTER (timestamp < (SELECT t FROM newest) - 21 * 86400) AS purged FROM readings"""))
 def archive_dry_run(spark, sf):
@@ -159,6 +171,17 @@ def retention_purge(spark, sf):
     return reading_out(spark.read.parquet(path))
 
 
+@plan("retention_purge_created", with_readings(f"""SELECT {_READING_COLUMNS} FROM readings
+   WHERE NOT (seq % 5 <> 0 AND timestamp + seq % 3 * 86400 < {CUTOFF})"""))
+def retention_purge_created(spark, sf):
+    """Rows come in up to two days late; every fifth has no time of storage and stays."""
+    path = scratch_path(spark, "purge-created")
+    stored = F.when(F.col("seq") % 5 != 0, F.timestamp_seconds(F.col("timestamp") + F.col("seq") % 3 * 86400))
+    history.write_history(readings(spark, sf).withColumn("created_at", stored), path)
+    history.retention_purge_created(spark, path, F.timestamp_seconds(F.lit(CUTOFF)))
+    return reading_out(spark.read.parquet(path))
+
+
 @plan("semi_delete", with_readings(f"SELECT {_READING_COLUMNS} FROM readings WHERE NOT (asset = 'BTC' AND timestamp < {CUTOFF})"))
 def semi_delete(spark, sf):
     df = readings(spark, sf)
@@ -232,7 +255,8 @@ _PART = "sum(CAST('0x' || substr(h, {start}, 15) AS BIGINT))"
 
 @plan("export_checksum", with_readings("SELECT sha256(CAST(rows AS VARCHAR) || ':' || " + " || ':' || ".join(
     f"CAST(p{i} AS VARCHAR)" for i in range(4)) + ") AS checksum, rows FROM parts",
-    "lines AS (SELECT sha256(timestamp || ',' || CAST(price AS VARCHAR) || ',' || source || ',' || asset || '-USD') AS h FROM readings)",
+    "lines AS (SELECT sha256(array_to_string(list_transform([timestamp::VARCHAR, price::VARCHAR, source, asset || '-USD'],
+       lambda v: length(v) || ':' || v), ',')) AS h FROM readings)",
     "parts AS (SELECT count(*) AS rows, " + ", ".join(
         f"{_PART.format(start=1 + 15 * i)} AS p{i}" for i in range(4)) + " FROM lines)"))
 def export_checksum(spark, sf):

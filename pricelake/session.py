@@ -30,12 +30,18 @@ def build_session(app: str = "pricelake", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees; set here only when the session has none."""
+    """The folder every executor sees: `spark.checkpoint.dir`.
+
+    Without it, a local session gets a temporary folder; on a cluster that would be a
+    different disk on every machine, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="pricelake-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")

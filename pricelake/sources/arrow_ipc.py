@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import (
@@ -25,7 +26,7 @@ class _Written(WriterCommitMessage):
 
 class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
 
     def write(self, iterator):
         import pyarrow as pa
@@ -34,7 +35,7 @@ class _Writer(DataSourceArrowWriter):
         store, base = _resolve(self.path)
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.arrow"
+        name = f"part-{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}.arrow"
         sink = writer = None
         rows = 0
         for batch in iterator:
@@ -50,10 +51,19 @@ class _Writer(DataSourceArrowWriter):
         return _Written(name, rows)
 
     def commit(self, messages):
+        """New files take their names first, then the files of former jobs go if asked for."""
+        from pyarrow import fs
+
         store, base = _resolve(self.path)
+        store.create_dir(base, recursive=True)
         for done in messages:
             if done is not None and done.name:
                 store.move(f"{base}/_{done.name}", f"{base}/{done.name}")
+        for found in store.get_file_info(fs.FileSelector(base)):
+            ours = found.base_name.startswith((f"part-{self.job}-", f"_part-{self.job}-"))
+            left = found.base_name.startswith("_part-") and ours  # of a task that failed
+            if left or self.overwrite and found.base_name.startswith(("part-", "_part-")) and not ours:
+                store.delete_file(found.path)
 
     def abort(self, messages):
         store, base = _resolve(self.path)

@@ -32,7 +32,7 @@ def export_table(rows: DataFrame, path: str, fmt: str, *, compression: str | Non
         from pricelake.sources.arrow_ipc import ArrowIpcSource
 
         rows.sparkSession.dataSource.register(ArrowIpcSource)
-        rows.write.format("arrow_ipc").option("path", path).mode("append").save()
+        rows.write.format("arrow_ipc").option("path", path).mode("overwrite").save()
         return
     if compression:
         writer = writer.option("compression", compression)
@@ -66,7 +66,9 @@ def export_checksum(rows: DataFrame, columns: list[str]) -> DataFrame:
     Row digests are added up in four 60-bit parts, so partial sums merge and
     the result does not depend on files, partitions or row order.
     """
-    line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    # Every value with its length, so that no two rows have one line.
+    part = lambda c: F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"))
+    line = F.concat_ws(",", *[F.coalesce(part(F.col(c)), F.lit("-")) for c in columns])
     digest = rows.select(F.sha2(line, 256).alias("h"))
     parts = [
         F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(4)

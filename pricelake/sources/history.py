@@ -8,6 +8,8 @@ groups can be skipped by asset and time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from pricelake.operators.chunks import top_per_key
@@ -17,25 +19,31 @@ from pricelake.sources import files
 
 KEY = ["asset", "source", "timestamp"]
 DAY = 86400
+#: Rows of one file; a chunk is spread over as many files as its rows need.
+FILE_ROWS = 5_000_000
 
 
 def chunk_of(timestamp: Column) -> Column:
     return F.floor(timestamp / F.lit(CHUNK_SECONDS)).cast("bigint")
 
 
-def _laid_out(df: DataFrame, files_per_chunk: int) -> DataFrame:
-    spread = F.pmod(F.xxhash64(*KEY), F.lit(files_per_chunk))
+def _laid_out(df: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    chunked = df.withColumn("chunk", chunk_of(F.col("timestamp")))
+    # One row per seven days.
+    sizes = chunked.groupBy("chunk").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("__files"))
+    spread = F.pmod(F.xxhash64(*KEY), F.col("__files"))
     return (
-        df.withColumn("chunk", chunk_of(F.col("timestamp")))
+        chunked.join(sizes, "chunk")
         .withColumn("__part", spread)
         .repartition("chunk", "__part")
         .sortWithinPartitions("chunk", "asset", "timestamp")
-        .drop("__part")
+        .drop("__part", "__files")
+        .select(*df.columns, "chunk")
     )
 
 
-def write_history(df: DataFrame, path: str, *, mode: str = "append", files_per_chunk: int = 8) -> None:
-    _laid_out(df, files_per_chunk).write.mode(mode).partitionBy("chunk").parquet(path)
+def write_history(df: DataFrame, path: str, *, mode: str = "append", file_rows: int = FILE_ROWS) -> None:
+    _laid_out(df, file_rows).write.mode(mode).partitionBy("chunk").parquet(path)
 
 
 def scan_history_table(
@@ -77,13 +85,15 @@ def dedupe_readings(df: DataFrame, *, on_conflict: str = "first", position: str
     return df.groupBy(*KEY).agg(*values).select(*df.columns)
 
 
+def _touched(keyed: DataFrame) -> list[int]:
+    """The chunks that rows fall into: one number per seven days."""
+    return sorted(r[0] for r in keyed.select("chunk").distinct().collect() if r[0] is not None)
+
+
 def _not_stored(spark: SparkSession, fresh: DataFrame, path: str) -> DataFrame:
     """Rows whose key the table lacks; only the chunks they fall into are read."""
     keyed = fresh.withColumn("chunk", chunk_of(F.col("timestamp")))
-    low, high = keyed.agg(F.min("chunk"), F.max("chunk")).first()
-    if low is None:
-        return fresh
-    stored = spark.read.parquet(path).filter(F.col("chunk").between(low, high)).select("chunk", *KEY)
+    stored = spark.read.parquet(path).filter(F.col("chunk").isin(_touched(keyed))).select("chunk", *KEY)
     return keyed.join(stored, ["chunk", *KEY], "left_anti").drop("chunk")
 
 
@@ -103,15 +113,18 @@ def sink_history_append(
         write_history(_not_stored(spark, fresh, path), path)
         return
     keyed = fresh.withColumn("chunk", chunk_of(F.col("timestamp")))
-    low, high = keyed.agg(F.min("chunk"), F.max("chunk")).first()
-    if low is None:
+    touched = _touched(keyed)
+    if not touched:
         return
-    touched = keyed.select("chunk").distinct()
-    stored = spark.read.parquet(path).filter(F.col("chunk").between(low, high))
-    kept = stored.join(touched, "chunk", "left_semi").join(keyed.select("chunk", *KEY), ["chunk", *KEY], "left_anti")
+    stored = spark.read.parquet(path).filter(F.col("chunk").isin(touched))
+    kept = stored.join(keyed.select("chunk", *KEY), ["chunk", *KEY], "left_anti")
     merged = materialize(kept.drop("chunk").select(*fresh.columns).unionByName(fresh), "merge")
-    _laid_out(merged, 8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "chunk").parquet(path)
+    _replace_chunks(merged, path)
+
+
+def _replace_chunks(df: DataFrame, path: str) -> None:
+    """Each chunk that `df` has rows of becomes those rows; the other chunks stay."""
+    _laid_out(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
 
 
 def upsert_state(current: DataFrame | None, new: DataFrame, *, key: str = "asset", newest: str = "latest_timestamp"
@@ -136,41 +149,84 @@ def semi_delete(df: DataFrame, archived: DataFrame, keys: tuple[str, ...] = ("id
     return df.join(archived.select(*keys), list(keys), "left_anti")
 
 
+def _drop_rows(spark: SparkSession, path: str, kept: DataFrame, last: int) -> None:
+    """Of the chunks up to `last`, only the rows `kept` stay: they replace their chunks, the rest is deleted."""
+    kept = materialize(kept, "kept")
+    stay = set(_touched(kept.select("chunk")))
+    if stay:
+        _replace_chunks(kept.drop("chunk"), path)
+    for folder in files.glob(spark, f"{path}/chunk=*"):
+        number = folder.rsplit("=", 1)[1]
+        if number.lstrip("-").isdigit() and int(number) <= last and int(number) not in stay:
+            files.remove(spark, folder)
+
+
 def drop_older(spark: SparkSession, path: str, cutoff: int) -> None:
     """Remove rows with timestamp < cutoff: whole chunks by deleting their
     folders, the boundary chunk by rewriting it from a staged copy."""
-    boundary = cutoff // CHUNK_SECONDS
-    if cutoff % CHUNK_SECONDS:
-        edge = spark.read.parquet(path).filter(F.col("chunk") == boundary)
-        kept = materialize(edge.filter(F.col("timestamp") >= cutoff).drop("chunk"), "edge")
-        if kept.isEmpty():
-            files.remove(spark, f"{path}/chunk={boundary}")
-        else:
-            _laid_out(kept, 8).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-                "chunk").parquet(path)
-    for folder in files.glob(spark, f"{path}/chunk=*"):
-        if int(folder.rsplit("=", 1)[1]) < boundary:
-            files.remove(spark, folder)
+    last = (cutoff - 1) // CHUNK_SECONDS
+    edge = spark.read.parquet(path).filter((F.col("chunk") == last) & (F.col("timestamp") >= cutoff))
+    _drop_rows(spark, path, edge, last)
 
 
 retention_purge = drop_older
 
 
+def retention_purge_created(spark: SparkSession, path: str, cutoff: Column, *, created: str = "created_at") -> None:
+    """Remove rows stored before `cutoff` (by their `created` column); null counts as new.
+
+    Only chunks that hold such rows are rewritten.
+    """
+    stored = spark.read.parquet(path)
+    gone = F.coalesce(F.col(created) < cutoff, F.lit(False))
+    chunks = _touched(stored.filter(gone).select("chunk"))
+    kept = materialize(stored.filter(F.col("chunk").isin(chunks) & ~gone), "kept")
+    stay = set(_touched(kept.select("chunk")))
+    if stay:
+        _replace_chunks(kept.drop("chunk"), path)
+    for number in chunks:
+        if number not in stay:
+            files.remove(spark, f"{path}/chunk={number}")
+
+
 def archive_cold(spark: SparkSession, path: str, cold: str, *, cutoff: int, batch_rows: int = 5000) -> None:
-    """Write rows older than `cutoff` as gzip NDJSON, then drop them from the table.
+    """Move rows older than `cutoff` to gzip NDJSON under `cold`; safe to run again at any point.
 
-    The rows are removed only after the archive write has committed.
+    Rows that the archive lacks are staged beside it and published by a rename, to a
+    folder that never replaces one that is there. Then only rows found in the archive
+    are removed from the table, so an interrupted run is completed by the next.
     """
-    old = scan_history_table(spark, path, end=cutoff - 1).drop("chunk")
-    (
-        old.repartitionByRange("timestamp", *[c for c in ("seq", "id") if c in old.columns])
-        .sortWithinPartitions("timestamp")
-        .write.mode("overwrite")
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", batch_rows)
-        .json(f"{cold}/price_history_{cutoff}")
-    )
-    drop_older(spark, path, cutoff)
+    stored = spark.read.parquet(path)
+    schema = stored.drop("chunk").schema
+    keys = [*KEY, *[c for c in ("seq", "id") if c in schema.names]]
+    last = (cutoff - 1) // CHUNK_SECONDS
+    old = stored.filter((F.col("chunk") <= last) & (F.col("timestamp") < cutoff))
+
+    def archived() -> DataFrame | None:
+        folders = files.glob(spark, f"{cold}/price_history_*")
+        return spark.read.schema(schema).json(folders).select(*keys).distinct() if folders else None
+
+    known = archived()
+    missing = materialize((old if known is None else old.join(known, keys, "left_anti")).drop("chunk"), "to-archive")
+    if not missing.isEmpty():
+        staged = f"{cold}-staging/{uuid.uuid4().hex}"
+        (
+            missing.repartitionByRange("timestamp", *[c for c in ("seq", "id") if c in schema.names])
+            .sortWithinPartitions("timestamp")
+            .write.option("compression", "gzip")
+            .option("maxRecordsPerFile", batch_rows)
+            .json(staged)
+        )
+        target, number = f"{cold}/price_history_{cutoff}", 1
+        while files.exists(spark, target):
+            number += 1
+            target = f"{cold}/price_history_{cutoff}_{number}"
+        files.rename(spark, staged, target)
+    known = archived()
+    if known is not None:
+        low = stored.filter(F.col("chunk") <= last)
+        gone = low.filter(F.col("timestamp") < cutoff).join(known, keys, "left_semi").select(*keys)
+        _drop_rows(spark, path, low.join(materialize(gone, "archived"), keys, "left_anti"), last)
 
 
 def archive_restore(spark: SparkSession, path: str, cold: str) -> None:

@@ -6,6 +6,7 @@ stream and still picked up when a batch recomputes the range.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -133,8 +134,9 @@ def stream_alerts(
         out = []
         for tick, price in zip(rows["tick"], rows["price"]):
             now = float(price)
-            if previous:
-                moved = abs((now - previous) / previous) * 100
+            if previous is not None:
+                # A move away from 0 has no finite size and always fires, as in alert_deviation.
+                moved = abs((now - previous) / previous) * 100 if previous else (math.inf if now else 0.0)
                 at = int(tick) * poll
                 if moved > limit_pct and (alerted is None or at - alerted >= period_s):
                     out.append((key[0], at, "deviation", moved))

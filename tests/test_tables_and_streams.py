@@ -115,3 +115,78 @@ def test_stream_replays_equal_batch(spark, data, tmp_path):
     jobs.run_available(jobs.stream_guard(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = {(r.seq, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r.seq, r.accepted) for r in sequential.guard_replay(data).select("seq", "accepted").collect()}
+
+
+def archive_state(spark, path, cold):
+    hot = {r.seq for r in spark.read.parquet(path).select("seq").collect()}
+    schema = spark.read.parquet(path).drop("chunk").schema
+    found = [r.seq for r in spark.read.schema(schema).json(f"{cold}/*").select("seq").collect()]
+    assert len(found) == len(set(found))
+    return hot, set(found)
+
+
+@pytest.mark.parametrize("stop", ["none", "before_publish", "before_delete"])
+def test_archive_again(spark, tmp_path, monkeypatch, stop):
+    base = spark.range(0, 3 * 604800, 7200).selectExpr(
+        "id seq", "'A' asset", "'x' source", "'1' price", "8 decimals", "id timestamp")
+    path, cold, cutoff = str(tmp_path / "hot"), str(tmp_path / "cold"), 604800 + 5 * 7200
+    history.write_history(base, path)
+    every = {r.seq for r in base.collect()}
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    if stop != "none":
+        with monkeypatch.context() as patch:
+            patch.setattr(*((history.files, "rename") if stop == "before_publish" else (history, "_drop_rows")), fail)
+            with pytest.raises(RuntimeError):
+                history.archive_cold(spark, path, cold, cutoff=cutoff)
+    for _ in range(2):
+        history.archive_cold(spark, path, cold, cutoff=cutoff)
+        hot, archived = archive_state(spark, path, cold)
+        assert archived == {s for s in every if s < cutoff} and hot == every - archived
+    late = base.filter("timestamp < 14400").withColumn("source", F.lit("late")).withColumn("seq", F.col("seq") + 10**9)
+    history.sink_history_append(spark, late, path)
+    history.archive_cold(spark, path, cold, cutoff=cutoff)
+    hot, archived = archive_state(spark, path, cold)
+    assert len(archived) == len({s for s in every if s < cutoff}) + 2 and not hot & archived
+
+
+def test_late_rows_read_their_chunks_only(spark, tmp_path):
+    base = spark.range(0, 5 * 604800, 36000).selectExpr(
+        "id seq", "'A' asset", "'x' source", "'1' price", "8 decimals", "id timestamp")
+    path = str(tmp_path / "h")
+    history.write_history(base, path)
+    late = base.filter("seq in (0, 2880000)").withColumn("source", F.lit("late"))
+    df = history._not_stored(spark, late, path)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "chunk#" in plan and "IN (0,4)" in plan
+    assert df.count() == 2
+
+
+@pytest.mark.parametrize("fmt", export.FORMATS)
+def test_export_again_replaces(spark, data, tmp_path, fmt):
+    rows = export.export_rows(data, "ETH-USD")
+    for _ in range(2):
+        export.export_table(rows, str(tmp_path / "e"), fmt)
+    assert export.read_export(spark, str(tmp_path / "e"), fmt).count() == rows.count()
+
+
+@pytest.mark.parametrize("limit", [0, 1])
+def test_smallest_quotas(spark, limit):
+    requests = spark.createDataFrame([("k", i, 1000 * i) for i in range(130)], "key string, seq bigint, ts_ms bigint")
+    limits = spark.createDataFrame([("k", limit)], "key string, limit bigint")
+    out = sequential.quota_replay(requests, limits).orderBy("seq").collect()
+    assert [r.seq for r in out if r.allowed] == ([0, 60, 120] if limit else [])
+    assert all(r.retry_after_s is not None and 0 < r.retry_after_s <= 60 for r in out if not r.allowed)
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from pricelake import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    other = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(other)

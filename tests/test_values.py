@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelake.functions import decimals as D, vault
-from pricelake.operators import consensus, integrity, ledger, lookups, quality, validate
-from pricelake.sources import feeds
+from pricelake.operators import breaker, consensus, health, integrity, ledger, lookups, quality, validate
+from pricelake.sources import export, feeds
 
 NOW = 1_719_000_000
 
@@ -73,14 +73,14 @@ def test_consensus_leaves_suspicious_out_unless_all_are(spark):
     assert got == {"A": ("100.0", 0.5), "B": ("7.0", 1.0)}
 
 
-@pytest.mark.parametrize("rounds", [None, 0, 1, 2])
-def test_exact_median(spark, rounds):
+@pytest.mark.parametrize("ranked_rows", [2_000_000, 400, 7])
+def test_exact_median(spark, ranked_rows):
     rng = random.Random(8)
     data = {"hot": [rng.choice([5, rng.randint(-10**20, 10**20)]) for _ in range(4001)], "one": [3], "two": [1, 2],
             "same": [9] * 500, "wide": [10**36 + i for i in range(300)]}
     df = spark.createDataFrame([(k, str(v)) for k, vs in data.items() for v in vs], "k string, v string")
     df = df.selectExpr("k", "cast(v as decimal(38,0)) v")
-    got = {r.k: r.median for r in consensus.exact_median(df, ["k"], "v", rounds=rounds, bins=20).collect()}
+    got = {r.k: r.median for r in consensus.exact_median(df, ["k"], "v", ranked_rows=ranked_rows, bins=20).collect()}
     for k, vs in data.items():
         vs.sort()
         assert Fraction(got[k]) == Fraction(vs[(len(vs) - 1) // 2] + vs[len(vs) // 2], 2), k
@@ -204,3 +204,34 @@ def test_quality_ok(spark):
     df = readings(spark, [("A", "band", "1", 8, NOW)])
     found = quality.quality_violations(df, df, df, now=F.lit(NOW))
     assert {r.layer: r.status for r in quality.quality_report(found).collect()} == {"db-integrity": "ok", "feed-store": "ok"}
+
+
+def test_long_signed_number(spark):
+    zeros = "0" * 6000
+    rows = [("-1." + zeros + "e3", "-1000"), ("1." + zeros + "e3", "1000"), ("+1" + "0" * 5999 + "e-5999", "1")]
+    df = spark.createDataFrame(rows, "raw string, want string")
+    for r in df.select(D.shift_point(F.col("raw"), F.lit(0)).alias("got"), "want").collect():
+        assert str(r.got) == r.want
+
+
+def test_source_outside_the_known_feeds_counts(spark):
+    rows = [("A", "chainlink", "100", 8, NOW), ("A", "fifth", "300", 8, NOW + 1), ("A", "sixth", "200", 8, NOW + 2)]
+    out = breaker.breaker_state(readings(spark, rows), scale=8).orderBy("seq").collect()
+    assert [str(r.median) for r in out] == ["100.0", "200.0", "200.0"]
+
+
+def test_uptime_without_checks(spark):
+    rows = [("a", 1, "degraded", False), ("b", 2, "check", True), ("b", 3, "check", False)]
+    df = spark.createDataFrame(rows, "component string, seq bigint, kind string, ok boolean")
+    assert {r.component: r.uptime_pct for r in health.uptime_pct(df).collect()} == {"a": 100.0, "b": 50.0}
+
+
+def test_text_that_only_looks_sealed_passes(spark):
+    df = spark.createDataFrame([("enc:note",), ("enc:",), ("plain",), (None,)], "v string")
+    assert [r[0] for r in df.select(vault.decrypt(F.col("v"), [bytes(32)])).collect()] == ["enc:note", "enc:", "plain", None]
+
+
+def test_digest_tells_cells_apart(spark):
+    digest = lambda a, b: export.export_checksum(
+        spark.createDataFrame([(a, b)], "a string, b string"), ["a", "b"]).first().checksum
+    assert len({digest("a,b", "c"), digest("a", "b,c"), digest(None, "c"), digest("-", "c"), digest("\\N", "c")}) == 5
