@@ -1,19 +1,58 @@
-"""From raw documents to a training mix, in stages that are written and read again."""
+"""From raw documents to a training mix, in stages that are written and read again.
+
+Every stage takes the documents that the one before it kept and returns the columns of
+documents; the last may repeat documents. Rows are kept with all their columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pricelake import scratch_path
-from pricelake.llm import mixing
+from pricelake.llm import decontam, langid, minhash, mixing, suffix
+
+
+def columns_of(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter go; a missing language is filled in."""
+    known = langid.predict(docs, langid.learn(docs)).filter(F.col("lang_pred") != langid.UND)
+    return columns_of(known.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id."""
+    return columns_of(minhash.group_near(docs).filter("kept"), docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere are cut out of the texts; a character cut in two goes as well."""
+    cut = suffix.strip_repeats(docs)
+    rest = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(
+            F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return columns_of(cut, docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents so that sources approach their target weights."""
+    """Documents are repeated so that the sources approach their target weights."""
     return mixing.emit(docs)
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 

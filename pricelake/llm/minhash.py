@@ -12,10 +12,10 @@ their Jaccard similarity is `threshold` or more, and groups are connected compon
    copies cost what one text costs.
 3. Only collection values that occur twice are paired into keys: most texts drop out
    before any table key is made.
-4. Each bucket links its members to its smallest node; those pairs are confirmed first
-   and joined into components. Then every pair of nodes that shares a bucket but is in
-   different components is confirmed too, so the star shape loses no link; pairs
-   already in one component need no check.
+4. Each bucket links its members to the one that meets most others in all tables; those
+   pairs are confirmed first and joined into components. Then the nodes that share a bucket with another component
+   are compared across components, so the star shape loses no link. A prefix filter,
+   which loses none either, keeps this from being all pairs of a bucket.
 
 Links, labels and sets stay in tables; labels are contracted by alternating large and
 small stars. All groupings combine on the map side; joins may be split by AQE.
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pricelake.llm import text as tx
 from pricelake.session import materialize
@@ -134,6 +134,39 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return materialize(both.filter(common * 100 >= whole * percent).select("a", "b"), name)
 
 
+def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, n, root) with different roots that may be similar enough; none that is, is left out.
+
+    With shingles ordered from rare to common, two sets that are similar enough share one
+    of the first n - ceil(n * percent / 100) + 1 of each, and that one must leave enough
+    behind it in both. In a family of edited copies the rare shingles are the edits, which
+    hardly two copies share, and few follow in both. Of the pairs at one shingle at least one
+    node is outside the component that is most frequent there, so only such nodes are
+    paired with the others.
+    """
+    items = sets.join(nodes, "node").select("node", "n", "root", F.explode("items").alias("h"))
+    common = items.groupBy("h").agg(
+        F.count("*").alias("f"), (F.min("root") < F.max("root")).alias("mixed")).filter("f > 1")
+    own = W.partitionBy("node")
+    head = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    alone = F.col("n") - F.count("*").over(own)  # shingles of no other node come first
+    heads = items.join(common, "h").withColumn("last", head - alone).withColumn(
+        "at", F.row_number().over(own.orderBy("f", "h"))).filter((F.col("at") <= F.col("last")) & F.col("mixed"))
+    heads = materialize(heads.select("h", "node", "n", "root", "at"), "heads")
+    most = heads.groupBy("h", "root").agg(F.count("*").alias("times")).groupBy("h").agg(
+        F.max_by("root", "times").alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("h", "main")
+    heads = heads.join(materialize(most, "main-roots"), "h")
+    side = lambda df, k: df.select(
+        "h", F.col("node").alias(f"node{k}"), F.col("n").alias(f"n{k}"), F.col("root").alias(f"root{k}"), F.col("at").alias(f"at{k}"))
+    # At their first common shingle, two sets can share no more than it and what follows.
+    most = 1 + F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fit = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (
+        most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+    return side(heads.filter("root != main"), 1).join(side(heads, 2), "h").filter(
+        (F.col("root1") != F.col("root2")) & fit
+    ).select(F.greatest("node1", "node2").alias("a"), F.least("node1", "node2").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """For `docs` (doc, mark, text): (doc, mark, n, root) - root is null for the empty set, else its group's smallest doc."""
     signs = materialize(
@@ -148,23 +181,29 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     # Table keys, only from collection values that occur twice.
     values = nodes.select("node", F.posexplode("values").alias("c", "v"))
-    twice = values.groupBy("c", "v").agg(F.count("*").alias("times")).filter("times > 1").select("c", "v")
+    twice = materialize(
+        values.groupBy("c", "v").agg(F.count("*").alias("times")).filter("times > 1").select("c", "v"), "shared-values")
     kept = values.join(twice, ["c", "v"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("vs"))
     pair = lambda x, i: F.transform(
         F.slice(F.col("vs"), i + 2, F.size("vs")), lambda y: F.xxhash64(x["c"], x["v"], y["c"], y["v"]))
     keys = kept.filter(F.size("vs") > 1).select("node", F.explode(F.flatten(F.transform("vs", pair))).alias("key"))
     keys = materialize(keys, "table-keys")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).filter("center < other")
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "bucket-sizes")
+    shared = keys.join(counts, "key")
+    # A node that meets many others is the least edited of its family: the best center.
+    weights = shared.groupBy("node").agg(F.sum(F.col("times") - 1).alias("weight"))
+    shared = materialize(shared.select("key", "node").join(materialize(weights, "weights"), "node"), "shared-keys")
+    buckets = shared.groupBy("key").agg(F.max_by("node", "weight").alias("center"))
     members = materialize(
-        keys.join(buckets.select("key", "center"), "key")
+        shared.select("key", "node").join(materialize(buckets, "centers"), "key")
         .join(nodes.select("node", "n"), "node"), "buckets")
 
     sized = nodes.select(F.col("node").alias("center"), F.col("n").alias("m"))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    stars = members.filter("node > center").groupBy("center", F.col("node")).agg(F.first("n").alias("n"))
+    stars = members.filter("node != center").groupBy("center", "node").agg(F.first("n").alias("n"))
     stars = materialize(
         stars.join(sized, "center").filter(fits(F.col("n"), F.col("m")))
-        .select(F.col("node").alias("a"), F.col("center").alias("b")), "stars")
+        .select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct(), "stars")
 
     # Full sets of the nodes that share a bucket, from one text each.
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", "doc", "mark")
@@ -173,15 +212,11 @@ def near_groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked = _confirm(stars, sets, percent, "links")
     roots = materialize(components(linked), "roots")
 
-    # Pairs across components that share a bucket.
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Nodes that share a bucket with another component.
+    placed = members.select("key", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialize(placed.join(apart, "key").select("key", "node", "n", "root"), "open")
-    one = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = one.join(two, "key").filter(
-        (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb"))
-    ).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = placed.join(apart, "key").select("node", "n", "root").distinct()
+    rest = _across(open_, sets, percent).join(stars, ["a", "b"], "left_anti")
     more = _confirm(materialize(rest, "rest"), sets, percent, "more-links")
     every = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     roots = materialize(components(every), "roots")
@@ -201,7 +236,8 @@ def group_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` with `n_shingles`, `component_id` and `kept` (the first document of its group).
 
     `kept` marks one document of each group: that with the smallest id; among rows
-    with one id those with the smallest text hash, equal rows staying together.
+    with one id that with the smallest text hash; of equal rows one. Texts without words
+    are all kept.
     """
     named = docs.withColumns({
         "mh_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "mh_mark": F.hash(F.col(text_col))})
@@ -209,9 +245,18 @@ def group_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("mh_doc").alias("doc"), F.col("mh_mark").alias("mark"), F.col(text_col).alias("text")), percent)
     groups = groups.select(
         F.col("doc").alias("mh_doc"), F.col("mark").alias("mh_mark"), F.col("n").alias("n_shingles"),
-        F.coalesce("root", "doc").alias("mh_root")).distinct()
-    out = named.join(groups, ["mh_doc", "mh_mark"])
-    group = F.when(F.col("mh_root") != NO_ID, F.col("mh_root"))
+        F.col("root").alias("mh_root")).distinct()
+    groups = materialize(groups, "groups")
+    # Rows of one group may share an id: one text is chosen, and of equal rows the first.
+    first = groups.filter("mh_root IS NOT NULL").groupBy("mh_root").agg(
+        F.min(F.struct("mh_doc", "mh_mark")).alias("mh_first"))
+    groups = groups.join(first, "mh_root", "left")
+    copy = F.row_number().over(W.partitionBy("mh_doc", "mh_mark").orderBy("mh_doc"))
+    out = named.join(groups, ["mh_doc", "mh_mark"]).withColumn("mh_copy", copy)
+    root = F.coalesce("mh_root", "mh_doc")
+    group = F.when(root != NO_ID, root)
+    chosen = F.col("mh_root").isNull() | (
+        (F.col("mh_first.mh_doc") == F.col("mh_doc")) & (F.col("mh_first.mh_mark") == F.col("mh_mark")) & (F.col("mh_copy") == 1))
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns], "n_shingles", group.alias("component_id"),
-        (F.col("mh_doc") == F.col("mh_root")).alias("kept"))
+        chosen.alias("kept"))

@@ -65,6 +65,14 @@ def test_like_brute_force(spark, seed, edits):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_of_each_group_is_kept(spark):
+    say = "one two three four five six seven eight"
+    rows = [(3, say), (2, say.upper()), (2, say), (2, say), (None, say), (7, ""), (7, ""), (None, None), (9, "else")]
+    out = minhash.group_near(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS mark")).collect()
+    kept = [(r.doc_id, (r.text or "").lower()) for r in out if r.kept]
+    assert sorted(kept, key=str) == sorted([(2, say), (7, ""), (7, ""), (None, ""), (9, "else")], key=str)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
