@@ -255,8 +255,8 @@ _PART = "sum(CAST('0x' || substr(h, {start}, 15) AS BIGINT))"
 
 @plan("export_checksum", with_readings("SELECT sha256(CAST(rows AS VARCHAR) || ':' || " + " || ':' || ".join(
     f"CAST(p{i} AS VARCHAR)" for i in range(4)) + ") AS checksum, rows FROM parts",
-    "lines AS (SELECT sha256(array_to_string(list_transform([timestamp::VARCHAR, price::VARCHAR, source, asset || '-USD'],
-       lambda v: length(v) || ':' || v), ',')) AS h FROM readings)",
+    "lines AS (SELECT sha256(array_to_string(list_transform([timestamp::VARCHAR, price::VARCHAR, source, asset || '-USD'], "
+    "lambda v: length(v) || ':' || v), ',')) AS h FROM readings)",
     "parts AS (SELECT count(*) AS rows, " + ", ".join(
         f"{_PART.format(start=1 + 15 * i)} AS p{i}" for i in range(4)) + " FROM lines)"))
 def export_checksum(spark, sf):
