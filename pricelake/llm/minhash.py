@@ -150,8 +150,8 @@ def _across(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = W.partitionBy("node")
     head = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     alone = F.col("n") - F.count("*").over(own)  # shingles of no other node come first
-    heads = items.join(common, "h").withColumn("last", head - alone).withColumn(
-        "at", F.row_number().over(own.orderBy("f", "h"))).filter((F.col("at") <= F.col("last")) & F.col("mixed"))
+    heads = items.join(common, "h").withColumn("alone", alone).withColumn(
+        "at", F.col("alone") + F.row_number().over(own.orderBy("f", "h"))).filter((F.col("at") <= head) & F.col("mixed"))
     heads = materialize(heads.select("h", "node", "n", "root", "at"), "heads")
     most = heads.groupBy("h", "root").agg(F.count("*").alias("times")).groupBy("h").agg(
         F.max_by("root", "times").alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("h", "main")
