@@ -26,7 +26,7 @@ CHUNK = 4096
 def add_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale: int = SCALE) -> DataFrame:
     """`df` with column `out`: sorted array of the retained hashes of `text_col`."""
     words, hashes, kept = f"{out}_w", f"{out}_h", f"{out}_k"
-    cut = -(1 << 63) + (1 << 64) // scale
+    top = -(1 << 63) + (1 << 64) // scale - 1
     trimmed = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACES))
     # Each word is hashed once; a shingle's hash is taken over its words' hashes.
     df = df.withColumn(words, F.transform(F.split(trimmed, SPACE), lambda w: F.xxhash64(w)))
@@ -37,7 +37,7 @@ def add_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale
         F.when(trimmed == "", F.array().cast("array<bigint>"))
         .when(F.size(words) < width, F.array(F.xxhash64(F.col(words))))
         .otherwise(F.transform(starts, shingle)))
-    df = df.withColumn(kept, F.filter(hashes, lambda h: h < cut))
+    df = df.withColumn(kept, F.filter(hashes, lambda h: h <= top))
     lowest = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn(
         out, F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(kept))).otherwise(lowest)
@@ -46,9 +46,9 @@ def add_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of the union of two texts' shingles."""
-    cut = -(1 << 63) + (1 << 64) // scale
+    top = -(1 << 63) + (1 << 64) // scale - 1
     both = F.sort_array(F.array_union(a, b))
-    below = F.filter(both, lambda h: h < cut)
+    below = F.filter(both, lambda h: h <= top)
     return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
 
 
