@@ -13,7 +13,7 @@ TOP = 10
 ANOMALY_Z = 3.0
 ANOMALY_HOURS = 168
 MIN_POINTS = 4
-RETENTION_HOURS = 24 * 90
+RETENTION_HOURS = 24 * 90  # of hourly counts
 
 
 def usage_hourly(requests: DataFrame) -> DataFrame:
@@ -39,6 +39,19 @@ def usage_hourly(requests: DataFrame) -> DataFrame:
     return out.filter((F.col("dimension") == "total") | F.col("name").isNotNull())
 
 
+def usage_total(requests: DataFrame, *, since_ms: Column | None = None) -> DataFrame:
+    """The `total` rows of `usage_hourly` alone: one count per hour, no grouping sets."""
+    hour = F.floor(F.col("timestamp") / HOUR_MS) * HOUR_MS
+    rows = requests if since_ms is None else requests.filter(hour >= since_ms)
+    counted = rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("count"))
+    return counted.select("hour", F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("name"), "count")
+
+
+def retained(hourly: DataFrame, *, now_ms: Column) -> DataFrame:
+    """Hourly counts still inside the retention of 90 days."""
+    return hourly.filter(F.col("hour") >= now_ms - RETENTION_HOURS * HOUR_MS)
+
+
 def top_entries(counts: DataFrame, n: int = TOP) -> DataFrame:
     """Highest counts per dimension; ties in name order."""
     return top_per_key(counts, ["dimension"], [F.col("count").desc(), F.col("name").asc()], n, rank="rank")

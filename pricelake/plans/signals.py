@@ -419,7 +419,7 @@ def top_entries(spark, sf):
    WHERE abs((count - m) / s) >= 2""")
 def usage_anomalies(spark, sf):
     req = requests(spark, sf)
-    return usage.usage_anomalies(usage.usage_hourly(req), now_ms=as_of(req), z_limit=2.0, lookback_h=720)
+    return usage.usage_anomalies(usage.usage_total(req), now_ms=as_of(req), z_limit=2.0, lookback_h=720)
 
 
 @plan("affected_consumers", f"WITH {REQUESTS_SQL} SELECT endpoint AS path, api_key_prefix, min(seq) AS first_seq FROM requests GROUP BY 1, 2")

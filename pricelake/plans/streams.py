@@ -8,6 +8,7 @@ from pricelake.plans.core import POLL, SERIES_CTE, mid, series
 from pricelake.plans.inputs import ASSET, REQUESTS_SQL, SOURCE, readings, table, with_readings
 from pricelake.plans.ledgers import _recursive
 from pricelake.plans.registry import ORACLES, plan
+from pricelake.plans.tables import CUTOFF
 from pricelake.session import scratch_path
 from pricelake.sources import feeds, history
 from pricelake.streaming import jobs
@@ -115,6 +116,29 @@ def stream_feed_breaker(spark, sf):
     return out.select("seq", "source", "allowed", "state", "failures", "trips")
 
 
+@plan("cdc_after_rewrite", with_readings("""SELECT seq, asset, CAST(price AS VARCHAR) AS price, timestamp, seq % 2 AS batch
+   FROM (SELECT *, row_number() OVER (PARTITION BY asset, source, timestamp, seq % 2 ORDER BY seq DESC) AS rn FROM readings)
+   WHERE rn = 1"""))
+def cdc_after_rewrite(spark, sf):
+    """Purge, archive and a last-wins append between two exports; every change is exported once."""
+    table, log, cold, target, checkpoint = (
+        scratch_path(spark, n) for n in ("cdc-hot", "cdc-log", "cdc-cold", "cdc-out", "cdc-checkpoint"))
+    df = readings(spark, sf)
+    for batch in (0, 1):
+        new = df.filter(F.col("seq") % 2 == batch)
+        for _ in range(2):  # the second time as a retry
+            history.sink_history_append(
+                spark, new, table, on_conflict="last", changes=log, append_id=f"batch-{batch}")
+        schema = spark.read.parquet(log).drop("append").schema
+        jobs.cdc_incremental(spark, log, target, checkpoint, schema)
+        history.retention_purge(spark, table, CUTOFF - 86400)
+        history.archive_cold(spark, table, cold, cutoff=CUTOFF)
+        jobs.cdc_incremental(spark, log, target, checkpoint, schema)
+    out = spark.read.parquet(target)
+    return out.select("seq", "asset", F.col("price").cast("string").alias("price"), "timestamp",
+                      F.col("batch").cast("bigint").alias("batch"))
+
+
 @plan("cdc_incremental", with_readings("SELECT seq, asset, CAST(price AS VARCHAR) AS price, timestamp, seq % 2 AS batch FROM readings"))
 def cdc_incremental(spark, sf):
     """Two runs over a growing table: each exports only what is new."""

@@ -47,11 +47,7 @@ def feed_quarantine(spark, sf):
    ELSE 'Crypto.' || asset || '/USD' END AS symbol FROM readings"""))
 def symbol_map(spark, sf):
     pairs = readings(spark, sf).select("asset", "source").distinct()
-    out = None
-    for name in ("chainlink", "redstone", "band", "reflector"):
-        part = feeds.symbol_map(pairs.filter(F.col("source") == name).select("asset"), name)
-        out = part if out is None else out.unionByName(part)
-    return out.select("source", "asset", "symbol")
+    return feeds.symbol_map(pairs).select("source", "asset", "symbol")
 
 
 @plan("scan_history_json", with_readings(

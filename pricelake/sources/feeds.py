@@ -94,20 +94,26 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEED_PAYLOADS).json(path)
 
 
-def symbol_map(assets: DataFrame, source: str) -> DataFrame:
-    """Add the symbol under which a feed lists each asset."""
-    asset, upper = F.col("asset"), F.upper("asset")
-    known = {"chainlink": PLAIN_SYMBOLS, "band": BAND_SYMBOLS}.get(source, {})
-    found = F.lit(None).cast("string")
-    for code, symbol in known.items():
-        found = F.coalesce(found, F.when(upper == code, symbol))
+def symbol_of(asset: Column, source: Column) -> Column:
+    """The symbol under which a feed lists an asset; null for an unknown feed."""
+    upper = F.upper(asset)
     default = {
         "chainlink": asset,
         "band": F.concat(asset, F.lit("-USD")),
         "redstone": upper,
         "reflector": F.concat(F.lit("Crypto."), asset, F.lit("/USD")),
-    }[source]
-    return assets.withColumns({"source": F.lit(source), "symbol": F.coalesce(found, default)})
+    }
+    out = F.lit(None).cast("string")
+    for name, symbol in default.items():
+        for code, known in {"chainlink": PLAIN_SYMBOLS, "band": BAND_SYMBOLS}.get(name, {}).items():
+            symbol = F.when(upper == code, known).otherwise(symbol)
+        out = F.when(source == name, symbol).otherwise(out)
+    return out
+
+
+def symbol_map(pairs: DataFrame) -> DataFrame:
+    """Add `symbol` to (asset, source) pairs, in one pass for all feeds."""
+    return pairs.withColumn("symbol", symbol_of(F.col("asset"), F.col("source")))
 
 
 def render_payloads(readings: DataFrame) -> DataFrame:

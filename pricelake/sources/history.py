@@ -98,20 +98,27 @@ def _not_stored(spark: SparkSession, fresh: DataFrame, path: str) -> DataFrame:
 
 
 def sink_history_append(
-    spark: SparkSession, new: DataFrame, path: str, *, on_conflict: str = "first", position: str = "seq"
+    spark: SparkSession, new: DataFrame, path: str, *, on_conflict: str = "first", position: str = "seq",
+    changes: str | None = None, append_id: str | None = None,
 ) -> None:
     """Append readings; on a key clash the first or the last one stays.
 
     Only chunks that the new rows touch are read again. `last` rewrites just
-    those partitions (dynamic overwrite from a staged copy).
+    those partitions (dynamic overwrite from a staged copy). `changes` is a folder that
+    is only ever added to: each append logs the rows it brings, once per `append_id`,
+    so change exports see no rewritten files. Retry an append under its id.
     """
     fresh = materialize(dedupe_readings(new, on_conflict=on_conflict, position=position), "append")
-    if not files.exists(spark, path):
+    there = files.exists(spark, path)
+    if there and on_conflict == "first":
+        fresh = materialize(_not_stored(spark, fresh, path), "append")
+    if changes is not None:
+        entry = f"{changes}/append={append_id or uuid.uuid4().hex}"
+        if not files.exists(spark, f"{entry}/_SUCCESS"):
+            fresh.write.mode("overwrite").parquet(entry)
+    if not there or on_conflict == "first":
         write_history(fresh, path)
         return
-    if on_conflict == "first":
-        write_history(_not_stored(spark, fresh, path), path)
-        return
     keyed = fresh.withColumn("chunk", chunk_of(F.col("timestamp")))
     touched = _touched(keyed)
     if not touched:

@@ -196,6 +196,10 @@ def stream_feed_breaker(
 def cdc_incremental(spark: SparkSession, table: str, target: str, checkpoint: str, schema) -> None:
     """Export what was added to a history table since the last run.
 
+    `table` is a folder to which files are only added: the change log of
+    `sink_history_append` (or a table that is never rewritten; purges, archives and
+    last-wins appends rewrite files, which would be exported again).
+
     The checkpoint is the offset; every micro-batch overwrites its own folder, so
     a batch that is run again after a failure leaves no duplicates.
     """
