@@ -36,23 +36,37 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
+class _Powers:
+    """The hash base and its inverse to the powers 0..n-1, kept per process.
 
+    The tables are tens of megabytes; a task's copy of the functions comes without them.
+    """
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base and its inverse to the powers 0..n-1."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BACK)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __reduce__(self):
+        return type(self), ()
+
+    def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = n if n <= 4096 else max(n, BLOCK_BYTES + 1)
+            self.up, self.down = (self._table(base, size) for base in (_BASE, _BACK))
+        return self.up, self.down
+
+    @staticmethod
+    def _table(base: int, size: int) -> np.ndarray:
+        table = np.full(size, base, np.uint64)
+        table[0] = 1
+        return np.multiply.accumulate(table)
+
+
+_POWERS = _Powers()
 
 
 def prefix_sums(codes: np.ndarray) -> np.ndarray:
     """Running polynomial hash of 64-bit codes; entry i covers the first i."""
-    up, _ = powers(len(codes) + 1)
+    up, _ = _POWERS.tables(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up[: len(codes)], out=sums[1:])
     return sums
@@ -60,7 +74,7 @@ def prefix_sums(codes: np.ndarray) -> np.ndarray:
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span [start, end), the same wherever the content stands."""
-    _, down = powers(len(sums))
+    _, down = _POWERS.tables(len(sums))
     return mix((sums[end] - sums[start]) * down[start])
 
 
