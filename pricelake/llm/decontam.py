@@ -1,8 +1,9 @@
 """Benchmark decontamination by canonical templates.
 
-Tokens are words without outer punctuation, lower-cased. Numbers (also as words), units
-after a number, and names (capitalised, not at the start of a sentence) become typed
-placeholders; what they replaced is the slot value. Windows of `WIDTH` template tokens of
+Tokens are words without outer ASCII punctuation, lower-cased (letters whose small form
+takes as many UTF-8 bytes; a few such as the dotted capital I stay). Numbers (also as
+words), units after a number, and names (capitalised, not at the start of a sentence)
+become typed placeholders; what they replaced is the slot value. Windows of `WIDTH` template tokens of
 benchmark items and documents are joined by hash, in two views: with and without name
 placeholders, so that a change of case hides nothing. A window of mostly placeholders
 says nothing and is left out, at least half of it must be plain tokens.
@@ -56,6 +57,34 @@ _OUTER = np.zeros(256, bool)
 _OUTER[[c for c in range(33, 127) if not chr(c).isalnum() and c != 37]] = True
 
 
+def _small_letters() -> np.ndarray:
+    """By code point up to 0xFFFF: the lower-case code point, if it is one and as long in UTF-8."""
+    table = np.arange(1 << 16, dtype=np.uint32)
+    for point in range(1 << 16):
+        small = chr(point).lower()
+        if len(small) == 1 and (ord(small) < 0x80) == (point < 0x80) and (ord(small) < 0x800) == (point < 0x800):
+            table[point] = ord(small)
+    return table
+
+
+_SMALL = _small_letters()
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with letters lower-cased in place."""
+    out = tx.LOWER[data]
+    two = np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+    if len(two):
+        small = _SMALL[(data[two] & 31).astype(np.uint32) << 6 | data[two + 1] & 63]
+        out[two], out[two + 1] = 0xC0 | small >> 6, 0x80 | small & 63
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    if len(three):
+        point = (data[three] & 15).astype(np.uint32) << 12 | (data[three + 1] & 63).astype(np.uint32) << 6 | data[three + 2] & 63
+        small = _SMALL[point]
+        out[three], out[three + 1], out[three + 2] = 0xE0 | small >> 12, 0x80 | small >> 6 & 63, 0x80 | small & 63
+    return out
+
+
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.concatenate(([0], np.cumsum([len(w.encode()) for w in words])))
@@ -75,19 +104,14 @@ class Tokens:
 
     def __init__(self, block: tx.Block):
         data = block.data
-        low = tx.LOWER[data]
+        low = lower(data)
         starts, stops, bounds = tx.words(data, block.ends)
-        raw_stops = stops.copy()
-        for _ in range(8):  # outer punctuation, a few marks at most
-            go = (starts < stops) & _OUTER[data[np.minimum(starts, len(data) - 1)]] if len(data) else np.zeros(0, bool)
-            if not go.any():
-                break
-            starts = starts + go
-        for _ in range(8):
-            go = (starts < stops) & _OUTER[data[np.maximum(stops - 1, 0)]] if len(data) else np.zeros(0, bool)
-            if not go.any():
-                break
-            stops = stops - go
+        raw_stops = stops
+        # Outer punctuation: on to the first and back to the last byte that is none.
+        solid = np.flatnonzero(~_OUTER[data])
+        around = np.concatenate(([-1], solid, [len(data)]))
+        starts = np.minimum(around[np.searchsorted(solid, starts) + 1], stops)
+        stops = np.maximum(around[np.searchsorted(solid, stops)] + 1, starts)
         keep = starts < stops
         kept = np.concatenate(([0], np.cumsum(keep)))
         # A sentence starts with a text, after a closing mark or a line break.
@@ -103,9 +127,15 @@ class Tokens:
         self.kind = np.zeros(len(starts), np.int8)
         if not len(starts):
             return
-        first, second = data[starts], data[np.minimum(starts + 1, stops - 1)]
-        upper = lambda b: (b >= 65) & (b <= 90)
-        self.kind[upper(first) & ~upper(second) & ~opens] = NAME
+        first = data[starts]
+        # A letter is a capital if lower-casing changes one of its bytes.
+        changed = np.concatenate(([0], np.cumsum(low != data)))
+        second = np.minimum(starts + 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0), stops)
+        lead = data[np.minimum(second, stops - 1)]
+        after_second = np.minimum(second + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0), stops)
+        capital = changed[second] > changed[starts]
+        lone = (second == stops) | (changed[after_second] > changed[second])
+        self.kind[capital & ~lone & ~opens] = NAME
         number = ((first >= 48) & (first <= 57)) | _among(self.word, _NUMBER_HASHES)
         after = np.zeros(len(starts), bool)
         after[1:] = number[:-1]

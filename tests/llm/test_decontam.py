@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow as pa
 
 from pricelake.llm import decontam, text as tx
@@ -6,6 +7,7 @@ ITEMS = [
     (1, "Yesterday Anna bought 12 apples for 3 dollars and then Anna gave 12 of the apples to her brother Tom in town."),
     (2, "short item text"), (3, None), (4, ""), (5, "It went on and on until the very last of them had left the old house by the sea"),
     (5, "It went on and on until the very last of them had left the old house by the sea"),
+    (6, "La. Éai éonleeau pour an éonqueê aivi ai, éenaitreoiaux éoiré anvitre èenreré ouantre le. Oueuxoi les."),
 ]
 
 
@@ -19,6 +21,17 @@ def test_kinds():
     assert kinds("twelve ... %%% ALL caps") == [1, 0, 0, 0]
 
 
+def test_letters_beyond_ascii():
+    assert kinds("le garçon Émile vit Éé ÉÉ É 5 km") == [0, 0, 3, 0, 3, 0, 0, 1, 2]
+    assert kinds("-" * 40 + " one " + "." * 30 + "Tom" + "!" * 30) == [1, 3]
+    points = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    same = [c for c in points if len(c.lower()) == 1 and len(c.lower().encode()) == len(c.encode())]
+    text = "".join(same) + "😀"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert decontam.lower(raw).tobytes().decode() == "".join(c.lower() for c in text)
+    assert len(decontam.lower(raw[:0])) == 0
+
+
 def run(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS hash")
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item")
@@ -37,11 +50,11 @@ def test_cases(spark):
         (1, "Some lead. " + say + " Some tail."), (2, other), (3, jumbled), (4, say.upper()), (5, None), (6, ""),
         (7, "a short item text here"), (8, " ".join(words[:14])), (9, " ".join(words[:7]) + " else"),
         (10, "Nothing of it is in here at all, not one bit of the thing"), (None, "x " + say), (11, say), (11, say), (11, "clean"),
-        (12, "( " + ITEMS[4][1].replace(" ", "  ").upper() + " )")]
+        (12, "( " + ITEMS[4][1].replace(" ", "  ").upper() + " )"), (13, "!! ".join(ITEMS[6][1].upper().split()))]
     hits, left = run(spark, docs)
-    assert hits == sorted([(1, 1), (2, 1), (7, 2), (8, 5), (None, 1), (11, 1), (12, 5)] + ([(4, 1)] if (4, 1) in hits else []), key=str)
+    assert hits == sorted([(1, 1), (2, 1), (4, 1), (7, 2), (8, 5), (None, 1), (11, 1), (12, 5), (13, 6)], key=str)
     assert (3, 1) not in hits
-    assert set(left) >= {3, 5, 6, 9, 10, 11} and not set(left) & {1, 2, 7, 8, 12, None}
+    assert set(left) >= {3, 5, 6, 9, 10, 11} and not set(left) & {1, 2, 4, 7, 8, 12, 13, None}
 
 
 def test_empty_tables(spark):
