@@ -23,7 +23,7 @@ small stars. All groupings combine on the map side; joins may be split by AQE.
 Defined results: null texts, empty texts and texts without words have the empty set
 and are linked with nothing; fewer than five words are one shingle; a group's id is
 its smallest document id, null ids come last; rows with equal ids are separate
-documents; extra columns pass through `group_near`.
+documents; extra columns pass through `group_near`, those named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -239,7 +239,8 @@ def group_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with one id that with the smallest text hash; of equal rows one. Texts without words
     are all kept.
     """
-    named = docs.withColumns({
+    others = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
+    named = docs.select(*[F.col(f"`{c}`") for c in others]).withColumns({
         "mh_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "mh_mark": F.hash(F.col(text_col))})
     groups = near_groups(named.select(
         F.col("mh_doc").alias("doc"), F.col("mh_mark").alias("mark"), F.col(text_col).alias("text")), percent)
@@ -258,5 +259,5 @@ def group_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = F.col("mh_root").isNull() | (
         (F.col("mh_first.mh_doc") == F.col("mh_doc")) & (F.col("mh_first.mh_mark") == F.col("mh_mark")) & (F.col("mh_copy") == 1))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "n_shingles", group.alias("component_id"),
+        *[F.col(f"`{c}`") for c in others], "n_shingles", group.alias("component_id"),
         chosen.alias("kept"))

@@ -24,7 +24,7 @@ the same text or another. Strings never cross texts and are judged on the input.
 Defined results: null and empty texts have no bytes and lose none; texts shorter than
 `length` lose nothing; rows with equal ids are separate texts; two equal rows count as two
 places, so they lose all bytes of texts of at least `length` bytes; extra columns pass
-through. Text of any length is cut into pieces that share length - 1 bytes, so no
+through, those named as a result are replaced. Text of any length is cut into pieces that share length - 1 bytes, so no
 window is missed and memory does not depend on the longest text.
 """
 
@@ -282,8 +282,9 @@ def strip_repeats(
     part = lambda k: F.substring(raw, (k["at"] + 1).cast("int"), k["n"].cast("int"))
     tail = F.substring(raw, (cut["end"] + 1).cast("int"), (size - cut["end"]).cast("int"))
     front = F.aggregate(cut["keep"], F.lit(b""), lambda acc, k: F.concat(acc, part(k)))
+    others = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(f"`{c}`") for c in others],
         F.when(cut.isNull(), raw).otherwise(F.concat(front, tail)).alias("kept"),
         size.alias("n_bytes"),
         F.coalesce(cut["gone"], F.lit(0)).cast("long").alias("n_removed"),

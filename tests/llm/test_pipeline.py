@@ -51,8 +51,10 @@ def test_odd_tables(spark, sf):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "A small text.", None, None, 13), (2, "A small text.", None, None, 13),
             (3, "word " * 30_000, "en", "a", 150_000)]
     for data in ([], rows):
-        docs = spark.createDataFrame(data, schema).selectExpr("*", "1 AS row", "2 AS kept", "3 AS mark", "4 AS hash")
+        docs = spark.createDataFrame(data, schema).selectExpr("*", "1 AS row", "2 AS kept", "3 AS mark", "4 AS hash", "5 AS score", "6 AS component_id")
+        names = docs.columns
         for name, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+            assert docs.columns == names
             if not data:
                 assert docs.count() == 0
