@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, decontam, langid, lattice, minhash, mixing, quality, sketch, suffix, tokens
+from pricelake.llm import chat, decontam, langid, lattice, manifest, minhash, mixing, quality, sketch, suffix, tokens
 from pricelake.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,68 @@ def source_mix(spark, sf_dir):
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").cast("long").alias("source_size"),
         F.col("mix_target").cast("double").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken"))
+
+
+POLY_SQL = """poly AS (SELECT list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    """Unsigned crc32 of a text's UTF-8 bytes in DuckDB; the query joins the one row of `poly`."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT"
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), "
+            "lambda c, b: xor(c // 256, poly.t[xor(c, b) % 256 + 1])))")
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE {POLY_SQL},
+d AS (SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf_sql('n_chars')} AS leaf,
+        CASE WHEN {crc_sql('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS claimed
+      FROM documents, poly),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+        count(*) OVER (PARTITION BY tree) AS n FROM d),
+lev AS (SELECT tree, idx, 0::BIGINT AS k, n, leaf AS h FROM l
+        UNION ALL SELECT tree, idx // 2, k + 1, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+        FROM lev WHERE n > 1 GROUP BY tree, idx // 2, k, n),
+sub AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM lev WHERE n = 1),
+top AS (SELECT idx, 0::BIGINT AS k, n, subroot AS h FROM sub
+        UNION ALL SELECT idx // 2, k + 1, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+        FROM top WHERE n > 1 GROUP BY idx // 2, k, n),
+want AS (SELECT tree, idx, k, xor(idx >> k, 1) AS sib FROM (SELECT tree, idx, n, unnest(range(62)) AS k FROM l) WHERE n > 1::BIGINT << k),
+low AS (SELECT w.tree, w.idx, list(CASE WHEN s.h IS NULL THEN '-' WHEN w.sib % 2 = 0 THEN 'l' || s.h ELSE 'r' || s.h END ORDER BY w.k) AS steps
+        FROM want w LEFT JOIN lev s ON s.tree = w.tree AND s.k = w.k AND s.idx = w.sib GROUP BY 1, 2),
+want2 AS (SELECT idx, k, xor(idx >> k, 1) AS sib FROM (SELECT idx, n, unnest(range(62)) AS k FROM sub) WHERE n > 1::BIGINT << k),
+high AS (SELECT w.idx, list(CASE WHEN s.h IS NULL THEN '-' WHEN w.sib % 2 = 0 THEN 'l' || s.h ELSE 'r' || s.h END ORDER BY w.k) AS steps
+        FROM want2 w LEFT JOIN top s ON s.k = w.k AND s.idx = w.sib GROUP BY 1),
+j AS (SELECT l.*, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+        list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+      FROM l JOIN sub USING (tree) LEFT JOIN low ON low.tree = l.tree AND low.idx = l.idx LEFT JOIN high ON high.idx = sub.idx),
+f AS (SELECT *, list_reduce(list_prepend(claimed, steps), lambda a, s: sha256(
+        CASE s[1] WHEN 'l' THEN substr(s, 2) || a WHEN 'r' THEN a || substr(s, 2) ELSE a END)) AS folded_root FROM j)
+SELECT doc_id, leaf, subroot, root, folded_root, folded_root = root AS verified,
+       sha256(list_reduce(list_prepend('', list_transform(steps, lambda s: substr(s, 2))), lambda a, s: a || s)) AS proof_sha256
+FROM f
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = [*fields[:3], F.col("n_chars") + 1, fields[4]]
+    leaves = docs.select(
+        manifest.tree_key(F.col("lang")).alias("tree"), F.col("doc_id").cast("long").alias("id"),
+        manifest.leaf_digest(fields).alias("digest"),
+        F.when(fold(7) == 0, manifest.leaf_digest(tampered)).alias("claimed"))
+    return manifest.prove_all(leaves).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"),
+        "folded_root", "verified")
