@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricelake.llm import chat, decontam, langid, lattice, manifest, minhash, mixing, quality, sketch, suffix, tokens
+from pricelake.llm import (
+    chat, collide, decontam, langid, lattice, manifest, minhash, mixing, quality, sketch, spelling, suffix, tokens)
 from pricelake.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +187,40 @@ def crc_sql(text: str) -> str:
             "lambda c, b: xor(c // 256, poly.t[xor(c, b) % 256 + 1])))")
 
 
+SPELLING_SQL = rf"""
+WITH RECURSIVE {POLY_SQL},
+t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+u AS (SELECT doc_id, run, count(*) AS c FROM t WHERE length(run) >= 5 GROUP BY 1, 2),
+h AS (SELECT run, c, {crc_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM u, poly),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+         UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.rest
+         UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.rest),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS i, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN b.other END AS form,
+        CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n
+      FROM v LEFT JOIN best b ON b.word = v.word AND b.i = 1),
+r AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.*, x.root FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM r GROUP BY word) x USING (word)
+"""
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark, sf_dir):
+    out = spelling.group_variants(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("word", "n", "n_near", "form", "form_n", "root")
+
+
+@query("op12_collision_search")
+def collision_search(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return collide.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
 def _field_sql(value: str) -> str:
     return f"coalesce(octet_length(encode(({value})::VARCHAR)) || ':' || ({value})::VARCHAR, '-')"
 
