@@ -30,9 +30,11 @@ window is missed and memory does not depend on the longest text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelake.llm import text as tx
 from pricelake.session import materialize
@@ -44,8 +46,8 @@ ORDER_ROWS = 8192
 PIECE_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 23) - 1)
 
-ANCHORS = "doc long, mark int, key long, body long, at long, off int, n int"
-SEGMENTS = "doc long, mark int, s long, e long"
+ANCHORS = "doc long, mark long, key long, body long, at long, off int, n int"
+SEGMENTS = "doc long, mark long, s long, e long"
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -206,9 +208,13 @@ def repeated_spans(
     length: int = LENGTH,
     hot: int = HOT,
     order_rows: int = ORDER_ROWS,
+    gram: int | None = None,
 ) -> DataFrame:
-    """Spans (doc, mark, s, e) of `docs` (doc, mark, text) that repeated windows cover; they may overlap."""
-    gram = length // GRAM_SHARE
+    """Spans (doc, mark, s, e) of `docs` (doc, mark, text) that repeated windows cover; they may overlap.
+
+    `gram` is the length of an anchor: a shorter one leaves fewer segments, but more that share an anchor by chance.
+    """
+    gram = gram or length // GRAM_SHARE
     anchors = materialize(docs.select("doc", "mark", "text").mapInArrow(_scan(length, gram), ANCHORS), "anchors")
     # Stored, so that the join has an exchange on both sides and can split a common key.
     often = materialize(
@@ -244,48 +250,84 @@ def repeated_spans(
     return whole.unionByName(partly).unionByName(common)
 
 
+RUNS = "array<struct<s:bigint,e:bigint>>"
+
+
+def _merged(spans: Column) -> Column:
+    """Maximal runs of spans that are sorted by their start; spans that touch become one."""
+    def step(acc, span):
+        last = F.element_at(acc, -1)
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(
+            F.struct(last["s"].alias("s"), F.greatest(last["e"], span["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (span["s"] <= F.try_element_at(acc, F.lit(-1))["e"]), joined).otherwise(
+            F.concat(acc, F.array(F.struct(span["s"].alias("s"), span["e"].alias("e")))))
+
+    return F.aggregate(spans, F.array().cast(RUNS), step)
+
+
+def _inside_character(raw: Column, at: Column) -> Column:
+    """Whether the byte at a place continues a UTF-8 character."""
+    return F.coalesce(F.hex(F.substring(raw, (at + 1).cast("int"), F.lit(1))).between("80", "BF"), F.lit(False))
+
+
+def _whole_characters(raw: Column, runs: Column) -> Column:
+    """Runs that end inside a character take the rest of it as well."""
+    def grown(run):
+        left = F.when(~_inside_character(raw, run["s"]), 0)
+        right = F.when(~_inside_character(raw, run["e"]), 0)
+        for k in (1, 2):
+            left = left.when(~_inside_character(raw, run["s"] - k), k)
+            right = right.when(~_inside_character(raw, run["e"] + k), k)
+        return F.struct((run["s"] - left.otherwise(3)).alias("s"), (run["e"] + right.otherwise(3)).alias("e"))
+
+    return _merged(F.transform(runs, grown))
+
+
 def strip_repeats(
     docs: DataFrame,
     length: int = LENGTH,
     id_col: str = "doc_id",
     text_col: str = "text",
+    *,
+    whole_characters: bool = False,
+    keep: Callable[[Column, Column], Column] | None = None,
     **settings,
 ) -> DataFrame:
-    """`docs` with `kept` (remaining bytes), `n_bytes`, `n_removed` and `n_spans`."""
+    """`docs` with `kept` (remaining bytes), `n_bytes`, `n_removed` and `n_spans`.
+
+    With `whole_characters` a run also takes the rest of a character that it would cut in two.
+    `keep` maps a run's bytes and their number to whether it stays in the text all the same.
+    """
+    # 128 bits tell a row from others, whatever its id; equal rows share them, and their spans.
+    identity = [F.col(id_col), F.col(text_col)]
     named = docs.withColumns({
-        "sx_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "sx_mark": F.hash(F.col(text_col))})
+        "sx_doc": F.xxhash64(F.lit("doc"), *identity), "sx_mark": F.xxhash64(F.lit("mark"), *identity)})
     spans = repeated_spans(named.select(
         F.col("sx_doc").alias("doc"), F.col("sx_mark").alias("mark"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")), length, **settings)
-    # Equal rows share id and mark, and then also their spans.
     lists = spans.groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("gone"), F.lit(0).cast("long").alias("runs"),
-        F.array().cast("array<struct<at:bigint,n:bigint>>").alias("keep"))
-
-    def join(acc, span):
-        apart = (span["s"] > acc["end"]) | (acc["runs"] == 0)
-        gone = F.greatest(F.lit(0), span["e"] - F.greatest(acc["end"], span["s"]))
-        gap = F.array(F.struct(acc["end"].alias("at"), (span["s"] - acc["end"]).alias("n")))
-        return F.struct(
-            F.greatest(acc["end"], span["e"]).alias("end"), (acc["gone"] + gone).alias("gone"),
-            (acc["runs"] + F.when(apart, 1).otherwise(0)).alias("runs"),
-            F.when(span["s"] > acc["end"], F.concat(acc["keep"], gap)).otherwise(acc["keep"]).alias("keep"))
-
     lists = lists.select(
-        F.col("doc").alias("sx_doc"), F.col("mark").alias("sx_mark"),
-        F.aggregate("spans", start, join).alias("sx_cut"))
+        F.col("doc").alias("sx_doc"), F.col("mark").alias("sx_mark"), _merged(F.col("spans")).alias("sx_runs"))
     out = named.join(lists, ["sx_doc", "sx_mark"], "left").withColumn(
         "sx_raw", F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    raw, cut = F.col("sx_raw"), F.col("sx_cut")
+    raw = F.col("sx_raw")
+    part = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int"))
+    runs = F.coalesce("sx_runs", F.array().cast(RUNS))
+    if whole_characters:
+        runs = _whole_characters(raw, runs)
+    if keep is not None:
+        runs = F.filter(runs, lambda run: ~keep(part(run["s"], run["e"]), run["e"] - run["s"]))
+    out = out.withColumn("sx_runs", F.when(F.col("sx_runs").isNotNull(), runs))
+    cut = F.when(F.size("sx_runs") > 0, F.col("sx_runs"))
     size = F.octet_length(raw).cast("long")
-    part = lambda k: F.substring(raw, (k["at"] + 1).cast("int"), k["n"].cast("int"))
-    tail = F.substring(raw, (cut["end"] + 1).cast("int"), (size - cut["end"]).cast("int"))
-    front = F.aggregate(cut["keep"], F.lit(b""), lambda acc, k: F.concat(acc, part(k)))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(b"").alias("rest"))
+    front = F.aggregate(cut, start, lambda acc, run: F.struct(
+        run["e"].alias("end"), F.concat(acc["rest"], part(acc["end"], run["s"])).alias("rest")))
+    gone = F.aggregate(cut, F.lit(0).cast("long"), lambda acc, run: acc + run["e"] - run["s"])
     others = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     return out.select(
         *[F.col(f"`{c}`") for c in others],
-        F.when(cut.isNull(), raw).otherwise(F.concat(front, tail)).alias("kept"),
+        F.when(cut.isNull(), raw).otherwise(F.concat(front["rest"], part(front["end"], size))).alias("kept"),
         size.alias("n_bytes"),
-        F.coalesce(cut["gone"], F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(cut["runs"], F.lit(0)).cast("long").alias("n_spans"))
+        F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_spans"))

@@ -4,7 +4,7 @@ import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
 
 from .test_minhash import brute as near_brute
-from .test_suffix import brute as repeat_brute
+from .test_suffix import passages
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -24,7 +24,8 @@ def test_stages_against_brute_force(spark, sf):
     assert two.columns == docs.columns and set(found) == kept and all(found[i] == rows[i] for i in kept)
 
     three = stage["suffix_dedup"](spark, two, sf)
-    want = {i: rest.decode("utf-8", "ignore") for i, _, _, _, rest in repeat_brute([(i, rows[i].text) for i in kept], 400)}
+    want = {i: rest.decode() for i, rest in passages([(i, rows[i].text) for i in kept], 150, 50, 400)}
+    assert sum(want[i] != rows[i].text for i in kept) > 0
     cut = {r.doc_id: r for r in three.collect()}
     assert three.columns == docs.columns and {i: r.text for i, r in cut.items()} == want
     assert all(r.n_chars == len(r.text) for r in cut.values())
@@ -43,7 +44,8 @@ def test_registered():
     assert "pipeline" in queries() and "pipeline" not in oracle_sql()
     assert {n for n in queries() if n.startswith("op")} == {
         "op1_template_decontamination", "op2_scaled_sketch", "op3_quality_kernel", "op4_token_counts", "op5_chat_segments",
-        "op6_subword_lattice", "op7_language_masks", "op8_near_groups", "op9_suffix_dedup", "op10_source_mix"}
+        "op6_subword_lattice", "op7_language_masks", "op8_near_groups", "op9_suffix_dedup", "op10_source_mix",
+        "op11_spelling_variants", "op12_collision_search", "op13_merkle_manifest"}
 
 
 def test_odd_tables(spark, sf):
@@ -58,3 +60,25 @@ def test_odd_tables(spark, sf):
             assert docs.columns == names
             if not data:
                 assert docs.count() == 0
+
+
+def test_planted_passages(spark, sf):
+    """Passages of 51 and more words go from all texts that hold them; shorter ones and all else stay."""
+    import random
+
+    rng = random.Random(8)
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    word = lambda: "".join(rng.choice("abcdefghéß") for _ in range(rng.randint(2, 7)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    shared = [say(n) for n in (51, 55, 70, 200, 50, 30)]
+    kept, rows = {}, []
+    for i in range(24):
+        # What stands next to a passage differs from text to text.
+        front, back = say(60) + f" {chr(65 + i)}", f"{chr(65 + i)} " + say(40) + " \ufffd"
+        middle = f"\n{shared[i % 6]}\n"
+        rows.append((i, front + middle + back, "en", "a", len(front + middle + back)))
+        kept[i] = front + ("" if i % 6 < 4 else middle) + back
+    docs = spark.createDataFrame(rows, schema)
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, sf).collect()}
+    assert {i: r.text for i, r in got.items()} == kept
+    assert all(r.n_chars == len(r.text) for r in got.values())

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -23,6 +24,35 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
+def passages(rows, length, words, size):
+    """(doc, rest): repeated runs go, to whole characters, if they have more than `words` words or `size` bytes."""
+    raw = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(b[k:k + length] for _, b in raw for k in range(len(b) - length + 1))
+    out = []
+    for i, b in raw:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k:k + length]] > 1:
+                gone[k:k + length] = b"\1" * length
+        for k in range(len(b)):
+            if 0x80 <= b[k] <= 0xBF and gone[k - 1]:
+                gone[k] = 1
+        for k in reversed(range(len(b) - 1)):
+            if 0x80 <= b[k + 1] <= 0xBF and gone[k + 1]:
+                gone[k] = 1
+        rest, at = b"", 0
+        while at < len(b):
+            end = at
+            while end < len(b) and gone[end] == gone[at]:
+                end += 1
+            run = b[at:end]
+            if not gone[at] or len(re.findall(rb"[^\x20\x09-\x0D]+", run)) <= words and len(run) < size:
+                rest += run
+            at = end
+        out.append((i, rest))
+    return out
+
+
 def run(spark, rows, length, **kw):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
     out = suffix.strip_repeats(docs, length, **kw)
@@ -56,6 +86,26 @@ def test_empty_table_and_long_text(spark, monkeypatch):
     assert run(spark, rows, 20) == brute(rows, 20)
 
 
+@pytest.mark.parametrize("seed,gram", [(11, 10), (12, 5), (13, 3)])
+def test_whole_characters_and_kept_runs(spark, seed, gram):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, t in texts(seed, 40, "aé€𐍈 ", 60) if i is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lambda b: F.regexp_count(b.cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
+    out = suffix.strip_repeats(
+        docs, 20, gram=gram, whole_characters=True, keep=lambda b, n: (words(b) <= 3) & (n < 60)).collect()
+    got = sorted(((r.doc_id, bytes(r.kept)) for r in out), key=str)
+    assert got == sorted(passages(rows, 20, 3, 60), key=str)
+    assert any(r.n_removed for r in out)
+
+
+def test_rows_of_one_id_and_many_texts(spark):
+    """Only the text tells these rows apart."""
+    rows = [(None, f"{i} " + "word " * 12) for i in range(300)] + [(None, f"{i} short") for i in range(300)]
+    assert run(spark, rows, 20) == brute(rows, 20)
+
+
 def test_real_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     from pricelake.llm.queries import QUERIES
