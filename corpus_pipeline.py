@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricelake import scratch_path
 from pricelake.llm import decontam, langid, minhash, mixing, suffix
@@ -46,11 +46,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return columns_of(minhash.group_near(docs).filter("kept"), docs)
 
 
+# A passage of more than 50 words that occurs elsewhere goes, as does a repeat of 400 bytes, whatever
+# its words. Repeats are searched from 150 bytes on: 51 words of less than three letters at a mean
+# are the only passages that can be shorter.
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 400
+WINDOW_BYTES = 150
+ANCHOR_BYTES = 50
+
+
+def too_short(run: Column, size: Column) -> Column:
+    words = F.regexp_count(F.make_valid_utf8(run.cast("string")), F.lit(r"[^\x20\x09-\x0D]+"))
+    return (words <= PASSAGE_WORDS) & (size < PASSAGE_BYTES)
+
+
 @shielded
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur elsewhere are cut out of the texts; a character cut in two goes as well."""
-    cut = suffix.strip_repeats(docs)
-    rest = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    cut = suffix.strip_repeats(docs, WINDOW_BYTES, gram=ANCHOR_BYTES, whole_characters=True, keep=too_short)
+    rest = F.col("kept").cast("string")
     cut = cut.withColumn("text", F.when(F.col("n_removed") > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(
