@@ -4,8 +4,9 @@ Vectors lie in blocks of at most `BLOCK` rows, dealt evenly. A block's index is
 a projection: the values of its vectors on a Gaussian direction. A query opens a window around its
 own value in every array; a vector collides once for each window that holds it. With radius R the
 half width is R * WIDTH / 2, so widening the windows stands for hashing anew at a larger radius
-(virtual rehashing), and a round looks only at what the windows gained. Vectors that collide at least
-`threshold` times are verified by their exact inner product.
+(virtual rehashing). A window is found by binary search, as a range of ranks; whether it holds a vector
+is told by the vector's rank in that array. Vectors that collide at least `threshold` times are verified
+by their exact inner product.
 
 A vector at distance R collides with probability 2 Phi(WIDTH / 2) - 1, a nearer one more often; the
 threshold is the count that it reaches with probability 1 - MISS. A query is done in a block when the
@@ -39,10 +40,11 @@ from pricelake.operators.chunks import top_per_key
 from pricelake.session import materialize
 
 BLOCK = 8192
+APART = 1024.0  # further than values on a direction can be
 PROJECTIONS = 96
 WIDTH = 2.0
-MISS = 0.02
-GROWTH = 1.12
+MISS = 0.05
+GROWTH = 1.15
 START = 0.5  # first radius in units of M
 SEED = 0x5EED
 
@@ -74,10 +76,25 @@ class SortedProjections:
         self.directions = np.random.default_rng(SEED).standard_normal((dim + 1, projections))
         values = unit @ self.directions[:dim] + rest[:, None] * self.directions[dim]
         order = np.argsort(values, axis=0, kind="stable")
-        self.values = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T)
+        # All arrays in one, so that one search finds the ends of all windows.
+        self.base = np.arange(projections) * APART
+        self.values = (np.take_along_axis(values, order, axis=0) + self.base).T.ravel()
+        self.first = np.arange(projections) * n
+        self.ranks = np.empty((projections, n), np.uint16 if n <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order.T, np.arange(n, dtype=self.ranks.dtype)[None, :], axis=1)
         self.need = threshold(projections)
 
+    def collisions(self, center: np.ndarray, half: float) -> np.ndarray:
+        """In how many windows each vector lies."""
+        low = np.searchsorted(self.values, self.base + center - half) - self.first
+        size = np.searchsorted(self.values, self.base + center + half, side="right") - self.first - low
+        kind = self.ranks.dtype
+        # Ranks below the window wrap around to large numbers. A window of all ranks may not fit the type.
+        some = np.flatnonzero(size > 0)
+        inside = (self.ranks if len(some) == len(size) else self.ranks[some]) - low[some].astype(kind)[:, None]
+        inside = inside <= (size[some] - 1).astype(kind)[:, None]
+        return np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(some) < 256 else np.uint32)
+
     def search(self, query: np.ndarray, own: int, k: int, bound: float | None):
         """(ids, products) of the best k vectors of the block but row `own`; `bound`: products below do not matter."""
         n = len(self.ids)
@@ -86,22 +103,13 @@ class SortedProjections:
         reach = lambda product: math.sqrt(max(0.0, 2.0 - 2.0 * product / (self.norm * size)))
         last = math.inf if bound is None else reach(bound)
         radius = START if bound is None else min(last, 2.0)
-        counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, center)])
-        high = low.copy()
         seen = np.zeros(n, bool)
         found, products = np.zeros(0, np.int64), np.zeros(0)
         while True:
             if radius >= 2.0:
                 fresh = np.flatnonzero(~seen)  # nothing is farther
             else:
-                for j, (values, order) in enumerate(zip(self.values, self.order)):
-                    half = radius * WIDTH / 2
-                    a, b = np.searchsorted(values, (center[j] - half, center[j] + half))
-                    counts[order[a : low[j]]] += 1
-                    counts[order[high[j] : b]] += 1
-                    low[j], high[j] = min(a, low[j]), max(b, high[j])
-                fresh = np.flatnonzero((counts >= self.need) & ~seen)
+                fresh = np.flatnonzero((self.collisions(center, radius * WIDTH / 2) >= self.need) & ~seen)
             seen[fresh] = True
             fresh = fresh[self.rows[fresh] != own]
             # Summed row by row, so that equal vectors have equal products.
@@ -184,7 +192,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, *, id_col: str = "vec
     def answers(queries: DataFrame) -> DataFrame:
         index = kept.select("block", F.lit(False).alias("asks"), "id", "row", "vector", F.lit(None).cast("double").alias("bound"))
         lined = index.unionByName(queries.select("block", F.lit(True).alias("asks"), "id", "row", "vector", "bound"))
-        lined = lined.repartition(blocks, "block").sortWithinPartitions("block", "asks")
+        lined = lined.repartitionByRange(blocks, "block").sortWithinPartitions("block", "asks")
         return lined.mapInArrow(_search(k, projections), "asker long, query long, id long, score double")
 
     queries = kept.filter("query")
