@@ -47,9 +47,9 @@ def usage_total(requests: DataFrame, *, since_ms: Column | None = None) -> DataF
     return counted.select("hour", F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("name"), "count")
 
 
-def retained(hourly: DataFrame, *, now_ms: Column) -> DataFrame:
-    """Hourly counts still inside the retention of 90 days."""
-    return hourly.filter(F.col("hour") >= now_ms - RETENTION_HOURS * HOUR_MS)
+def retained(hourly: DataFrame, *, now_ms: Column, hours: int = RETENTION_HOURS) -> DataFrame:
+    """Hourly counts still inside the retention."""
+    return hourly.filter(F.col("hour") >= now_ms - hours * HOUR_MS)
 
 
 def top_entries(counts: DataFrame, n: int = TOP) -> DataFrame:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricelake.plans.core import POLL, SERIES_CTE, mid, series
-from pricelake.plans.inputs import ASSET, REQUESTS_SQL, SOURCE, readings, table, with_readings
+from pricelake.plans.core import BREAKER_CTE, consensus_out, LIMIT, POLL, SERIES_CTE
+from pricelake.plans.inputs import ASSET, REQUESTS_SQL, SOURCE, STALE, readings, table, with_readings
 from pricelake.plans.ledgers import _recursive
 from pricelake.plans.registry import ORACLES, plan
+from pricelake.plans.signals import THRESHOLDS_CTE, thresholds
 from pricelake.plans.tables import CUTOFF
 from pricelake.session import scratch_path
 from pricelake.sources import feeds, history
-from pricelake.streaming import jobs
-
-STALE = 21600
+from pricelake.streaming import jobs, ticks
 
 
 def event_stream(spark, sf):
@@ -44,21 +43,37 @@ def stream_ingest(spark, sf):
     return finish(spark, stream, "ingest").select("asset", "source", "timestamp")
 
 
-_TICKS = f"""spread AS (SELECT asset, source, timestamp, seq, price, CAST(unnest(range(CAST(ceil(timestamp / {POLL}.0) AS BIGINT),
-     CAST(ceil((timestamp + {STALE}) / {POLL}.0) AS BIGINT))) AS BIGINT) AS tick FROM readings),
-wm AS (SELECT max(tick) * {POLL} - {STALE} - 120 AS t FROM spread),
-lasts AS (SELECT asset, tick, source, arg_max(price, seq) AS price, max(timestamp) AS ts FROM spread GROUP BY 1, 2, 3),
-g AS (SELECT asset, tick, list_sort(list(price)) AS l, string_agg(source, ',' ORDER BY source) AS sources, max(ts) AS timestamp,
-        count(*) AS used FROM lasts GROUP BY 1, 2)"""
+def _trusted_series(staleness: int) -> str:
+    """The brute-force series by breaker states, up to the last tick that the watermark passes."""
+    cte = SERIES_CTE.replace(f"< {STALE}", f"< {staleness}").replace(
+        "FROM readings GROUP BY 1, 2, 3)", "FROM states GROUP BY 1, 2, 3)").replace(
+        "arg_max(price, seq) AS price FROM", "arg_max(price, seq) AS price, arg_max(suspicious, seq) AS susp FROM").replace(
+        "r.price, r.timestamp AS ts", "r.price, r.susp, r.timestamp AS ts").replace(
+        "SELECT CAST(ceil(max(timestamp) / 3600.0) AS BIGINT)", "SELECT (max(timestamp) - 120) // 3600")
+    mark, rest = cte.split("mark AS (SELECT *, ")
+    return mark + f"""mark0 AS (SELECT *, now - ts < {staleness} AS f0 FROM known),
+mark1 AS (SELECT *, bool_or(f0 AND NOT susp) OVER w AS t1, bool_or(NOT susp) OVER w AS t2, bool_or(f0) OVER w AS f1
+          FROM mark0 WINDOW w AS (PARTITION BY asset, tick)),
+mark AS (SELECT *, """ + rest.replace("FROM known)", "FROM mark1)").replace(
+        "WHERE fresh OR NOT any_fresh GROUP BY 1, 2)",
+        "WHERE (fresh OR NOT any_fresh) AND (NOT susp OR NOT CASE WHEN f1 THEN t1 ELSE t2 END) GROUP BY 1, 2)")
+
+
+_POLLED = f"""polls AS (SELECT asset, source, CAST(ceil(timestamp / {POLL}.0) AS BIGINT) AS tick,
+     arg_max(CAST(price AS DOUBLE) / 1e8, seq) AS v FROM readings GROUP BY 1, 2, 3),
+spread AS (SELECT asset, tick, min(v) AS lo, max(v) AS hi, count(*) AS n, string_agg(source, ',' ORDER BY source) AS polled FROM polls GROUP BY 1, 2)"""
 
 
-@plan("stream_consensus", with_readings(f"""SELECT asset, tick, CAST({mid('l')} AS VARCHAR) AS price, sources, timestamp,
-   used / 4.0 AS confidence, CASE WHEN used < 2 THEN 'critical' WHEN used < 4 THEN 'degraded' ELSE 'healthy' END AS level
-   FROM g WHERE tick * {POLL} <= (SELECT t FROM wm)""", _TICKS))
+@plan("stream_consensus", with_readings("""SELECT asset, tick, CAST(price AS VARCHAR) AS price, CAST(8 AS BIGINT) AS decimals,
+   sources, timestamp, confidence, level, stale, coalesce(polled, '') AS polled, round(lo, 6) AS lowest, round(hi, 6) AS highest
+   FROM series LEFT JOIN spread USING (asset, tick)""", BREAKER_CTE, _trusted_series(7200), _POLLED))
 def stream_consensus(spark, sf):
-    out = finish(spark, jobs.stream_consensus(reading_stream(spark, sf), staleness=STALE, poll=POLL), "consensus")
-    return out.select("asset", "tick", F.col("price").cast("string").alias("price"),
-                      F.array_join("sources", ",").alias("sources"), "timestamp", "confidence", "level")
+    """Sources from the data, suspicious ones left out, stale ticks included."""
+    stream = ticks.stream_consensus(reading_stream(spark, sf), staleness=7200, poll=POLL, limit_pct=LIMIT)
+    out = finish(spark, stream, "consensus")
+    return consensus_out(out, "asset", "tick").join(out.select(
+        "asset", "tick", F.array_join("polled", ",").alias("polled"), F.round("lowest", 6).alias("lowest"),
+        F.round("highest", 6).alias("highest")), ["asset", "tick"])
 
 
 @plan("stream_usage", f"""WITH {REQUESTS_SQL}, hourly AS (
@@ -66,12 +81,16 @@ def stream_consensus(spark, sf):
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'endpoint', method || ' ' || endpoint, count(*) FROM requests GROUP BY 1, 3
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'key', api_key_prefix, count(*) FROM requests GROUP BY 1, 3
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'asset', asset, count(*) FROM requests WHERE asset IS NOT NULL GROUP BY 1, 3)
-SELECT hour, dimension, name, count FROM hourly WHERE hour + 3600000 <= (SELECT max(timestamp) - 600000 FROM requests)""")
+, passed AS (SELECT * FROM hourly WHERE hour + 3600000 <= (SELECT max(timestamp) - 600000 FROM requests))
+SELECT hour, dimension, name, count FROM passed WHERE hour > (SELECT max(hour) FROM passed) - 480 * 3600000""")
 def stream_usage(spark, sf):
+    """Hourly counts of the last 20 days; older ones leave the sink."""
     stream = event_stream(spark, sf).selectExpr(
         "concat('/', event_type) AS endpoint", "'GET' AS method", "lpad(CAST(user_id AS STRING), 10, '0') AS api_key_prefix",
         "CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS asset", "unix_millis(CAST(ts AS TIMESTAMP)) AS timestamp")
-    return finish(spark, jobs.stream_usage(stream), "usage")
+    path = scratch_path(spark, "usage")
+    jobs.run_usage(jobs.stream_usage(stream), path, scratch_path(spark, "usage-checkpoint"), retention_hours=480)
+    return jobs.read_usage(spark, path, retention_hours=480).select("hour", "dimension", "name", "count")
 
 
 @plan("stream_deliveries", """WITH d AS (SELECT epoch_us(ts) // 1000 AS ts_ms, 'hook-' || CAST(user_id % 20 AS VARCHAR) AS webhook_id,
@@ -86,21 +105,42 @@ def stream_deliveries(spark, sf):
     return finish(spark, jobs.stream_deliveries(stream), "deliveries")
 
 
-@plan("stream_alerts", _recursive("SELECT asset, ts AS timestamp, 'deviation' AS type, round(moved, 6) AS deviation_percent FROM r WHERE n > 0",
-   SERIES_CTE, f"""hits AS (SELECT asset, tick * {POLL} AS ts, moved, row_number() OVER (PARTITION BY asset ORDER BY tick) AS i FROM (
-     SELECT asset, tick, abs((CAST(price AS DOUBLE) - p) / p) * 100 AS moved FROM (
-       SELECT *, CAST(lag(price) OVER (PARTITION BY asset ORDER BY tick) AS DOUBLE) AS p FROM series)) WHERE moved > 50)""",
-   """r AS (SELECT DISTINCT asset, CAST(-1000000000 AS BIGINT) AS ts, CAST(0 AS DOUBLE) AS moved, 0 AS n FROM hits
-     UNION ALL SELECT h.asset, h.ts, h.moved, r.n + 1 FROM r JOIN hits h ON h.asset = r.asset AND h.ts >= r.ts + 43200
-       AND NOT EXISTS (SELECT 1 FROM hits e WHERE e.asset = r.asset AND e.ts >= r.ts + 43200 AND e.ts < h.ts))"""))
+_HITS = f"""prior AS (SELECT *, lag(price) OVER (PARTITION BY asset ORDER BY tick) AS before,
+    sum(CASE WHEN stale THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY tick) AS island FROM series),
+streaks AS (SELECT *, row_number() OVER (PARTITION BY asset, island, stale ORDER BY tick) - 1 AS streak FROM prior),
+kinds AS (
+  SELECT asset, tick, 'deviation' AS kind, 'deviation' AS type, moved AS pct, CAST(before AS VARCHAR) AS prev,
+         CAST(price AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS affected,
+         'Price deviation alert for ' || asset || ': ' || printf('%.2f', moved) || '% change' AS message
+  FROM (SELECT *, abs((CAST(price AS DOUBLE) - CAST(before AS DOUBLE)) / CAST(before AS DOUBLE)) * 100 AS moved FROM prior JOIN th USING (asset))
+  WHERE dev > 0 AND moved > dev
+  UNION ALL SELECT asset, tick, 'stale', 'stale', NULL, NULL, NULL, NULL, 'Price data stale for ' || asset || ': ' ||
+    CAST(tick * {POLL} - timestamp AS VARCHAR) || 's old (threshold: ' || CAST(stale_s AS VARCHAR) || 's)'
+  FROM series JOIN th USING (asset) WHERE tick * {POLL} - timestamp > stale_s
+  UNION ALL SELECT asset, tick, 'source_down', 'source_down', NULL, NULL, NULL, NULL, 'All sources down for ' || asset || ' (' ||
+    CAST(streak AS VARCHAR) || ' consecutive failures)' FROM streaks JOIN th USING (asset) WHERE stale AND streak >= down
+  UNION ALL SELECT asset, tick, 'disagreement', 'deviation', (hi - lo) / lo * 100, NULL, NULL, polled, 'Source disagreement for ' || asset || ': ' ||
+    printf('%.2f', (hi - lo) / lo * 100) || '% spread across sources'
+  FROM spread WHERE n > 1 AND lo > 0 AND (hi - lo) / lo * 100 > 5 AND tick <= (SELECT last FROM bounds)),
+hits AS (SELECT *, tick * {POLL} AS ts FROM kinds)"""
+# A kind is sent again once its hold period is over.
+_HELD = """r AS (SELECT asset, kind, min(ts) AS ts FROM hits GROUP BY 1, 2
+   UNION ALL SELECT asset, kind, (SELECT min(h.ts) FROM hits h WHERE h.asset = r.asset AND h.kind = r.kind AND h.ts >= r.ts + 43200) AS ts
+   FROM r WHERE r.ts IS NOT NULL)"""
+
+
+@plan("stream_alerts", _recursive("""SELECT asset, kind, type, ts AS timestamp, message, prev AS previous_price, cur AS current_price,
+   round(pct, 6) AS deviation_percent, affected AS affected_sources FROM hits JOIN r USING (asset, kind, ts)""",
+   BREAKER_CTE, _trusted_series(7200), _POLLED, THRESHOLDS_CTE, _HITS, _HELD))
 def stream_alerts(spark, sf):
-    """Alerts from the stored consensus table, at most one per asset and 12 hours."""
-    path = scratch_path(spark, "consensus-table")
-    found = series(spark, sf).select("asset", "tick", "price")
-    found.write.parquet(path)
-    stream = spark.readStream.schema(found.schema).parquet(path)
-    out = finish(spark, jobs.stream_alerts(stream, limit_pct=50.0, period_s=43200, poll=POLL), "alerts")
-    return out.select("asset", "timestamp", "type", F.round("deviation_percent", 6).alias("deviation_percent"))
+    """All kinds from readings to alerts in one query, each at most once per asset and 12 hours."""
+    stream = ticks.stream_consensus(reading_stream(spark, sf), staleness=7200, poll=POLL, limit_pct=LIMIT)
+    stream = ticks.stream_alerts(stream, thresholds(spark), period_s=43200, disagreement_pct=5.0, poll=POLL)
+    out = finish(spark, stream, "alerts")
+    return out.select(
+        "asset", "kind", "type", "timestamp", "message", "previous_price", "current_price",
+        F.round("deviation_percent", 6).alias("deviation_percent"),
+        F.array_join("affected_sources", ",").alias("affected_sources"))
 
 
 @plan("stream_guard", ORACLES["guard_replay"])

@@ -1,28 +1,30 @@
 """Streaming forms of the operators, and the job that drives them.
 
-Event time is explicit everywhere: late rows are dropped by the watermark in the
+Consensus and alerts are in `ticks`. Event time is explicit everywhere: late rows are dropped by the watermark in the
 stream and still picked up when a batch recomputes the range.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pricelake.functions import decimals as D
-from pricelake.operators.consensus import _decide
 from pricelake.operators.sequential import (
     CLOSED, COOLDOWN_MS, FAILURE_THRESHOLD, GUARD_BPS, HALF_OPEN_SUCCESSES, _call, _within,
 )
-from pricelake.schemas import FEED_PAYLOADS, FEEDS, POLL_SECONDS, STALENESS_SECONDS
+from pricelake.operators import usage
+from pricelake.operators.usage import HOUR_MS, RETENTION_HOURS
+from pricelake.schemas import FEED_PAYLOADS
+from pricelake.sources import files
 from pricelake.sources.feeds import scan_feed_payloads
 
 LATENESS_SECONDS = 120
+DAY_MS = 24 * HOUR_MS
+USAGE_TABLE = "hour bigint, dimension string, name string, count bigint, day bigint, batch bigint"
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, *, partition_by: list[str] | None = None) -> None:
@@ -54,43 +56,6 @@ def stream_ingest(payloads: DataFrame, *, lateness_s: int = LATENESS_SECONDS) ->
     return kept.dropDuplicatesWithinWatermark(["asset", "source", "timestamp"])
 
 
-def stream_consensus(
-    readings: DataFrame, *, feeds: tuple[str, ...] = FEEDS, staleness: int = STALENESS_SECONDS,
-    poll: int = POLL_SECONDS, lateness_s: int = LATENESS_SECONDS,
-) -> DataFrame:
-    """Consensus per asset and poll tick, emitted when the watermark passes the tick.
-
-    Readings are spread over the ticks on which they are fresh, so the state is
-    one small row per (asset, tick), combined map-side; no key collects rows. The
-    configured feeds are the total for the confidence.
-    """
-    ceil = lambda c: F.ceil(c / F.lit(poll)).cast("bigint")
-    ticks = F.sequence(ceil(F.col("timestamp")), F.greatest(
-        ceil(F.col("timestamp") + staleness) - 1, ceil(F.col("timestamp"))))
-    spread = readings.withColumn("tick", F.explode(ticks))
-    spread = spread.withColumn("tick_time", F.timestamp_seconds(F.col("tick") * poll))
-    # Ticks run `staleness` ahead of the readings, hence the longer watermark.
-    spread = spread.withWatermark("tick_time", f"{staleness + lateness_s} seconds")
-    spread = spread.withColumn("__at", D.order_key(F.col("timestamp"), F.col("seq")))
-
-    def newest(feed: str, column: str) -> Column:
-        here = F.col("source") == feed
-        return F.max_by(F.when(here, F.col(column)), F.when(here, F.col("__at"))).alias(f"{column}_{feed}")
-
-    grouped = spread.groupBy("asset", "tick_time").agg(
-        *[newest(f, c) for f in feeds for c in ("price", "decimals", "timestamp")])
-    entries = F.filter(F.array(*[
-        F.struct(
-            F.lit(f).alias("source"), F.col(f"price_{f}").alias("price"), F.col(f"decimals_{f}").alias("decimals"),
-            F.col(f"timestamp_{f}").alias("timestamp"), F.lit(False).alias("suspicious"))
-        for f in feeds
-    ]), lambda e: e["price"].isNotNull())
-    out = _decide(grouped, entries, F.lit(len(feeds)), F.lit(False))
-    return out.select(
-        "asset", (F.unix_timestamp("tick_time") / poll).cast("bigint").alias("tick"), "price", "decimals", "sources",
-        "timestamp", "confidence", "level", "stale")
-
-
 def stream_usage(requests: DataFrame, *, lateness: str = "10 minutes") -> DataFrame:
     """Hourly request counts in total and by endpoint, key and asset."""
     part = lambda name, value: F.struct(F.lit(name).alias("dimension"), value.alias("name"))
@@ -104,6 +69,43 @@ def stream_usage(requests: DataFrame, *, lateness: str = "10 minutes") -> DataFr
     return counted.select((F.unix_timestamp("window.start") * 1000).alias("hour"), "dimension", "name", "count")
 
 
+def run_usage(
+    counts: DataFrame, path: str, checkpoint: str, *, retention_hours: int = RETENTION_HOURS
+) -> None:
+    """Process what is there now into a table that forgets hours beyond the retention.
+
+    `counts` is a `stream_usage`. Files lie by day and micro-batch, so a batch that is run again
+    overwrites its own and a day goes by its folder; what an expiry that was stopped has left goes
+    with the next one. `read_usage` gives the retained hours to the hour.
+    """
+    spark = counts.sparkSession
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumns({"day": F.floor(F.col("hour") / DAY_MS) * DAY_MS, "batch": F.lit(batch_id)})
+        # A day and its batch in few files; Spark splits those that are far larger than others.
+        writer = rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(path)
+        expire_usage(spark, path, retention_hours=retention_hours)
+
+    query = counts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+
+
+def read_usage(spark: SparkSession, path: str, *, retention_hours: int = RETENTION_HOURS) -> DataFrame:
+    """The hourly counts that end less than `retention_hours` before the newest one does."""
+    table = spark.read.schema(USAGE_TABLE).parquet(path)
+    newest = table.agg(F.max("hour").alias("hour")).scalar()
+    return usage.retained(table, now_ms=newest + HOUR_MS, hours=retention_hours).drop("day", "batch")
+
+
+def expire_usage(spark: SparkSession, path: str, *, retention_hours: int = RETENTION_HOURS) -> None:
+    """Remove the days that lie before the retention of the newest day; reads folder names only."""
+    days = {int(folder.rsplit("=", 1)[1]): folder for folder in files.glob(spark, f"{path}/day=*")}
+    for day, folder in days.items():
+        if day + DAY_MS <= max(days) - retention_hours * HOUR_MS:
+            files.remove(spark, folder)
+
+
 def stream_deliveries(log: DataFrame, *, max_attempts: int = 5, lateness: str = "10 minutes") -> DataFrame:
     """Daily delivery outcomes per webhook and attempt number."""
     rows = log.withColumn("event_time", F.timestamp_millis("ts_ms")).withWatermark("event_time", lateness)
@@ -119,37 +121,6 @@ def _keyed(stream: DataFrame, key: str, fold: Callable, output: str, state: str)
         fold, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_alerts(
-    consensus: DataFrame, *, limit_pct: float, period_s: int, poll: int = POLL_SECONDS
-) -> DataFrame:
-    """Deviation alerts from a stream of consensus rows (one per asset and tick).
-
-    The state is the previous price and the time of the last alert; further
-    alerts of the asset are held back for `period_s`.
-    """
-
-    def fold(key, frames, state: GroupState):
-        previous, alerted = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values("tick")
-        out = []
-        for tick, price in zip(rows["tick"], rows["price"]):
-            now = float(price)
-            if previous is not None:
-                # A move away from 0 has no finite size and always fires, as in alert_deviation.
-                moved = abs((now - previous) / previous) * 100 if previous else (math.inf if now else 0.0)
-                at = int(tick) * poll
-                if moved > limit_pct and (alerted is None or at - alerted >= period_s):
-                    out.append((key[0], at, "deviation", moved))
-                    alerted = at
-            previous = now
-        state.update((previous, alerted))
-        yield pd.DataFrame(out, columns=["asset", "timestamp", "type", "deviation_percent"])
-
-    slim = consensus.select("asset", "tick", F.col("price").cast("double").alias("price"))
-    return _keyed(slim, "asset", fold, "asset string, timestamp bigint, type string, deviation_percent double",
-                  "previous double, alerted bigint")
-
-
 def stream_guard(submissions: DataFrame, *, bps: int = GUARD_BPS) -> DataFrame:
     """guard_replay on a stream: the state is the last accepted price per asset."""
 
