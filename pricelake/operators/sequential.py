@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pricelake.operators.chunks import CHUNK, CHUNK_ROWS, add_chunk
+from pricelake.session import materialize
 
 # Guard limit, feed breaker and delivery settings, request limits.
 GUARD_BPS = 2000
@@ -33,6 +34,7 @@ COOLDOWN_MS = 30_000
 HALF_OPEN_SUCCESSES = 2
 MIN_INTERVAL_MS = 60_000
 QUOTA_WINDOW_MS = 60_000
+QUOTA_CHUNK_MS = 15 * QUOTA_WINDOW_MS
 TIER_LIMITS = {"free": 60, "pro": 500, "enterprise": 10_000, "admin": 100_000}
 
 
@@ -439,7 +441,132 @@ def webhook_interval(
 # -- request quota -----------------------------------------------------------
 
 
-def quota_replay(requests: DataFrame, limits: DataFrame) -> DataFrame:
+class _Log:
+    """Accepted requests of one key that are still inside the window: (time, how many), oldest first."""
+
+    def __init__(self, text: str | None = None):
+        self.entries = [tuple(e) for e in json.loads(text)] if text else []
+        self.first, self.total = 0, sum(n for _, n in self.entries)
+
+    def leave(self, now: int) -> None:
+        while self.first < len(self.entries) and self.entries[self.first][0] <= now - QUOTA_WINDOW_MS:
+            self.total -= self.entries[self.first][1]
+            self.first += 1
+        if self.first > 4096:
+            self.entries, self.first = self.entries[self.first:], 0
+
+    def text(self, now: int) -> str:
+        self.leave(now)
+        return json.dumps(self.entries[self.first:])
+
+    def walk(self, ts: np.ndarray, n: np.ndarray, busy: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(taken, time of the oldest logged request) per row; jumps over stretches that are rejected whole."""
+        taken, oldest = np.zeros(len(ts), np.int64), ts.copy()
+        # A limit of 0 lets nothing through, and no log ever begins.
+        i = 0 if limit > 0 else len(ts)
+        while i < len(ts):
+            self.leave(ts[i])
+            if self.total >= limit:
+                # Nothing passes before the oldest request leaves the window.
+                upto = int(np.searchsorted(ts, self.entries[self.first][0] + QUOTA_WINDOW_MS))
+                oldest[i:upto] = self.entries[self.first][0]
+                i = upto
+                continue
+            taken[i] = n[i] if not busy[i] else min(n[i], limit - self.total)
+            self.entries.append((int(ts[i]), int(taken[i])))
+            self.total += int(taken[i])
+            oldest[i] = self.entries[self.first][0]
+            i += 1
+        return taken, oldest
+
+
+_LOGS = f"key string, run bigint, `{CHUNK}` bigint, log string"
+_PART = ["key", "run", CHUNK]
+
+
+def _parts(frame: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of equal keys of one sorted batch."""
+    edges = np.flatnonzero(np.logical_or.reduce([frame[k].to_numpy()[1:] != frame[k].to_numpy()[:-1] for k in keys])) + 1
+    for a, b in zip([0, *edges], [*edges, len(frame)]):
+        if b > a:
+            yield tuple(frame[k].iloc[a] for k in keys), frame.iloc[a:b]
+
+
+def _from_logs(rows: DataFrame, logs: DataFrame | None) -> DataFrame:
+    """Rows of every chunk after a head row that holds the log it is entered with."""
+    rows = rows.withColumn("log", F.lit(None).cast("string"))
+    if logs is None:
+        return rows
+    heads = logs.select(
+        *_PART, F.lit(-(2**62)).alias("ts_ms"), F.lit(0).cast("bigint").alias("n"), F.lit(False).alias("busy"),
+        F.lit(0).cast("bigint").alias("limit"), "log")
+    return rows.unionByName(heads)
+
+
+def _exits(rows: DataFrame, logs: DataFrame | None, chunk_ms: int) -> DataFrame:
+    """The log that each chunk is left with, if entered with its own of `logs`, or else an empty one."""
+
+    def fold(frames):
+        current, log = None, _Log()
+        for frame in frames:
+            out = []
+            for key, part in _parts(frame, _PART):
+                if key != current:
+                    if current is not None:
+                        out.append((*current, log.text((current[2] + 1) * chunk_ms - 1)))
+                    current, log = key, _Log(part["log"].iloc[0])
+                    part = part.iloc[1:] if part["log"].iloc[0] is not None else part
+                if len(part):
+                    log.walk(*(part[c].to_numpy() for c in ("ts_ms", "n", "busy")), int(part["limit"].iloc[0]))
+            yield pd.DataFrame(out, columns=["key", "run", CHUNK, "log"])
+        if current is not None:
+            yield pd.DataFrame([(*current, log.text((current[2] + 1) * chunk_ms - 1))], columns=["key", "run", CHUNK, "log"])
+
+    return _scan(_from_logs(rows, logs), _PART, ["ts_ms"], fold, _LOGS)
+
+
+def _chained(rows: DataFrame, chunk_ms: int) -> DataFrame:
+    """The log that each chunk is entered with, found by one scan a run."""
+
+    def fold(frames):
+        current, chunk, log = None, None, _Log()
+        for frame in frames:
+            out = []
+            for (key, run, here), part in _parts(frame, _PART):
+                if (key, run) != current:
+                    current, chunk, log = (key, run), here, _Log()
+                elif here != chunk:
+                    out.append((key, run, here, log.text(here * chunk_ms - 1)))
+                    chunk = here
+                log.walk(*(part[c].to_numpy() for c in ("ts_ms", "n", "busy")), int(part["limit"].iloc[0]))
+            yield pd.DataFrame(out, columns=["key", "run", CHUNK, "log"])
+
+    return _scan(rows, ["key", "run"], ["ts_ms"], fold, _LOGS)
+
+
+def _entry_logs(rows: DataFrame, chunk_ms: int) -> DataFrame:
+    """The log that each chunk but the first of a run is entered with.
+
+    Chunks are run from an empty log, and once more from what the chunk before was left with then.
+    If no log of a run changes the second time, each was entered as it truly is, by induction from
+    the run's first chunk: the first start no longer matters, since all that it let through has left the
+    window or is let through from every start. Runs in which a log does change go through in order.
+    """
+    last = rows.groupBy("key", "run").agg(F.max(CHUNK).alias("last"), F.min(CHUNK).alias("first"))
+    last = last.filter(F.col("last") > F.col("first"))
+    several = materialize(rows.join(last, ["key", "run"]).drop("first"), "quota-chunks")
+    inner = several.filter(F.col(CHUNK) < F.col("last")).drop("last")
+    guess = materialize(_exits(inner, None, chunk_ms), "quota-guess")
+    after = lambda logs: logs.withColumn(CHUNK, F.col(CHUNK) + 1)
+    starts = after(guess).join(inner.select(*_PART).distinct(), _PART, "left_semi")
+    again = materialize(_exits(inner, starts, chunk_ms), "quota-again")
+    changed = again.join(guess.withColumnRenamed("log", "before"), _PART).filter(F.col("log") != F.col("before"))
+    changed = materialize(changed.select("key", "run").distinct(), "quota-changed")
+    settled = after(again).join(changed, ["key", "run"], "left_anti")
+    return settled.unionByName(_chained(several.drop("last").join(changed, ["key", "run"], "left_semi"), chunk_ms))
+
+
+def quota_replay(requests: DataFrame, limits: DataFrame, *, chunk_ms: int = QUOTA_CHUNK_MS) -> DataFrame:
     """Add `allowed` and `retry_after_s`: which requests a sliding 60 s limit lets
     through. Rejected requests do not count against the limit.
 
@@ -447,7 +574,8 @@ def quota_replay(requests: DataFrame, limits: DataFrame) -> DataFrame:
     same millisecond share one row. A minute is calm when it and the minute before
     hold no more requests than the limit: everything in it is allowed, so the log
     falls apart into independent runs of busy minutes, each with one calm minute
-    before it as its starting state. Only busy runs are scanned in order.
+    before it as its starting state. Runs are cut into chunks of `chunk_ms`, which are
+    judged in tasks of their own once the log is known that each is entered with.
     """
     step = F.floor(F.col("ts_ms") / QUOTA_WINDOW_MS)
     per_ms = requests.groupBy("key", "ts_ms").agg(F.count(F.lit(1)).alias("n")).withColumn("minute", step)
@@ -461,43 +589,29 @@ def quota_replay(requests: DataFrame, limits: DataFrame) -> DataFrame:
     heads = runs.filter("__s = 1").select("key", (F.col("minute") - 1).alias("minute"), "limit", "run")
     spans = runs.select("key", "minute", "limit", "run", F.lit(True).alias("busy")).unionByName(
         heads.withColumn("busy", F.lit(False)))
-    rows = per_ms.join(spans, ["key", "minute"]).select("key", "run", "busy", "ts_ms", "n", "limit")
-
-    def scan(frames):
-        current, log, first, total = None, [], 0, 0
+    rows = per_ms.join(spans, ["key", "minute"]).select(
+        "key", "run", F.floor(F.col("ts_ms") / chunk_ms).alias(CHUNK), "ts_ms", "n", "busy",
+        F.col("limit").cast("bigint").alias("limit"))
+    rows = materialize(rows, "quota-rows")
+    logs = _entry_logs(rows, chunk_ms)
+
+    def judge(frames):
+        current, log = None, _Log()
         for frame in frames:
-            parts = []
-            for key, part in frame.groupby(["key", "run"], sort=False):
+            out = [pd.DataFrame(columns=["key", "ts_ms", "taken", "wait"])]
+            for key, part in _parts(frame, _PART):
                 if key != current:
-                    current, log, first, total = key, [], 0, 0
-                limit = int(part["limit"].iloc[0])
+                    current, log = key, _Log(part["log"].iloc[0])
+                    part = part.iloc[1:] if part["log"].iloc[0] is not None else part
+                if not len(part):
+                    continue
                 ts, n, busy = (part[c].to_numpy() for c in ("ts_ms", "n", "busy"))
-                taken, oldest = np.zeros(len(ts), np.int64), ts.copy()
-                # A limit of 0 lets nothing through, and no log ever begins.
-                i = 0 if limit > 0 else len(ts)
-                while i < len(ts):
-                    while first < len(log) and log[first][0] <= ts[i] - QUOTA_WINDOW_MS:
-                        total -= log[first][1]
-                        first += 1
-                    if total >= limit:
-                        # Nothing passes before the oldest request leaves the window.
-                        upto = int(np.searchsorted(ts, log[first][0] + QUOTA_WINDOW_MS))
-                        oldest[i:upto] = log[first][0]
-                        i = upto
-                        continue
-                    taken[i] = n[i] if not busy[i] else min(n[i], limit - total)
-                    log.append((int(ts[i]), int(taken[i])))
-                    total += int(taken[i])
-                    oldest[i] = log[first][0]
-                    i += 1
-                    if first > 4096:
-                        log, first = log[first:], 0
+                taken, oldest = log.walk(ts, n, busy, int(part["limit"].iloc[0]))
                 wait = -((ts - oldest - QUOTA_WINDOW_MS) // 1000)
-                shown = pd.DataFrame({"key": key[0], "ts_ms": ts, "taken": taken, "wait": wait})
-                parts.append(shown[busy])
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["key", "ts_ms", "taken", "wait"])
+                out.append(pd.DataFrame({"key": key[0], "ts_ms": ts, "taken": taken, "wait": wait})[busy])
+            yield pd.concat(out[1:] or out)
 
-    verdict = _scan(rows, ["key", "run"], ["ts_ms"], scan, "key string, ts_ms bigint, taken bigint, wait bigint")
+    verdict = _scan(_from_logs(rows, logs), _PART, ["ts_ms"], judge, "key string, ts_ms bigint, taken bigint, wait bigint")
     judged = requests.join(verdict, ["key", "ts_ms"], "left").join(limits, "key", "left")
     rank = F.row_number().over(W.partitionBy("key", "ts_ms").orderBy("seq"))
     allowed = F.col("limit").isNotNull() & (F.col("taken").isNull() | (rank <= F.col("taken")))

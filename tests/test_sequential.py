@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricelake.operators import anomaly, breaker, ledger, sequential
 from pricelake.operators.chunks import add_chunk
@@ -54,6 +55,48 @@ def test_quota(spark, seed):
     assert got == simulate.quota(rows, limits)
 
 
+@pytest.mark.parametrize("kind,limit", [("waves", 30), ("waves", 200), ("flood", 40), ("flood", 3), ("edge", 120)])
+def test_quota_in_chunks(spark, kind, limit):
+    """A key that is over its limit for hours, with and without breaks in which chunks settle."""
+    rng, ts, rows = random.Random(limit), 10**9, []
+    for seq in range(12_000):
+        calm = kind == "waves" and (ts // 200_000) % 2
+        ts += rng.choice([0, 0, 1, 400, 900] if not calm else [0, 1500, 4000]) if kind != "edge" else rng.choice([400, 500, 600])
+        rows.append((seq, "hot" if rng.random() < 0.97 else "cold", ts))
+    limits = {"hot": limit, "cold": 2}
+    df = spark.createDataFrame(rows, "seq bigint, key string, ts_ms bigint").repartition(4)
+    lim = spark.createDataFrame(list(limits.items()), "key string, limit bigint")
+    out = sequential.quota_replay(df, lim, chunk_ms=300_000)
+    got = {r.seq: (r.allowed, r.retry_after_s) for r in out.collect()}
+    assert got == simulate.quota(rows, limits)
+
+
+def test_a_hot_key_runs_in_several_tasks(spark):
+    """10^6 requests of one key that never falls below its limit are judged in many tasks."""
+    df = spark.range(1_000_000).selectExpr(
+        "id AS seq", "'hot' AS key", "1000000000 + id * 20 + pmod(xxhash64(id), 19) AS ts_ms")
+    lim = spark.createDataFrame([("hot", 2990)], "key string, limit bigint")
+    part = [*sequential._PART]
+    seen = []
+    scan = sequential._scan
+
+    def spy(frame, keys, *rest):
+        seen.append((keys, frame.select(*keys).distinct().count()))
+        return scan(frame, keys, *rest)
+
+    sequential._scan = spy
+    try:
+        out = sequential.quota_replay(df, lim).persist()
+    finally:
+        sequential._scan = scan
+    assert all(n > 20 for keys, n in seen if keys == part) and ["key", "run"] in [k for k, _ in seen]
+    sample = out.filter("seq < 30000").collect()
+    rows = sorted((r.seq, r.key, r.ts_ms) for r in sample)
+    assert {r.seq: (r.allowed, r.retry_after_s) for r in sample} == simulate.quota(rows, {"hot": 2990})
+    allowed = out.filter("allowed").groupBy(F.floor(F.col("ts_ms") / 60_000).alias("m")).count().collect()
+    assert max(r["count"] for r in allowed) <= 2 * 2990 and out.count() == 1_000_000
+
+
 @pytest.mark.parametrize("size", SIZES)
 def test_webhook_interval(spark, size):
     rows = simulate.series(5, 800, ["A", "B"], step=30_000)
