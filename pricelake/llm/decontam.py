@@ -8,7 +8,7 @@ benchmark items and documents are joined by hash, in two views: with and without
 placeholders, so that a change of case hides nothing. A window of mostly placeholders
 says nothing and is left out, at least half of it must be plain tokens.
 
-Matches of one document, item and view at one alignment are put together. They are
+Matches of one document and item at one alignment are put together, from both views. They are
 consistent if one slot value of the item always meets the same value of the document,
 so a re-parameterised question (other numbers or names throughout) is caught, and a
 mere likeness of templates with jumbled slots is not. An item is found if consistent
@@ -241,10 +241,12 @@ def contaminated(
     pairs = found.join(theirs, ["hash", "view"]).filter("kinds = item_kinds OR view = 0")
     # One row per token of a match; tokens that windows share fall together.
     cells = pairs.select(
-        "id", "mark", "item", "item_mark", "item_size", "view", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+        "id", "mark", "item", "item_mark", "item_size", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
         F.posexplode(F.arrays_zip("words", "item_words", "item_kinds")).alias("k", "cell"))
-    slot = F.when(F.col("cell.item_kinds").isin(NUMBER, UNIT) | ((F.col("cell.item_kinds") == NAME) & (F.col("view") == NAME)), 1)
-    key = ["id", "mark", "item", "item_mark", "item_size", "view", "shift"]
+    # Both views of an alignment are judged together: a window without the name shows a number's value, one
+    # with it the name's. Where a name is matched as a word, it meets itself.
+    slot = F.when(F.col("cell.item_kinds").isin(NUMBER, UNIT, NAME), 1)
+    key = ["id", "mark", "item", "item_mark", "item_size", "shift"]
     cells = cells.groupBy(*key, (F.col("item_at") + F.col("k")).alias("place")).agg(
         F.max(slot).alias("slot"), F.max("cell.words").alias("mine"), F.max("cell.item_words").alias("other"))
     other = F.when(F.col("slot") == 1, F.col("other"))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pricelake.llm import text as tx
+from pricelake.llm.manifest import number_rows
 from pricelake.session import materialize
 
 DISCOUNT = 0.75
@@ -228,6 +229,9 @@ class Model(NamedTuple):
         return math.log10(max(self.ends - DISCOUNT, DISCOUNT / 2) / self.tokens) if self.ends else 0.0
 
 
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def learn(docs: DataFrame, model: bytes, rounds: int = ROUNDS, hot_words: int = HOT_WORDS) -> tuple[Model, DataFrame]:
     """Learns from the rows of `docs` (learn, text) marked to learn; the table holds all words (h, c, lp)."""
     vocab = vocabulary(model)
@@ -271,18 +275,26 @@ def learn(docs: DataFrame, model: bytes, rounds: int = ROUNDS, hot_words: int =
             yield pa.RecordBatch.from_arrays([span(1), span(2), span(3), pa.array(lp / LN10)], ["h", "c", "a", "lp"])
 
     table = materialize(counts.select("word", "h", "c", "a").mapInArrow(score, "h long, c long, a long, lp double"), "word-scores")
-    # The least count that at most `hot_words` words reach, from a table of counts.
-    by_count = table.groupBy(F.least("a", F.lit(100_000)).alias("a")).agg(F.count("*").alias("n")).orderBy(F.col("a").desc())
-    least, held = 1 << 62, 0
-    for a, n in by_count.toLocalIterator():
+    # Candidates are the words of the highest powers of two that together reach the budget; of these
+    # the first by count, then hash, are sent. Words beyond the budget are joined, whatever their counts.
+    power = F.floor(F.log2("a")).cast("int")
+    least, held = 1, 0
+    for bucket, n in table.groupBy(power.alias("p")).agg(F.count("*").alias("n")).orderBy(F.col("p").desc()).collect():
         held += n
         if held > hot_words:
+            least = 1 << bucket
             break
-        least = a
-    hot = table.filter(F.col("a") >= least).select("h", "c", "lp").toArrow()
+    chosen, rare = table, table.limit(0)
+    if held > hot_words:
+        lined = number_rows(table.filter(F.col("a") >= least).withColumns({"all": F.lit(""), "less": -F.col("a")}), "all", ["less", "h"])
+        lined = materialize(lined, "frequent")
+        chosen = lined.filter(F.col("idx") < hot_words)
+        rare = table.filter(F.col("a") < least).unionByName(
+            lined.filter(F.col("idx") >= hot_words).select("h", "c", "a", "lp"))
+    hot = chosen.select("h", "c", "lp").toArrow()
     order = np.argsort(hot.column("h").to_numpy().view(np.uint64))
     hot = (hot.column("h").to_numpy().view(np.uint64)[order], hot.column("c").to_numpy()[order], hot.column("lp").to_numpy()[order])
-    return Model(tokens, kinds, ends, hot), table.filter(F.col("a") < least)
+    return Model(tokens, kinds, ends, hot), rare
 
 
 def score(docs: DataFrame, model: Model, rare: DataFrame, text_col: str = "text") -> DataFrame:
@@ -290,7 +302,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, text_col: str = "text"
     keys, counts, logs = model.hot
     base = model.base(counts) if len(keys) else np.zeros(0)
     end_known, end_base, end_lp = int(model.ends > 0), float(model.base(model.ends)), model.end_score()
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in {*RESULTS, text_col}]
 
     def run(batches):
         for block in tx.blocks(batches, text_col):

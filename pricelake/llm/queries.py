@@ -88,14 +88,23 @@ CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
-SELECT conv_id, count(*)::BIGINT AS n_turns,
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place FROM rows),
+walked AS (SELECT conv_id, list_reduce(list_prepend('start', list(place || ':' || role ORDER BY place)), lambda state, said:
+    CASE WHEN starts_with(state, 'broken') THEN state
+         WHEN state = 'start' AND substr(said, strpos(said, ':') + 1) = 'system' THEN 'briefed'
+         WHEN state IN ('start', 'briefed', 'answered') AND substr(said, strpos(said, ':') + 1) = 'user' THEN 'asked'
+         WHEN state = 'asked' AND substr(said, strpos(said, ':') + 1) = 'assistant' THEN 'answered'
+         ELSE 'broken ' || split_part(said, ':', 1) END) AS state FROM placed GROUP BY conv_id),
+shown AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(24 + 2 * length(role || text) - length(replace(replace(replace(role || text, '<', ''), '[', ''), '\', '')))
          ::BIGINT AS formatted_chars
-FROM rows GROUP BY conv_id
+FROM rows GROUP BY conv_id)
+SELECT shown.*, state = 'answered' AS valid, CASE WHEN starts_with(state, 'broken') THEN substr(state, 8)::BIGINT END AS bad_turn
+FROM shown JOIN walked ON shown.conv_id IS NOT DISTINCT FROM walked.conv_id
 """
 
 
@@ -115,7 +124,8 @@ def chat_segments(spark, sf_dir):
     return out.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(shown, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
-        F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+        F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid", F.col("bad_turn").cast("long").alias("bad_turn"))
 
 
 @query("op6_subword_lattice")

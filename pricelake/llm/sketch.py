@@ -3,8 +3,10 @@
 A text's sketch holds every distinct hash of its five-word shingles that lies in the
 lowest `1/scale` of the hash range. The cut is the same for all texts, so sketches of
 very unequal texts compare without bias (share of one sketch found in the other), and
-the sketch of a union is the union of the sketches. A text none of whose hashes is
-below the cut keeps its smallest hash instead, so every text with a word has a sketch.
+the sketch of a union is the union of the sketches. A text with fewer than `FLOOR` hashes below
+the cut keeps its `FLOOR` smallest ones, or all: so a sketch tells up to where it is complete (the
+cut; its largest hash if it has `FLOOR`; anywhere if it has fewer), and two are compared up to where
+both are. Texts of fewer than `FLOOR` shingles are compared exactly.
 
 Defined results: words are runs of non-space characters (ASCII spaces); with fewer
 than five words the whole sequence is the one shingle; null and empty texts, and texts
@@ -20,6 +22,7 @@ from pricelake.llm.mixing import SPACE, SPACES
 
 WIDTH = 5
 SCALE = 8
+FLOOR = 32
 CHUNK = 4096
 
 
@@ -37,30 +40,42 @@ def add_sketch(df: DataFrame, text_col: str, out: str, width: int = WIDTH, scale
         F.when(trimmed == "", F.array().cast("array<bigint>"))
         .when(F.size(words) < width, F.array(F.xxhash64(F.col(words))))
         .otherwise(F.transform(starts, shingle)))
-    df = df.withColumn(kept, F.filter(hashes, lambda h: h <= top))
-    lowest = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(
-        out, F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(kept))).otherwise(lowest)
-    ).drop(words, hashes, kept)
+    df = df.withColumn(kept, F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h <= top))))
+    lowest = F.slice(F.sort_array(F.array_distinct(hashes)), 1, FLOOR)
+    return df.withColumn(out, F.when(F.size(kept) >= FLOOR, F.col(kept)).otherwise(lowest)).drop(words, hashes, kept)
+
+
+def _upto(sketch: Column, scale: int) -> Column:
+    """The hash up to which a sketch is complete."""
+    top = -(1 << 63) + (1 << 64) // scale - 1
+    return F.when(F.size(sketch) < FLOOR, F.lit((1 << 63) - 1)).when(
+        F.size(sketch) == FLOOR, F.greatest(F.lit(top), F.array_max(sketch))).otherwise(F.lit(top))
+
+
+def _comparable(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    both = F.least(_upto(a, scale), _upto(b, scale))
+    return F.filter(a, lambda h: h <= both), F.filter(b, lambda h: h <= both)
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Sketch of the union of two texts' shingles."""
     top = -(1 << 63) + (1 << 64) // scale - 1
-    both = F.sort_array(F.array_union(a, b))
+    both = F.sort_array(F.array_union(*_comparable(a, b, scale)))
     below = F.filter(both, lambda h: h <= top)
-    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+    return F.when(F.size(below) >= FLOOR, below).otherwise(F.slice(both, 1, FLOOR))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated Jaccard similarity of the shingle sets."""
+    a, b = _comparable(a, b, scale)
     common = F.size(F.array_intersect(a, b))
     whole = F.size(a) + F.size(b) - common
     return F.when(whole == 0, F.lit(1.0)).otherwise(common / whole)
 
 
-def containment(a: Column, b: Column) -> Column:
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Estimated share of a's shingles that b has; 1 if a has none."""
+    a, b = _comparable(a, b, scale)
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 

@@ -3,14 +3,16 @@
 A text of up to `chunk` bytes is encoded as it is. A longer one is encoded in chunks of
 `chunk` bytes that overlap by `overlap`; from the piece lengths every token end gets
 its byte offset. Two neighbouring chunks are spliced at an offset in their overlap where
-both have a token end that is proven stable: between a character that is no space and
-a space. The proof is a property of the vocabulary, checked when it is loaded: no piece
-has a space after another character, so no merge can cross such a place and both sides
-are encoded independently. If the overlap has no such place, it is doubled, up to the
-rest of the text. Memory depends on the chunk, not on the text.
+both have a token end that is proven stable: between two characters that stand side by side
+in no piece. Every symbol that merging makes is a piece, so no merge can cross such a place and
+both sides are encoded independently. The pairs of all pieces are read when the vocabulary is
+loaded. If the overlap has no such place, it is doubled, up to the rest of the text; so
+memory depends on the chunk and on the longest stretch without such a place (a run of one
+letter, say, whose doubles are pieces), not on the text.
 
-A text is encoded at once if the proof fails for the vocabulary, if it holds the
-vocabulary's own space symbol, or if offsets don't add up (a normalizing vocabulary).
+The vocabulary's own space symbol inside a text is encoded as a space is, which is checked
+with the vocabulary. A text is encoded at once if that does not hold for a text with the symbol, or
+if offsets don't add up (a normalizing vocabulary).
 
 Defined results: null and empty texts have 0 tokens and 0 bytes; special strings are
 ordinary text; repeated rows give repeated results; null ids stay null; an empty
@@ -32,6 +34,12 @@ MODEL_BYTES = 64 << 20
 SPACE = "▁"
 
 
+def _pair_codes(text: str) -> np.ndarray:
+    """One number for each two neighbouring characters."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points[:-1] << 21 | points[1:]
+
+
 class Encoder:
     """Counts tokens of texts for one vocabulary."""
 
@@ -42,10 +50,13 @@ class Encoder:
         self.chunk, self.overlap = chunk, overlap
         size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(size)]
-        plain = [not (self.model.is_control(i) or self.model.is_unknown(i)) for i in range(size)]
         self.lengths = np.array([
             1 if self.model.is_byte(i) else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(pieces)])
-        self.proven = not any(ok and SPACE in p.lstrip(SPACE) for ok, p in zip(plain, pieces))
+        pairs = {x + y for p in pieces for x, y in zip(p.replace(SPACE, " "), p.replace(SPACE, " ")[1:])}
+        self.pairs = _pair_codes("".join(sorted(pairs)))[::2] if pairs else np.zeros(0, np.int64)
+        tried = f"a{SPACE}b {SPACE}c{SPACE}{SPACE}d{SPACE}"
+        self.same_space = all(
+            self.model.encode(t) == self.model.encode(t.replace(SPACE, " ")) for t in (tried, SPACE + tried, " " + tried + " "))
         self.unknown = self.model.unk_id()
 
     def ends(self, part: bytes) -> np.ndarray | None:
@@ -59,13 +70,24 @@ class Encoder:
     def stable(self, part: bytes, ends: np.ndarray, low: int, high: int) -> np.ndarray:
         """Proven token ends of `part` in [low, high)."""
         ends = ends[(ends >= max(low, 1)) & (ends < high)]
-        data = np.frombuffer(part, np.uint8)
-        return ends[(data[ends] == 32) & (data[ends - 1] != 32)]
+        if not len(ends):
+            return ends
+        # The text around the candidates, from a whole character on.
+        first = int(ends[0]) - 1
+        while first and part[first] & 0xC0 == 0x80:
+            first -= 1
+        around = part[first:]
+        data = np.frombuffer(around, np.uint8)
+        begins = np.flatnonzero((data & 0xC0) != 0x80) + first
+        free = begins[1:][~np.isin(_pair_codes(around.decode()), self.pairs)]
+        return np.intersect1d(ends, free)
 
     def count_long(self, data: bytes) -> int:
         whole = lambda: len(self.model.encode(data.decode()))
-        if not self.proven or SPACE.encode() in data:
-            return whole()
+        if SPACE.encode() in data:
+            if not self.same_space:
+                return whole()
+            data = data.replace(SPACE.encode(), b" ")
 
         def cut(at: int) -> int:  # never inside a character
             while at < len(data) and data[at] & 0xC0 == 0x80:

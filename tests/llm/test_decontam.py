@@ -74,3 +74,30 @@ def test_verbatim_items(spark, sf):
             for i, t in items if t in " ".join(r.text.split())}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op1_template_decontamination"](spark, sf).collect()}
     assert want and got == want
+
+
+def test_generated_parameters_and_jumbled_twins(spark):
+    """100 items with other names and numbers throughout are found, twins with one slot jumbled are not."""
+    import random
+
+    rng = random.Random(12)
+    names = ["Anna", "Bert", "Cleo", "Dora", "Emil", "Fred", "Gina", "Hugo", "Ines", "Jack", "Kira", "Luis"]
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(4, 8)))
+    items, same, jumbled = [], [], []
+    for i in range(100):
+        w = [word() for _ in range(24)]
+        form = " ".join(["The", *w[:3], "{a}", *w[3:6], "{n}", *w[6:8], "and", *w[8:10], "{b}", *w[10:13], "{n}", *w[13:16], "{a}",
+                         *w[16:19], "{m}", *w[19:21], "{c}", *w[21:]])
+        a, b, c, d = rng.sample(names, 4)
+        n, m, k, o = rng.sample(range(10, 10_000), 4)
+        fill = lambda **kw: form.format(**kw)
+        items.append((i, fill(a=a, b=b, c=a, n=n, m=m)))
+        same.append((i, fill(a=c, b=d, c=c, n=k, m=o)))
+        parts = form.replace("{c}", "{a}").split("{n}") if i % 2 else form.split("{c}")
+        # Another number where the first one stood, or another name where the same one stood.
+        twin = f"{parts[0]}{k}{parts[1]}{k + 1}{parts[2]}" if i % 2 else f"{parts[0]}{d}{parts[1]}".replace("{n}", str(k))
+        jumbled.append((1000 + i, twin.format(a=c, b=b, m=o)))
+    frame = spark.createDataFrame(same + jumbled, "doc_id long, text string")
+    found = {(r.id, r.item) for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i for i, _ in same} <= {i for i, _ in found}
+    assert all(i == item for i, item in found)

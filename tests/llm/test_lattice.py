@@ -94,6 +94,47 @@ def test_like_plain_counts(spark, hot):
     assert np.allclose(sorted(r.score for r in out), same)
 
 
+def test_words_beyond_the_budget_are_joined(spark):
+    """The first words by count are sent along, however many share a count."""
+    texts = ["a b c d e " * 300, "a b c " * 500, "f g h i j k"]
+    docs = spark.createDataFrame([(i, True, t) for i, t in enumerate(texts)], "doc_id long, learn boolean, text string")
+    whole, none = lattice.learn(docs, MODEL, rounds=1)
+    assert none.count() == 0 and len(whole.hot[0]) == 11
+    want = sorted(r.score for r in lattice.score(docs, whole, none).collect())
+    for budget in (1, 2, 4, 7):
+        model, rare = lattice.learn(docs, MODEL, rounds=1, hot_words=budget)
+        assert len(model.hot[0]) == budget and rare.count() == 11 - budget
+        assert sorted(model.hot[1])[0] >= max(r.c for r in rare.collect())
+        assert np.allclose(sorted(r.score for r in lattice.score(docs, model, rare).collect()), want)
+
+
+def test_extra_columns_named_as_results(spark):
+    docs = spark.createDataFrame([(1, True, "a word")], "doc_id long, learn boolean, text string")
+    docs = docs.selectExpr("*", "1 AS n_tokens", "2 AS n_known", "3 AS train_tokens", "4 AS base_score", "5 AS score", "6 AS lp")
+    (r,) = lattice.score(docs, *lattice.learn(docs, MODEL)).collect()
+    assert (r.doc_id, r.n_tokens, r.train_tokens, r.lp) == (1, 3, 3, 6)
+
+
+def test_document_score_sums_its_words(spark):
+    """The score of a text is the sum over its words of a lattice that is walked here in plain Python."""
+    docs = spark.createDataFrame(
+        [(1, True, "the cat the dog"), (2, False, "the bird is the word"), (3, True, "a bird")], "doc_id long, learn boolean, text string")
+    model, rare = lattice.learn(docs, MODEL, rounds=0)
+    vocab, pieces = lattice.vocabulary(MODEL), {p: i for i, p in enumerate(pieces_of(MODEL))}
+    train = Counter(w for t in ("the cat the dog", "a bird") for w in [*t.split(), None])
+    n, kinds = sum(train.values()), len(train)
+
+    def word(w):
+        rest = math.log(brute(w.encode(), pieces, vocab.scores) * lattice.DISCOUNT * kinds / n)
+        return np.logaddexp(math.log((train[w] - lattice.DISCOUNT) / n), rest) if train[w] else rest
+
+    end = math.log((train[None] - lattice.DISCOUNT) / n)
+    for r in lattice.score(docs, model, rare).collect():
+        text = {1: "the cat the dog", 2: "the bird is the word", 3: "a bird"}[r.doc_id]
+        want = (sum(word(w) for w in text.split()) + end) / math.log(10)
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+
+
 def test_nothing_learnt(spark):
     docs = spark.createDataFrame([(1, False, "a word"), (2, False, None)], "doc_id long, learn boolean, text string")
     out = sorted(lattice.score(docs, *lattice.learn(docs, MODEL)).collect())

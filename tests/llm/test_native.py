@@ -95,7 +95,7 @@ def test_sketch_keeps_all_low_hashes(spark):
     low = -(1 << 63) + (1 << 61)
     words = text.split()
     assert len(full) == len({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
-    assert cut == [h for h in full if h < low] and 30 < len(cut) < 100
+    assert cut == [h for h in full if h < low] and sketch.FLOOR < len(cut) < 100
 
 
 def test_sketch_edges(spark):
@@ -106,12 +106,37 @@ def test_sketch_edges(spark):
     assert near == [(0.4, 2 / 3), (1.0, 1.0), (0.0, 0.0)]
 
 
-def test_merge_is_the_sketch_of_both(spark):
-    x, y = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+@pytest.mark.parametrize("n,m", [(80, 80), (400, 30), (3, 500), (1, 1), (20, 20), (0, 90), (600, 700)])
+def test_merge_is_the_sketch_of_both(spark, n, m):
+    """The sketch of both texts' shingles, whichever of them are few."""
+    x, y = " ".join(f"a{i}" for i in range(n)), " ".join(f"b{i}" for i in range(m))
     df = spark.createDataFrame([(x, y)], "x string, y string")
     df = sketch.add_sketch(sketch.add_sketch(df, "x", "a"), "y", "b")
-    merged = df.select(sketch.merge(F.col("a"), F.col("b")).alias("m"), "a", "b").first()
-    assert merged.m == sorted(set(merged.a) | set(merged.b))
+    df = sketch.add_sketch(sketch.add_sketch(df, "x", "fa", scale=1), "y", "fb", scale=1)
+    got = df.select(sketch.merge(F.col("a"), F.col("b")).alias("m"), "fa", "fb").first()
+    every = sorted(set(got.fa) | set(got.fb))
+    low = [h for h in every if h < -(1 << 63) + (1 << 61)]
+    assert got.m == (low if len(low) >= sketch.FLOOR else every[:sketch.FLOOR])
+
+
+def test_short_texts_are_compared_exactly_and_long_ones_nearly(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = []
+    for n in [*range(1, 36), 60, 90, 200, 800, 3000]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = rng.randrange(n + 1)
+        pairs.append((" ".join(words), " ".join(words[:cut] + ["x"] * (n - cut))))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    df = sketch.add_sketch(sketch.add_sketch(df, "x", "a"), "y", "b")
+    off = []
+    for r in df.select("x", "y", sketch.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        p, q = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (r.x.split(), r.y.split()))
+        exact = len(p & q) / len(p | q)
+        off.append(abs(r.near - exact))
+        assert max(len(p), len(q)) >= sketch.FLOOR or off[-1] < 1e-12
+    assert sum(off) / len(off) < 0.03
 
 
 @pytest.mark.parametrize("ids", [[5], list(range(40)), [0, 7, 10**17, -3, 10**17 + 1, 9_000_000_000], [4, 4, None, 2, None, 9]])

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -20,16 +22,32 @@ def test_chunks_equal_whole(spark, sf, chunk, overlap):
     assert got == want
 
 
-def test_splices_do_not_fall_back(monkeypatch):
-    encoder = tokens.Encoder(tokens.read_model(PATH), 64, 8)
-    assert encoder.proven
-    text = "some words that go on and on, é and ü " * 50
-    want = len(encoder.model.encode(text))
+def parts_of(monkeypatch, text, chunk, overlap):
+    """(count in chunks, longest part)."""
+    encoder = tokens.Encoder(tokens.read_model(PATH), chunk, overlap)
     longest = []
     ends = encoder.ends
     monkeypatch.setattr(encoder, "ends", lambda part: longest.append(len(part)) or ends(part))
-    assert encoder.count_long(text.encode()) == want
-    assert max(longest) < 150
+    count = encoder.count_long(text.encode())
+    assert count == len(encoder.model.encode(text))
+    return max(longest)
+
+
+def test_splices_do_not_fall_back(monkeypatch):
+    assert parts_of(monkeypatch, "some words that go on and on, é and ü " * 50, 64, 8) < 150
+
+
+def test_texts_without_spaces_go_in_parts(monkeypatch):
+    rng = random.Random(4)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    assert parts_of(monkeypatch, letters, 32 << 10, 512) < 40_000
+    kana = "".join(rng.choice("日本語のテキスト漢字東京都") for _ in range(100_000))
+    assert parts_of(monkeypatch, kana, 32 << 10, 512) < 40_000
+
+
+def test_the_space_symbol_does_not_switch_chunking_off(monkeypatch):
+    assert parts_of(monkeypatch, "some▁words ▁ that▁▁go on " * 4000, 4096, 64) < 5000
+    assert parts_of(monkeypatch, "▁" + "a plain text of words " * 4000, 4096, 64) < 5000
 
 
 def test_empty_table(spark):
