@@ -3,7 +3,7 @@
 A window over `partitionBy(asset)` puts a whole asset into one task. The helpers
 here cut every key's order into chunks of bounded size instead:
 
-* `running` - running sum/min/max/last: local value inside the chunk, combined
+* `running` - running sum/min/max/last and the like: local value inside the chunk, combined
   with a carry-in taken from the chunk summaries (one row per key and chunk);
 * `with_halo` - bounded ROWS frames: each chunk also receives the last `k` rows
   that precede it, which are dropped again after the window.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 CHUNK_ROWS = 250_000
 CHUNK = "__chunk"
 HALO = "__halo"
+KEY = "__key"
 
 
 def add_chunk(df: DataFrame, position: str, size: int = CHUNK_ROWS) -> DataFrame:
@@ -35,45 +36,81 @@ def running(
     values: Mapping[str, tuple[str, Column]],
     size: int = CHUNK_ROWS,
     exclusive: Sequence[str] = (),
+    shared: bool = False,
 ) -> DataFrame:
     """Add running aggregates over (keys ordered by position).
 
-    `values` maps a new column to (kind, expression), kind one of sum, min, max,
-    last (last non-null). Columns named in `exclusive` leave the current row out.
+    `values` maps a new column to (kind, expression), kind one of sum, min, max, last (last
+    non-null), next (first non-null from here on) and low (least running sum so far). Columns
+    named in `exclusive` leave the current row out.
+
+    Chunk summaries are aggregated from the input, which is combined before the exchange; that reads
+    the input once more. Where the input is itself the work of windows and joins, pass `shared` and
+    only columns that are needed after it: summaries then come from the rows' own exchange, which Spark
+    runs once for both if both ask for the same columns, so a summary carries its last row as a whole.
     """
-    base = add_chunk(df, position, size)
-    part = [*keys, CHUNK]
+    # A struct is never null itself, so rows with null keys find their carry too. The key's columns travel in it.
+    base = add_chunk(df, position, size).withColumns(
+        {KEY: F.struct(*keys) if keys else F.lit(0)} | {f"__v_{name}": expr for name, (_, expr) in values.items()})
+    base = base.drop(*keys)
+    part = [KEY, CHUNK]
     within = W.partitionBy(*part).orderBy(position)
-    upto = within.rowsBetween(W.unboundedPreceding, 0)
-    before = within.rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-
-    local, summary, carry = {}, [], {}
-    for name, (kind, expr) in values.items():
-        frame = before if name in exclusive else upto
-        if kind == "last":
-            local[name] = F.last(expr, ignorenulls=True).over(frame)
-            summary.append(F.max_by(expr, F.when(expr.isNotNull(), F.col(position))).alias(f"__c_{name}"))
-            carry[f"__c_{name}"] = F.last(F.col(f"__c_{name}"), ignorenulls=True).over(earlier)
+    upto, before = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(W.unboundedPreceding, -1)
+    onward, after = within.rowsBetween(0, W.unboundedFollowing), within.rowsBetween(1, W.unboundedFollowing)
+    call = {"sum": F.sum, "low": F.sum, "min": F.min, "max": F.max}
+    pick = lambda value, kind: (F.last if kind == "last" else F.first)(value, ignorenulls=True)
+
+    sums, local, total = {}, {}, {}
+    for name, (kind, _) in values.items():
+        value, aside = F.col(f"__v_{name}"), name in exclusive
+        if kind == "low":
+            sums[f"__s_{name}"] = F.sum(value).over(upto)
+            local[name] = F.min(f"__s_{name}").over(before if aside else upto)
+            total |= {f"__t_{name}": F.sum(value), f"__m_{name}": F.min(f"__s_{name}")}
+        elif kind == "next":
+            local[name] = pick(value, kind).over(after if aside else onward)
+            total[f"__t_{name}"] = F.min_by(value, F.when(value.isNotNull(), F.col(position)))
+        elif kind == "last":
+            local[name] = pick(value, kind).over(before if aside else upto)
+            total[f"__t_{name}"] = F.max_by(value, F.when(value.isNotNull(), F.col(position)))
         else:
-            call = {"sum": F.sum, "min": F.min, "max": F.max}[kind]
-            local[name] = call(expr).over(frame)
-            summary.append(call(expr).alias(f"__c_{name}"))
-            carry[f"__c_{name}"] = call(F.col(f"__c_{name}")).over(earlier)
-
-    carried = base.groupBy(*part).agg(*summary).withColumns(carry)
-    carried = carried.select(*part, *[F.col(c) for c in carry])
-    out = base.withColumns(local).join(carried, part, "left")
+            local[name] = call[kind](value).over(before if aside else upto)
+            total[f"__t_{name}"] = call[kind](value)
+    windowed = base.withColumns(sums).withColumns(local)
+
+    summary = windowed if shared or sums else base
+    if shared:
+        total["__row"] = F.max_by(F.struct(*windowed.columns), F.col(position))
+    summary = summary.groupBy(*part).agg(*[expr.alias(name) for name, expr in total.items()])
+    if shared:
+        # The whole row is asked for, or the optimizer would drop it.
+        summary = summary.filter(F.col("__row").isNotNull() & (F.hash("__row") >= -(1 << 31)))
+    earlier = W.partitionBy(KEY).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(KEY).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
+    carry, lows = {}, {}
+    for name, (kind, _) in values.items():
+        whole = F.col(f"__t_{name}")
+        carry[f"__c_{name}"] = pick(whole, kind).over(earlier if kind == "last" else later) if kind in (
+            "last", "next") else call[kind](whole).over(earlier)
+        if kind == "low":
+            lows[f"__d_{name}"] = F.min(F.coalesce(f"__c_{name}", F.lit(0)) + F.col(f"__m_{name}")).over(earlier)
+    carried = summary.withColumns(carry).withColumns(lows).select(*part, *carry, *lows)
+
+    out = windowed.join(carried, part, "left")
     final = {}
     for name, (kind, _) in values.items():
         mine, prior = F.col(name), F.col(f"__c_{name}")
-        if kind == "last":
+        if kind in ("last", "next"):
             final[name] = F.coalesce(mine, prior)
         elif kind == "sum":
             final[name] = F.when(mine.isNull(), prior).when(prior.isNull(), mine).otherwise(mine + prior)
+        elif kind == "low":
+            final[name] = F.least(F.col(f"__d_{name}"), mine + F.coalesce(prior, F.lit(0)))
         else:
             final[name] = (F.least if kind == "min" else F.greatest)(mine, prior)
-    return out.withColumns(final).drop(*carry, CHUNK)
+    names = [c for c in df.columns if c not in values]
+    return out.withColumns(final).select(
+        *[F.col(KEY)[c].alias(c) if c in keys else F.col(f"`{c}`") for c in names], *values)
 
 
 def with_halo(

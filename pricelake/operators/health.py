@@ -159,12 +159,12 @@ def incidents(checks: DataFrame, *, size: int = CHUNK_ROWS) -> DataFrame:
     resolved by its next good check; ids follow the order of opening."""
     check = F.col("kind") == "check"
     state = F.when(~check, 1).when(F.col("ok"), 0).otherwise(2)
-    rows = checks.withColumns({"__state": state, "__back": F.lit(0) - F.col("seq")})
-    rows = running(rows, ["component"], "seq", {"__was": ("last", F.col("__state"))}, size, exclusive=["__was"])
-    rows = running(rows, ["component"], "__back",
-                   {"__next_ok": ("last", F.when(check & F.col("ok"), F.col("ts_ms")))}, size, exclusive=["__next_ok"])
+    rows = running(checks.select("seq", "component", "kind", "ok", "ts_ms"), ["component"], "seq", {
+        "__was": ("last", state), "__next_ok": ("next", F.when(check & F.col("ok"), F.col("ts_ms")))},
+        size, exclusive=["__was", "__next_ok"], shared=True)
     opened = rows.filter(check & ~F.col("ok") & (F.coalesce("__was", F.lit(0)) == 0))
-    opened = running(opened, [], "seq", {"number": ("sum", F.lit(1))}, size)
+    opened = opened.select("seq", "component", "ts_ms", "__next_ok")
+    opened = running(opened, [], "seq", {"number": ("sum", F.lit(1))}, size, shared=True)
     second = lambda c: F.floor(F.col(c) / 1000).alias
     done = F.col("__next_ok").isNotNull()
     opening = F.struct(F.lit("Incident opened — investigating.").alias("message"),

@@ -17,9 +17,11 @@ DECAY_NUMERATOR, DECAY_DENOMINATOR = 95, 100
 FULL_SCORE = 10000
 
 
-def with_previous(df: DataFrame, keys: list[str], position: str, value: str, size: int = CHUNK_ROWS) -> DataFrame:
+def with_previous(
+    df: DataFrame, keys: list[str], position: str, value: str, size: int = CHUNK_ROWS, shared: bool = False
+) -> DataFrame:
     """Add `prev`: the value of the preceding row of the key."""
-    return running(df, keys, position, {"prev": ("last", F.col(value))}, size, exclusive=["prev"])
+    return running(df, keys, position, {"prev": ("last", F.col(value))}, size, exclusive=["prev"], shared=shared)
 
 
 def price_history_cap(submissions: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
@@ -47,7 +49,7 @@ def reputation(submissions: DataFrame, *, limit_bps: int = ACCURACY_BPS, size: i
 
     A move outside 38 digits cannot be near and counts as inaccurate.
     """
-    seen = with_previous(submissions, ["asset"], "seq", "price", size)
+    seen = with_previous(submissions, ["asset"], "seq", "price", size, shared=True)
     far = F.coalesce(D.deviation_exceeds(F.col("price"), F.col("prev"), limit_bps), F.lit(True))
     seen = seen.withColumn("accurate", F.col("prev").isNull() | ~far)
     scored = running(seen, ["source"], "seq", {
@@ -78,11 +80,11 @@ def stake_balance(log: DataFrame, size: int = CHUNK_ROWS) -> DataFrame:
     good = log.filter(F.col("amount") > 0)
     slash = F.col("kind") == "slash"
     signed = F.when(slash, F.lit(0).cast(D.WIDE) - F.col("amount")).otherwise(F.col("amount").cast(D.WIDE))
-    summed = running(good, ["source"], "seq", {
-        "__s": ("sum", signed.cast("decimal(28,0)")), "slash_count": ("sum", slash.cast("bigint"))}, size)
-    low = running(summed, ["source"], "seq", {"__low": ("min", F.col("__s"))}, size)
-    floor = F.least(F.col("__low"), F.lit(0).cast(D.WIDE))
-    return low.withColumn("balance", (F.col("__s") - floor).cast(D.WIDE)).drop("__s", "__low")
+    signed = signed.cast("decimal(28,0)")
+    out = running(good, ["source"], "seq", {
+        "__s": ("sum", signed), "__low": ("low", signed), "slash_count": ("sum", slash.cast("bigint"))}, size)
+    floor = F.least(F.col("__low").cast(D.WIDE), F.lit(0).cast(D.WIDE))
+    return out.withColumn("balance", (F.col("__s") - floor).cast(D.WIDE)).drop("__s", "__low")
 
 
 def bad_stakes(log: DataFrame) -> DataFrame:

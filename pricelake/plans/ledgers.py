@@ -55,7 +55,7 @@ rep AS (SELECT *, count(*) OVER w AS total, CAST(sum(CASE WHEN accurate THEN 1 E
 
 @plan("reputation", with_readings("SELECT seq, source, accurate, total AS total_submissions, good AS accurate_submissions, good * 10000 // total AS score FROM rep", REPUTATION_CTE))
 def reputation(spark, sf):
-    return ledger.reputation(readings(spark, sf)).select(
+    return ledger.reputation(readings(spark, sf).select("seq", "asset", "source", "price")).select(
         "seq", "source", "accurate", "total_submissions", "accurate_submissions", "score")
 
 
@@ -66,7 +66,7 @@ def reputation(spark, sf):
                UNION ALL SELECT source, score, periods, i + 1, s * 95 // 100 FROM steps WHERE i < periods)
    SELECT source, score, periods, s AS decayed_score FROM steps WHERE i = periods)""", REPUTATION_CTE))
 def reputation_decay(spark, sf):
-    rep = ledger.reputation(readings(spark, sf))
+    rep = ledger.reputation(readings(spark, sf).select("seq", "asset", "source", "price", "timestamp"))
     latest = rep.groupBy("source").agg(F.max_by("score", "seq").alias("score"), F.max("timestamp").alias("last_updated"))
     out = ledger.reputation_decay(latest, now=F.lit(1719792000))
     return out.select("source", "score", F.col("periods").cast("bigint").alias("periods"), "decayed_score")

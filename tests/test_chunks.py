@@ -28,6 +28,35 @@ def test_running_equals_plain_window(rows, size, keys):
     assert set(got.collect()) == set(want.collect())
 
 
+@pytest.mark.parametrize("size", [5, 100, 10**6])
+@pytest.mark.parametrize("shared", [False, True])
+def test_least_sums_next_values_and_null_keys(rows, size, shared):
+    rows = rows.withColumn("k", F.when(F.col("k") != "a", F.col("k"))).withColumn("v", F.col("v") - 4)
+    w = W.partitionBy("k").orderBy("seq")
+    upto, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1, W.unboundedFollowing)
+    odd = F.when(F.col("v") % 2 == 1, F.col("v"))
+    want = rows.withColumn("s", F.sum("v").over(upto)).select(
+        "seq", "k", "s", F.min("s").over(upto).alias("low"), F.first(odd, ignorenulls=True).over(after).alias("next"),
+        F.last(odd, ignorenulls=True).over(upto).alias("last"))
+    v = F.col("v")
+    got = running(rows, ["k"], "seq", {"s": ("sum", v), "low": ("low", v), "next": ("next", odd), "last": ("last", odd)},
+                  size, exclusive=["next"], shared=shared)
+    assert got.columns == ["seq", "k", "v", "s", "low", "next", "last"]
+    assert set(got.drop("v").collect()) == set(want.collect())
+
+
+@pytest.mark.parametrize("name,scans", [("stake_balance", 1), ("incidents", 1), ("reputation", 1)])
+def test_one_scan_of_the_input(spark, sf, name, scans):
+    """In the plan that ran, adaptive reuse included."""
+    import pricelake.plans.all  # noqa: F401
+    from pricelake.plans.registry import PLANS
+
+    df = PLANS[name](spark, sf)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == scans and "ReusedExchange" in final
+
+
 @pytest.mark.parametrize("size", [3, 50, 10**6])
 @pytest.mark.parametrize("k", [1, 20])
 def test_halo_equals_plain_window(rows, size, k):
