@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from pricelake.functions import vault
@@ -284,38 +286,60 @@ def export_idempotent(spark, sf):
     return out.select("seq", "assigned_job", "is_new")
 
 
-ACTIVE, PREVIOUS = bytes(range(32)), bytes(range(32, 64))
 
 
-@plan("encrypt_table", with_readings(f"""SELECT seq, CAST(price AS VARCHAR) AS price, true AS sealed,
-   '{vault.key_id(ACTIVE)}' AS key_id FROM readings"""))
+def master_keys(*texts):
+    """A source of master keys, the first one active; a deployment would read them from a secret store."""
+    return lambda: [hashlib.sha256(t.encode()).digest() for t in texts]
+
+
+OLD_MASTER, NEW_MASTER = "master of last year", "master of this year"
+
+
+def stored_keys(spark, source, count):
+    path = scratch_path(spark, "keys")
+    vault.create_keys(spark, source, count).write.parquet(path)
+    return spark.read.schema(vault.KEY_TABLE).parquet(path)
+
+
+@plan("encrypt_table", with_readings("""SELECT seq, CAST(price AS VARCHAR) AS price, true AS sealed, true AS known,
+   left(sha256(unhex(sha256('master of last year'))), 8) AS master_id FROM readings"""))
 def encrypt_table(spark, sf):
-    """Encrypt a column, store the table, read it back and open it."""
-    path = scratch_path(spark, "sealed")
+    """Encrypt a column under an envelope key, store the table, read it back and open it."""
+    path, source = scratch_path(spark, "sealed"), master_keys(OLD_MASTER)
+    keys = stored_keys(spark, source, 1)
     df = readings(spark, sf).select("seq", F.col("price").cast("string").alias("price"))
-    df.withColumn("price", vault.encrypt(F.col("price"), ACTIVE)).write.parquet(path)
-    stored = spark.read.schema("seq bigint, price string").parquet(path)
-    shape = F.col("price").rlike("^enc:v1:[0-9a-f]{8}:[^:]+:[^:]+:[^:]*$")
-    return stored.select("seq", vault.decrypt(F.col("price"), [ACTIVE]).alias("price"), shape.alias("sealed"),
-                         F.get(F.split("price", ":"), F.lit(2)).alias("key_id"))
+    vault.encrypt(df, "price", keys, source, keys.first().key_id).write.parquet(path)
+    stored = spark.read.schema("seq bigint, price string").parquet(path).withColumn("sealed", F.col("price"))
+    opened = vault.decrypt(stored, "price", keys, source)
+    named = opened.withColumn("key_id", vault.named_key(F.col("sealed"))).join(keys, "key_id", "left")
+    return named.select("seq", "price", F.col("sealed").rlike("^enc:v1:[0-9a-f]{8}:[^:]+:[^:]+:[^:]*$").alias("sealed"),
+                        F.col("wrapped").isNotNull().alias("known"), "master_id")
 
 
-@plan("rotate_keys", with_readings(f"""SELECT seq, CAST(price AS VARCHAR) AS price,
-   '{vault.key_id(ACTIVE)}' AS key_id, seq % 3 = 1 AS untouched FROM readings"""))
+@plan("rotate_keys", with_readings("""SELECT seq, CAST(price AS VARCHAR) AS price, left(sha256(unhex(sha256('master of this year'))), 8) AS master_id,
+   true AS rewrapped_in_place, seq % 3 = 1 AS untouched FROM readings"""))
 def rotate_keys(spark, sf):
-    """A column of old, current and plain values, all moved to the active key."""
-    path = scratch_path(spark, "rotate")
-    text = F.col("price").cast("string")
-    mixed = F.when(F.col("seq") % 3 == 0, vault.encrypt(text, PREVIOUS)).when(
-        F.col("seq") % 3 == 1, vault.encrypt(text, ACTIVE)).otherwise(text)
-    readings(spark, sf).select("seq", mixed.alias("price")).write.parquet(path)
+    """New master: keys are rewrapped and no row changes. New data key: old and plain values move, its own stay."""
+    path, done = scratch_path(spark, "rotate"), scratch_path(spark, "rotated")
+    keys = stored_keys(spark, master_keys(OLD_MASTER), 2)
+    former, active = sorted(r.key_id for r in keys.collect())
+    df = readings(spark, sf).select("seq", F.col("price").cast("string").alias("price"))
+    parts = [vault.encrypt(df.filter("seq % 3 = 0"), "price", keys, master_keys(OLD_MASTER), former),
+             vault.encrypt(df.filter("seq % 3 = 1"), "price", keys, master_keys(OLD_MASTER), active), df.filter("seq % 3 = 2")]
+    parts[0].unionByName(parts[1]).unionByName(parts[2]).write.parquet(path)
     stored = spark.read.schema("seq bigint, price string").parquet(path)
-    done = scratch_path(spark, "rotated")
-    stored.select("seq", F.col("price").alias("before"),
-                  vault.rotate(F.col("price"), ACTIVE, [PREVIOUS]).alias("after")).write.parquet(done)
-    out = spark.read.parquet(done)
-    return out.select("seq", vault.decrypt(F.col("after"), [ACTIVE]).alias("price"),
-                      F.get(F.split("after", ":"), F.lit(2)).alias("key_id"), (F.col("before") == F.col("after")).alias("untouched"))
+
+    rewrapped = scratch_path(spark, "keys")
+    vault.rewrap(keys, master_keys(NEW_MASTER, OLD_MASTER)).write.parquet(rewrapped)
+    keys, source = spark.read.schema(vault.KEY_TABLE).parquet(rewrapped), master_keys(NEW_MASTER)
+    still = vault.decrypt(stored, "price", keys, source).withColumnRenamed("price", "still")
+
+    vault.rotate(stored.withColumn("before", F.col("price")), "price", keys, source, active).write.parquet(done)
+    moved = spark.read.schema("seq bigint, price string, before string").parquet(done)
+    moved = moved.withColumns({"untouched": F.col("price") == F.col("before"), "key_id": vault.named_key(F.col("price"))})
+    out = vault.decrypt(moved, "price", keys, source).join(still, "seq").join(keys, "key_id", "left")
+    return out.select("seq", "price", "master_id", (F.col("still") == F.col("price")).alias("rewrapped_in_place"), "untouched")
 
 
 @plan("normalize_price", """SELECT event_id AS seq, upper(event_type) AS asset,

@@ -165,15 +165,87 @@ def test_audit_chain(spark, size):
     assert [r.seq for r in integrity.audit_chain_verify(df, key, size).filter("not intact").collect()] == [34]
 
 
-def test_vault(spark):
-    old, new = b"o" * 32, b"n" * 32
-    df = spark.createDataFrame([("12.5",), (None,)], "v string")
-    sealed = df.select(vault.encrypt(F.col("v"), old).alias("v"))
-    assert [r.v for r in sealed.select(vault.decrypt(F.col("v"), [new, old]).alias("v")).collect()] == ["12.5", None]
-    text = sealed.select(vault.rotate(F.col("v"), new, [old]).alias("v")).first().v
-    assert text.split(":")[:3] == ["enc", "v1", hashlib.sha256(new).hexdigest()[:8]]
-    with pytest.raises(Exception, match="no key"):
-        sealed.select(vault.decrypt(F.col("v"), [new])).collect()
+OLD, NEW = b"o" * 32, b"n" * 32
+
+
+def key_table(spark, path, source, count=1):
+    vault.create_keys(spark, source, count).write.mode("overwrite").parquet(path)
+    return spark.read.schema(vault.KEY_TABLE).parquet(path)
+
+
+def test_vault(spark, tmp_path):
+    keys = key_table(spark, str(tmp_path / "keys"), lambda: [OLD], 3)
+    a, b, c = sorted(r.key_id for r in keys.collect())
+    df = spark.createDataFrame([(1, "12.5"), (2, None), (3, "a:b")], "i int, v string")
+    sealed = vault.encrypt(df, "v", keys, lambda: [OLD], a)
+    assert sealed.columns == df.columns
+    assert vault.decrypt(sealed, "v", keys, lambda: [NEW, OLD]).orderBy("i").collect() == df.collect()
+    assert sealed.filter("i = 1").first().v.split(":")[:3] == ["enc", "v1", a]
+    for call in (lambda: vault.decrypt(sealed, "v", keys.filter(F.col("key_id") != a), lambda: [OLD]),
+                 lambda: vault.decrypt(sealed, "v", keys, lambda: [NEW]),
+                 lambda: vault.encrypt(df, "v", keys, lambda: [OLD], "00000000"),
+                 lambda: vault.rewrap(keys, lambda: [NEW])):
+        with pytest.raises(Exception, match="no key|no master key"):
+            call().collect()
+
+    path = str(tmp_path / "sealed")
+    vault.encrypt(df, "v", keys, lambda: [OLD], a).write.parquet(path)
+    stored = spark.read.schema("i int, v string").parquet(path)
+    again = key_table_rewrapped(spark, keys, str(tmp_path / "rewrapped"))
+    assert {r.key_id for r in again.collect()} == {a, b, c}
+    assert vault.decrypt(stored, "v", again, lambda: [NEW]).orderBy("i").collect() == df.collect()
+    moved = vault.rotate(stored, "v", again, lambda: [NEW], b).orderBy("i").collect()
+    assert [r.v and r.v.split(":")[2] for r in moved] == [b, None, b]
+    kept = vault.rotate(stored, "v", again, lambda: [NEW], a).orderBy("i").collect()
+    assert kept == stored.orderBy("i").collect()
+
+
+def key_table_rewrapped(spark, keys, path):
+    vault.rewrap(keys, lambda: [NEW, OLD]).write.parquet(path)
+    return spark.read.schema(vault.KEY_TABLE).parquet(path)
+
+
+LOGGED = """
+import sys
+sys.path.insert(0, {root!r})
+from pricelake import build_session
+from pricelake.functions import vault
+spark = build_session("log", master="local[2]", spark__eventLog__enabled="true", spark__eventLog__dir={log!r},
+                      spark__eventLog__compress="false", spark__sql__shuffle__partitions="2", spark__sql__maxPlanStringLength="10000000")
+source = lambda: [bytes.fromhex(open({secret!r}).read())]
+vault.create_keys(spark, source, 1).write.parquet({base!r} + "/keys")
+keys = spark.read.schema(vault.KEY_TABLE).parquet({base!r} + "/keys")
+name = keys.first().key_id
+vault.encrypt(spark.range(50).selectExpr("id", "CAST(id AS STRING) AS v"), "v", keys, source, name).write.parquet({base!r} + "/out")
+out = vault.decrypt(spark.read.parquet({base!r} + "/out"), "v", keys, source)
+out.explain("extended")
+assert out.count() == 50
+vault.rewrap(keys, source).write.parquet({base!r} + "/keys2")
+opened = vault.open_keys(keys, source).first().key
+spark.stop()
+open({base!r} + "/data-key", "wb").write(opened)
+"""
+
+
+def test_no_key_in_plans_or_event_log(tmp_path):
+    import base64
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "log").mkdir()
+    master = os.urandom(32)
+    (tmp_path / "secret").write_text(master.hex())
+    code = LOGGED.format(root=root, log=f"file://{tmp_path}/log", secret=str(tmp_path / "secret"), base=str(tmp_path))
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
+    said = ran.stdout + "".join(f.read_text() for f in (tmp_path / "log").rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+    assert "MapInPandas" in said and len(said) > 10_000
+    for key in (master, (tmp_path / "data-key").read_bytes()):
+        forms = (key.hex(), key.hex().upper(), base64.b64encode(key).decode(), ", ".join(str(x) for x in key), str(list(key))[1:-1],
+                 " ".join(f"{x:02X}" for x in key))
+        assert not [f for f in forms if f in said]
 
 
 def test_cursor():
@@ -228,7 +300,8 @@ def test_uptime_without_checks(spark):
 
 def test_text_that_only_looks_sealed_passes(spark):
     df = spark.createDataFrame([("enc:note",), ("enc:",), ("plain",), (None,)], "v string")
-    assert [r[0] for r in df.select(vault.decrypt(F.col("v"), [bytes(32)])).collect()] == ["enc:note", "enc:", "plain", None]
+    none = spark.createDataFrame([], vault.KEY_TABLE)
+    assert [r[0] for r in vault.decrypt(df, "v", none, lambda: [bytes(32)]).collect()] == ["enc:note", "enc:", "plain", None]
 
 
 def test_digest_tells_cells_apart(spark):
