@@ -99,23 +99,37 @@ def alert_disagreement(
 CHANNELS = ("chat", "pager", "email", "webhook")
 
 
-def alert_route(alerts: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
-    """One row per alert and channel with severity, dedup key and text."""
+def alert_body(alerts: DataFrame) -> Column:
+    """The whole alert as a struct with the names of the outgoing format; fields that a kind lacks are left out as nulls."""
+    names = {"previous_price": "previousPrice", "current_price": "currentPrice", "deviation_percent": "deviationPercent",
+             "affected_sources": "affectedSources"}
+    return F.struct("timestamp", "asset", "type", "message", *[F.col(c).alias(to) for c, to in names.items()])
+
+
+def alert_route(
+    alerts: DataFrame, channels: tuple[str, ...] = CHANNELS, *, recipients: tuple[str, ...] = (), origin: str = "pricelake"
+) -> DataFrame:
+    """One row per alert and channel with severity, dedup key and the request body of the channel.
+
+    The pager's routing key is a secret and is added by the sender.
+    """
     channel = F.explode(F.array(*[F.lit(c) for c in channels]))
-    out = alerts.withColumns({
-        "severity": F.when(F.col("type") == "source_down", "critical").otherwise("warning"),
-        "dedup_key": F.concat_ws(":", "asset", "type"),
-        "channel": channel,
-    })
-    text = (
-        F.when(F.col("channel") == "chat", F.concat(
-            F.lit(":rotating_light: *"), F.upper("type"), F.lit("* — "), F.col("message")))
-        .when(F.col("channel") == "email", F.concat(
-            F.lit("[Price Alert] "), "type", F.lit(" for "), "asset", F.lit("\n"), "message"))
-        .when(F.col("channel") == "webhook", F.to_json(F.struct("timestamp", "asset", "type", "message")))
-        .otherwise(F.col("message"))
-    )
-    return out.withColumn("payload", text)
+    severity = F.when(F.col("type") == "source_down", "critical").otherwise("warning")
+    out = alerts.withColumns({"severity": severity, "dedup_key": F.concat_ws(":", "asset", "type"), "channel": channel})
+    body = alert_body(alerts)
+    chat = F.struct(F.concat(F.lit(":rotating_light: *"), F.upper("type"), F.lit("* — "), F.col("message")).alias("text"))
+    pager = F.struct(
+        F.lit("trigger").alias("event_action"), F.col("dedup_key"), F.struct(
+            F.col("message").alias("summary"), F.lit(origin).alias("source"), F.col("severity"),
+            body.alias("custom_details")).alias("payload"))
+    email = F.struct(
+        F.array(*[F.lit(r) for r in recipients]).cast("array<string>").alias("to"),
+        F.concat(F.lit("[Price Alert] "), "type", F.lit(" for "), "asset").alias("subject"), F.col("message").alias("text"))
+    made = {"chat": chat, "pager": pager, "email": email, "webhook": body}
+    payload = F.lit(None).cast("string")
+    for name, value in made.items():
+        payload = F.when(F.col("channel") == name, F.to_json(value)).otherwise(payload)
+    return out.withColumn("payload", payload)
 
 
 def alert_history(alerts: DataFrame, limit: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pricelake.operators.chunks import CHUNK_ROWS, running
 from pricelake.operators.validate import MAX_ASSETS
@@ -150,28 +150,29 @@ def page_offset(
     """One page of a total order, and its metadata.
 
     `bucket` must not decrease along the order. Counts per bucket tell where the
-    page begins; only the buckets that it touches are sorted, so a far page does
-    not move all earlier rows.
+    page begins; only the buckets that it touches are ranked, so a far page does
+    not move all earlier rows. Bounds are scalar subqueries: no job runs before the result is asked for.
     """
     limit = min(limit, MAX_OFFSET_PAGE_SIZE)
     rows = df.withColumn("__bucket", bucket)
     counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / limit))
+    meta = sizes.withColumns({"total_pages": pages}).withColumn("page", F.least(F.lit(page), F.col("total_pages")))
+    start = meta.select((F.col("page") - 1) * limit).scalar()
+
     upto = running(counts, [], "__bucket", {"__end": ("sum", F.col("n"))}, 100_000)
-    total = upto.agg(F.coalesce(F.max("__end"), F.lit(0))).first()[0]
-    pages = max(1, -(-total // limit))
-    current = min(page, pages)
-    start = (current - 1) * limit
-    hit = upto.filter((F.col("__end") > start) & (F.col("__end") - F.col("n") < start + limit))
-    low, high, skipped = hit.agg(F.min("__bucket"), F.max("__bucket"), F.min(F.col("__end") - F.col("n"))).first()
-    if low is None:
-        shown = df.limit(0)
-    else:
-        inside = rows.filter(F.col("__bucket").between(low, high)).orderBy(*order)
-        shown = inside.limit(start - skipped + limit).offset(start - skipped).drop("__bucket")
-    meta = df.sparkSession.createDataFrame(
-        [(current, limit, total, pages, current < pages, current > 1)],
-        "page bigint, limit bigint, total bigint, total_pages bigint, has_next_page boolean, has_prev_page boolean")
-    return shown, meta
+    begin = F.col("__end") - F.col("n")
+    hit = upto.filter((F.col("__end") > start) & (begin < start + limit))
+    edge = hit.agg(F.min("__bucket").alias("low"), F.max("__bucket").alias("high"), F.min(begin).alias("skipped"))
+    low, high, skipped = (edge.select(c).scalar() for c in ("low", "high", "skipped"))
+    inside = rows.filter(F.col("__bucket").between(low, high))
+    ranked = inside.withColumn("__rank", skipped + F.row_number().over(W.partitionBy().orderBy(*order)))
+    shown = ranked.filter((F.col("__rank") > start) & (F.col("__rank") <= start + limit)).orderBy("__rank")
+    names = ["page", "limit", "total", "total_pages", "has_next_page", "has_prev_page"]
+    meta = meta.withColumns({
+        "limit": F.lit(limit), "has_next_page": F.col("page") < F.col("total_pages"), "has_prev_page": F.col("page") > 1})
+    return shown.drop("__bucket", "__rank"), meta.select(*[F.col(c).cast("bigint") if c in names[:4] else F.col(c) for c in names])
 
 
 def delivery_log(log: DataFrame, webhook: str | None = None, limit: int = 2000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricelake.functions import decimals as D
 from pricelake.operators import alerts, anomaly, consensus, health, quality, usage
-from pricelake.plans.core import POLL, SERIES_CTE, series
+from pricelake.plans.core import BREAKER_CTE, POLL, SERIES_CTE, series, states
 from pricelake.plans.inputs import (
     CALLS_SQL, CHECKS_SQL, REQUESTS_SQL, as_of, checks, feed_calls, order_readings, ORDERS_SQL, readings, requests,
     with_readings,
@@ -146,35 +146,59 @@ def alert_disagreement(spark, sf):
                       F.array_join("affected_sources", ",").alias("affected_sources"))
 
 
-def all_alerts(spark, sf):
-    sparse = materialize(series(spark, sf, staleness=3600), "consensus")
-    return alerts.alert_stale(sparse, thresholds(spark), poll=POLL).unionByName(
-        alerts.alert_source_down(sparse, thresholds(spark), poll=POLL))
+def two_places(x: str) -> str:
+    """Text of a double with two digits, half up on its shortest decimal form."""
+    return f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,15)) AS DECIMAL(38,2))::VARCHAR"
 
 
-_ALERTS = f"""al AS (SELECT asset, tick * {POLL} AS timestamp, 'stale' AS type, 'Price data stale for ' || asset || ': ' ||
-     CAST(tick * {POLL} - timestamp AS VARCHAR) || 's old (threshold: ' || CAST(stale_s AS VARCHAR) || 's)' AS message
+def all_alerts(spark, sf):
+    """All four kinds over one series with a short staleness limit."""
+    sparse = materialize(series(spark, sf, staleness=3600), "consensus")
+    found = [alerts.alert_deviation(sparse, thresholds(spark), poll=POLL), alerts.alert_stale(sparse, thresholds(spark), poll=POLL),
+             alerts.alert_source_down(sparse, thresholds(spark), poll=POLL), alerts.alert_disagreement(readings(spark, sf), poll=POLL)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("deviation_percent", F.round("deviation_percent", 6))
+
+
+_ALERTS = f"""al AS (
+   SELECT asset, tick * {POLL} AS timestamp, 'deviation' AS type, 'Price deviation alert for ' || asset || ': ' || {two_places('moved')} || '% change' AS message,
+     CAST(before AS VARCHAR) AS prev, CAST(price AS VARCHAR) AS cur, round(moved, 6) AS pct, CAST(NULL AS VARCHAR) AS affected
+   FROM (SELECT *, abs((CAST(price AS DOUBLE) - CAST(before AS DOUBLE)) / CAST(before AS DOUBLE)) * 100 AS moved FROM (
+       SELECT *, lag(price) OVER (PARTITION BY asset ORDER BY tick) AS before FROM series) JOIN th USING (asset)) WHERE dev > 0 AND moved > dev
+   UNION ALL SELECT asset, tick * {POLL}, 'stale', 'Price data stale for ' || asset || ': ' ||
+     CAST(tick * {POLL} - timestamp AS VARCHAR) || 's old (threshold: ' || CAST(stale_s AS VARCHAR) || 's)', NULL, NULL, NULL, NULL
    FROM series JOIN th USING (asset) WHERE tick * {POLL} - timestamp > stale_s
    UNION ALL SELECT asset, tick * {POLL}, 'source_down', 'All sources down for ' || asset || ' (' || CAST(streak AS VARCHAR) ||
-     ' consecutive failures)' FROM pos JOIN th USING (asset) WHERE stale AND streak >= down)"""
-
-
-@plan("alert_route", with_readings("""SELECT asset, timestamp, channel, asset || ':' || type AS dedup_key,
-   CASE type WHEN 'source_down' THEN 'critical' ELSE 'warning' END AS severity,
-   CASE channel WHEN 'chat' THEN ':rotating_light: *' || upper(type) || '* — ' || message
-     WHEN 'email' THEN '[Price Alert] ' || type || ' for ' || asset || chr(10) || message
-     WHEN 'webhook' THEN '{"timestamp":' || timestamp || ',"asset":"' || asset || '","type":"' || type || '","message":"' || message || '"}'
-     ELSE message END AS payload
-   FROM al, (VALUES ('chat'), ('pager'), ('email'), ('webhook')) c(channel)""", _SPARSE, THRESHOLDS_CTE, _DOWN, _ALERTS))
+     ' consecutive failures)', NULL, NULL, NULL, NULL FROM pos JOIN th USING (asset) WHERE stale AND streak >= down
+   UNION ALL SELECT asset, tick * {POLL}, 'deviation', 'Source disagreement for ' || asset || ': ' || {two_places('(hi - lo) / lo * 100')} ||
+     '% spread across sources', NULL, NULL, round((hi - lo) / lo * 100, 6), sources FROM spread WHERE n >= 2 AND lo > 0 AND (hi - lo) / lo * 100 > 5),
+bodies AS (SELECT *, CASE type WHEN 'source_down' THEN 'critical' ELSE 'warning' END AS severity, '{{"timestamp":' || timestamp || ',"asset":"' || asset ||
+   '","type":"' || type || '","message":"' || message || '"' || coalesce(',"previousPrice":"' || prev || '"', '') ||
+   coalesce(',"currentPrice":"' || cur || '"', '') || coalesce(',"deviationPercent":' || pct::VARCHAR, '') ||
+   coalesce(',"affectedSources":["' || replace(affected, ',', '","') || '"]', '') || '}}' AS body FROM al)"""
+
+
+@plan("alert_route", with_readings("""SELECT asset, timestamp, channel, asset || ':' || type AS dedup_key, severity,
+   CASE channel WHEN 'chat' THEN '{"text":":rotating_light: *' || upper(type) || '* — ' || message || '"}'
+     WHEN 'email' THEN '{"to":["a@example.org","b@example.org"],"subject":"[Price Alert] ' || type || ' for ' || asset || '","text":"' || message || '"}'
+     WHEN 'pager' THEN '{"event_action":"trigger","dedup_key":"' || asset || ':' || type || '","payload":{"summary":"' || message ||
+       '","source":"pricelake","severity":"' || severity || '","custom_details":' || body || '}}'
+     ELSE body END AS payload
+   FROM bodies, (VALUES ('chat'), ('pager'), ('email'), ('webhook')) c(channel)""", _SPARSE, THRESHOLDS_CTE, _DOWN, _DISAGREE, _ALERTS))
 def alert_route(spark, sf):
-    return alerts.alert_route(all_alerts(spark, sf)).select(
-        "asset", "timestamp", "channel", "dedup_key", "severity", "payload")
+    out = alerts.alert_route(all_alerts(spark, sf), recipients=("a@example.org", "b@example.org"))
+    return out.select("asset", "timestamp", "channel", "dedup_key", "severity", "payload")
 
 
-@plan("alert_history", with_readings("SELECT asset, timestamp, type, message FROM al ORDER BY timestamp DESC, asset, type, message LIMIT 100",
-                                     _SPARSE, THRESHOLDS_CTE, _DOWN, _ALERTS))
+@plan("alert_history", with_readings("""SELECT asset, timestamp, type, message, prev AS previous_price, cur AS current_price, pct AS deviation_percent,
+   affected AS affected_sources FROM al ORDER BY timestamp DESC, asset, type, message LIMIT 100""",
+                                     _SPARSE, THRESHOLDS_CTE, _DOWN, _DISAGREE, _ALERTS))
 def alert_history(spark, sf):
-    return alerts.alert_history(all_alerts(spark, sf)).select("asset", "timestamp", "type", "message")
+    return alerts.alert_history(all_alerts(spark, sf)).select(
+        "asset", "timestamp", "type", "message", "previous_price", "current_price", "deviation_percent",
+        F.array_join("affected_sources", ",").alias("affected_sources"))
 
 
 _HOURS = "hist AS (SELECT *, timestamp // 3600 * 3600 AS hour FROM readings)"
@@ -321,6 +345,49 @@ def histogram_le(spark, sf):
     return out.select("endpoint", name.alias("le"), "count", "total", F.round("sum", 4).alias("sum"))
 
 
+def _histogram(rows: str, keys: str, value: str, bounds) -> str:
+    """All buckets of one value; `rows` names a relation."""
+    listed = ", ".join(f"({b})" for b in bounds)
+    return f"""SELECT {keys}, CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le,
+     count({value}) FILTER ({value} <= le) AS count, count({value}) AS total, round(sum({value}), 4) AS sum
+   FROM {rows}, (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {listed}, (CAST('inf' AS DOUBLE))) t(b)) GROUP BY ALL"""
+
+
+def histogram_out(out, *keys):
+    name = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    return out.select(*keys, name.alias("le"), "count", "total", F.round("sum", 4).alias("sum"))
+
+
+@plan("histogram_feed_latency", f"WITH {CALLS_SQL} " + _histogram(
+    "(SELECT *, CASE WHEN ok THEN 'success' ELSE 'error' END AS status FROM calls)", "source, asset, status", "latency_s", health.FEED_LATENCY_BUCKETS))
+def histogram_feed_latency(spark, sf):
+    """Feed request times by source, asset and outcome."""
+    calls = feed_calls(spark, sf).withColumn("status", F.when(F.col("ok"), "success").otherwise("error"))
+    keys = ["source", "asset", "status"]
+    return histogram_out(health.histogram_le(calls, keys, "latency_s", health.FEED_LATENCY_BUCKETS), *keys)
+
+
+@plan("histogram_sessions", f"""WITH {REQUESTS_SQL}, gaps AS (SELECT *, timestamp - lag(timestamp) OVER w AS gap FROM requests
+     WINDOW w AS (PARTITION BY api_key_prefix ORDER BY timestamp, seq)),
+   marked AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY api_key_prefix ORDER BY timestamp, seq) AS session FROM gaps),
+   sessions AS (SELECT api_key_prefix, (max(timestamp) - min(timestamp)) / 1000.0 AS seconds FROM marked GROUP BY api_key_prefix, session)
+   """ + _histogram("(SELECT 'api' AS service, seconds FROM sessions)", "service", "seconds", health.SESSION_BUCKETS))
+def histogram_sessions(spark, sf):
+    """Lengths of connections: requests of a key with less than six hours between them."""
+    rows = requests(spark, sf).select("api_key_prefix", F.timestamp_millis("timestamp").alias("at"))
+    sessions = rows.groupBy("api_key_prefix", F.session_window("at", "21600001 milliseconds")).agg(
+        (F.unix_millis(F.max("at")) - F.unix_millis(F.min("at"))).alias("ms"))
+    lengths = sessions.select(F.lit("api").alias("service"), (F.col("ms") / 1000).alias("seconds"))
+    return histogram_out(health.histogram_le(lengths, ["service"], "seconds", health.SESSION_BUCKETS), "service")
+
+
+@plan("histogram_deviation", with_readings(_histogram("devs", "source, asset", "deviation", health.DEVIATION_BUCKETS), BREAKER_CTE))
+def histogram_deviation(spark, sf):
+    """Deviations from the cross-source median by source and asset."""
+    keys = ["source", "asset"]
+    return histogram_out(health.histogram_le(states(spark, sf), keys, "deviation", health.DEVIATION_BUCKETS), *keys)
+
+
 @plan("histogram_quantile", f"""WITH {HIST_CTE}, p AS (SELECT *, coalesce(lag(count) OVER w, 0) AS prev, coalesce(lag(le) OVER w, 0) AS low,
      CAST(0.99 AS DOUBLE) * total AS r FROM hist WINDOW w AS (PARTITION BY endpoint ORDER BY le))
    SELECT endpoint, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * ((r - prev) / (count - prev)) END, 6) AS quantile

@@ -8,7 +8,7 @@ from pricelake.plans.core import BREAKER_CTE, consensus_out, LIMIT, POLL, SERIES
 from pricelake.plans.inputs import ASSET, REQUESTS_SQL, SOURCE, STALE, readings, table, with_readings
 from pricelake.plans.ledgers import _recursive
 from pricelake.plans.registry import ORACLES, plan
-from pricelake.plans.signals import THRESHOLDS_CTE, thresholds
+from pricelake.plans.signals import THRESHOLDS_CTE, thresholds, two_places
 from pricelake.plans.tables import CUTOFF
 from pricelake.session import scratch_path
 from pricelake.sources import feeds, history
@@ -111,7 +111,7 @@ streaks AS (SELECT *, row_number() OVER (PARTITION BY asset, island, stale ORDER
 kinds AS (
   SELECT asset, tick, 'deviation' AS kind, 'deviation' AS type, moved AS pct, CAST(before AS VARCHAR) AS prev,
          CAST(price AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS affected,
-         'Price deviation alert for ' || asset || ': ' || printf('%.2f', moved) || '% change' AS message
+         'Price deviation alert for ' || asset || ': ' || {two_places('moved')} || '% change' AS message
   FROM (SELECT *, abs((CAST(price AS DOUBLE) - CAST(before AS DOUBLE)) / CAST(before AS DOUBLE)) * 100 AS moved FROM prior JOIN th USING (asset))
   WHERE dev > 0 AND moved > dev
   UNION ALL SELECT asset, tick, 'stale', 'stale', NULL, NULL, NULL, NULL, 'Price data stale for ' || asset || ': ' ||
@@ -120,7 +120,7 @@ kinds AS (
   UNION ALL SELECT asset, tick, 'source_down', 'source_down', NULL, NULL, NULL, NULL, 'All sources down for ' || asset || ' (' ||
     CAST(streak AS VARCHAR) || ' consecutive failures)' FROM streaks JOIN th USING (asset) WHERE stale AND streak >= down
   UNION ALL SELECT asset, tick, 'disagreement', 'deviation', (hi - lo) / lo * 100, NULL, NULL, polled, 'Source disagreement for ' || asset || ': ' ||
-    printf('%.2f', (hi - lo) / lo * 100) || '% spread across sources'
+    {two_places('(hi - lo) / lo * 100')} || '% spread across sources'
   FROM spread WHERE n > 1 AND lo > 0 AND (hi - lo) / lo * 100 > 5 AND tick <= (SELECT last FROM bounds)),
 hits AS (SELECT *, tick * {POLL} AS ts FROM kinds)"""
 # A kind is sent again once its hold period is over.

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -291,7 +291,7 @@ class TickAlerts(_Ticked):
             # A move away from 0 has no finite size and always fires.
             moved = abs((new - old) / old) * 100 if old else (math.inf if new else 0.0)
             if moved > limit:
-                yield "deviation", ("deviation", f"Price deviation alert for {asset}: {moved:.2f}% change",
+                yield "deviation", ("deviation", f"Price deviation alert for {asset}: {_two_places(moved)}% change",
                                     previous, price, moved, None)
         if _set(oldest) and now - timestamp > oldest:
             yield "stale", ("stale", f"Price data stale for {asset}: {now - timestamp}s old (threshold: {int(oldest)}s)",
@@ -303,10 +303,15 @@ class TickAlerts(_Ticked):
             spread = (highest - lowest) / lowest * 100
             if spread > self.disagreement_pct:
                 yield "disagreement", (
-                    "deviation", f"Source disagreement for {asset}: {spread:.2f}% spread across sources", None, None,
+                    "deviation", f"Source disagreement for {asset}: {_two_places(spread)}% spread across sources", None, None,
                     spread, list(polled))
 
 
+def _two_places(value: float) -> str:
+    """As the batch messages: half up on the shortest decimal form."""
+    return str(Decimal(repr(value)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if math.isfinite(value) else "Infinity"
+
+
 def _set(limit) -> bool:
     return limit is not None and limit > 0
 
