@@ -143,3 +143,29 @@ def midpoint(low: Column, high: Column) -> Column:
     """(low + high) / 2 with one exact fraction digit; null from 10^37 on."""
     total = low.try_cast("decimal(37,0)") + high.try_cast("decimal(37,0)")
     return (total * F.lit("0.5").cast("decimal(1,1)")).try_cast("decimal(38,1)")
+
+
+# -- the same on plain integers, inside folds ---------------------------------
+
+WIDEST = 10**38
+
+
+def rescaled(price: int, have: int, want: int) -> int | None:
+    """`rescale` of one price; None beyond 38 digits."""
+    if want >= have:
+        out = price * 10 ** (want - have)
+    else:
+        unit = 10 ** (have - want)
+        out = (abs(price) + unit // 2) // unit * (-1 if price < 0 else 1)
+    return out if abs(out) < WIDEST else None
+
+
+def middle(ordered: list[int]) -> str | None:
+    """`middle_of` sorted values as text; None without values or from 10^37 on."""
+    if not ordered:
+        return None
+    low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+    if max(abs(low), abs(high)) >= WIDEST // 10:
+        return None
+    tenths = (low + high) * 5
+    return f"{'-' if tenths < 0 else ''}{abs(tenths) // 10}.{abs(tenths) % 10}"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pricelake.functions import decimals as D
@@ -17,23 +20,14 @@ RECOVERY_SUCCESSES = 3
 MEDIAN_HISTORY = 10
 
 
-def feeds_of(readings: DataFrame, feeds: Sequence[str] | None) -> list[str]:
-    """The given feeds, or all sources that occur (one column each, so they are few)."""
-    if feeds is not None:
-        return list(feeds)
-    found = {r[0] for r in readings.select("source").distinct().collect() if r[0] is not None}
-    return [*[f for f in FEEDS if f in found], *sorted(found - set(FEEDS))]
-
-
 def asof_latest_by_source(
-    readings: DataFrame, *, feeds: Sequence[str] | None = None, scale: int = 18, size: int = CHUNK_ROWS
+    readings: DataFrame, *, feeds: Sequence[str] = FEEDS, scale: int = 18, size: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Each reading with the newest arrival of every feed of its asset so far.
+    """Each reading with the newest arrival of every given feed of its asset so far.
 
-    Adds `price_<feed>` columns (at `scale` decimals) and the array `current`. The feeds
-    are those given, which saves a job, or else all sources of the readings.
+    Adds `price_<feed>` columns (at `scale` decimals) and the array `current`: a column a feed,
+    so for a short list of feeds. `running_median` is the form for all sources of the data.
     """
-    feeds = feeds_of(readings, feeds)
     scaled = readings.withColumn("__p", D.rescale(F.col("price"), F.col("decimals"), F.lit(scale)))
     values = {f"price_{f}": ("last", F.when(F.col("source") == f, F.col("__p"))) for f in feeds}
     out = running(scaled, ["asset"], "seq", values, size)
@@ -41,12 +35,67 @@ def asof_latest_by_source(
     return out.withColumns({"current": current, "scaled_price": F.col("__p")}).drop("__p")
 
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """(asset, chunk, source, value): the last price of every source before each chunk of its asset.
+
+    A price stands for the chunks up to and with the next one that has the source, so there is one row a
+    chunk and source; chunks are numbered first, since their ids may have gaps.
+    """
+    lasts = rows.groupBy("asset", CHUNK, "source").agg(
+        F.max_by("value", F.when(F.col("value").isNotNull(), F.col("seq"))).alias("value"))
+    number = F.row_number().over(W.partitionBy("asset").orderBy(CHUNK))
+    chunks = rows.select("asset", CHUNK).distinct().withColumns(
+        {"__no": number, "__all": F.count(F.lit(1)).over(W.partitionBy("asset"))})
+    known = lasts.filter(F.col("value").isNotNull()).join(chunks, ["asset", CHUNK])
+    upto = F.coalesce(F.lead("__no").over(W.partitionBy("asset", "source").orderBy("__no")), F.col("__all"))
+    held = known.withColumn("__upto", upto).filter(F.col("__upto") > F.col("__no"))
+    held = held.select("asset", "source", "value", F.explode(F.sequence(F.col("__no") + 1, F.col("__upto"))).alias("__no"))
+    return held.join(chunks.select("asset", CHUNK, "__no"), ["asset", "__no"]).select("asset", CHUNK, "source", "value")
+
+
+def running_median(readings: DataFrame, *, scale: int = 18, size: int = CHUNK_ROWS) -> DataFrame:
+    """Each reading with `scaled_price` and `median`: that of the newest arrivals of all sources of its asset so far.
+
+    Sources are rows, not columns, so there may be thousands. A chunk is folded in order with its sources'
+    prices kept sorted; it starts from head rows with the last price of every source before it.
+    """
+    scaled = readings.withColumn("scaled_price", D.rescale(F.col("price"), F.col("decimals"), F.lit(scale)))
+    rows = add_chunk(scaled, "seq", size).withColumn("value", F.col("scaled_price").cast("string"))
+    names = [c for c in rows.columns if c not in (CHUNK, "value")]
+    heads = _entries(rows.select("asset", CHUNK, "source", "seq", "value")).withColumns(
+        {"__head": F.lit(True), "seq": F.lit(-(2**62))})
+    both = rows.withColumn("__head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    both = both.select("asset", CHUNK, "source", "value", "__head", *[F.col(c).alias(f"k_{c}") for c in names], "seq")
+
+    def fold(batches):
+        key, current, ordered = None, {}, []
+        for batch in batches:
+            medians = []
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for asset, chunk, source, value, head in zip(*columns):
+                if (asset, chunk) != key:
+                    key, current, ordered = (asset, chunk), {}, []
+                if value is not None:
+                    number = int(value)
+                    if source in current:
+                        del ordered[bisect_left(ordered, current[source])]
+                    current[source] = number
+                    insort(ordered, number)
+                medians.append(None if head else D.middle(ordered))
+            kept = pc.invert(batch.column(4))
+            yield pa.RecordBatch.from_arrays(
+                [*[c.filter(kept) for c in batch.columns[5:-1]], pa.array(medians, pa.string()).filter(kept)], [*names, "median"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in scaled.schema.fields) + "median string"
+    lined = both.repartition("asset", CHUNK).sortWithinPartitions("asset", CHUNK, "seq")
+    return lined.mapInArrow(fold, schema).withColumn("median", F.col("median").cast("decimal(38,1)"))
+
+
 def breaker_state(
     readings: DataFrame,
     *,
     limit_pct: float = DEVIATION_LIMIT_PCT,
     recovery: int = RECOVERY_SUCCESSES,
-    feeds: Sequence[str] | None = None,
     scale: int = 18,
     size: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -56,12 +105,10 @@ def breaker_state(
     (asset, source) suspicious until `recovery` good readings in a row. Positions
     and last deviations are found per chunk and offset by the chunk summaries.
     """
-    feeds = feeds_of(readings, feeds)
-    seen = asof_latest_by_source(readings, feeds=feeds, scale=scale, size=size)
-    seen = seen.withColumn("median", D.middle_of(F.col("current")))
+    seen = running_median(readings, scale=scale, size=size)
     seen = seen.withColumn("deviation", D.deviation_pct(F.col("scaled_price"), F.col("median")))
     seen = seen.withColumn("is_deviation", F.col("deviation") > limit_pct)
-    seen = seen.drop("current", "scaled_price", *[f"price_{f}" for f in feeds])
+    seen = seen.drop("scaled_price")
     base = add_chunk(seen, "seq", size)
 
     part = ["asset", "source", CHUNK]

@@ -125,7 +125,7 @@ def archive_cold(spark, sf):
     schema = readings(spark, sf).schema
     history.archive_cold(spark, path, cold, cutoff=CUTOFF)
     hot = spark.read.parquet(path).drop("chunk").withColumn("cold", F.lit(False))
-    archived = spark.read.schema(schema).json(f"{cold}/*").withColumn("cold", F.lit(True))
+    archived = history.read_archive(spark, cold, schema).withColumn("cold", F.lit(True))
     return reading_out(hot.unionByName(archived), "cold")
 
 
@@ -137,7 +137,7 @@ def archive_cold_retry(spark, sf):
     for _ in range(2):
         history.archive_cold(spark, path, cold, cutoff=CUTOFF)
     hot = spark.read.parquet(path).drop("chunk").withColumn("cold", F.lit(False))
-    archived = spark.read.schema(readings(spark, sf).schema).json(f"{cold}/*").withColumn("cold", F.lit(True))
+    archived = history.read_archive(spark, cold, readings(spark, sf).schema).withColumn("cold", F.lit(True))
     return reading_out(hot.unionByName(archived), "cold")
 
 
@@ -155,11 +155,31 @@ def archive_restore(spark, sf):
     path, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
     history.write_history(readings(spark, sf), path)
     history.archive_cold(spark, path, cold, cutoff=CUTOFF)
-    history.archive_restore(spark, path, f"{cold}/*")
-    history.archive_restore(spark, path, f"{cold}/*")
+    for _ in range(2):
+        history.archive_restore(spark, path, cold)
     return reading_out(spark.read.parquet(path))
 
 
+@plan("archive_files", with_readings(
+    f"""SELECT count(*) AS rows, min(timestamp) AS min_timestamp, max(timestamp) AS max_timestamp, min(asset) AS min_asset, max(asset) AS max_asset,
+      true AS bounded, true AS ranges_hold FROM readings WHERE timestamp < {CUTOFF}"""))
+def archive_files(spark, sf):
+    """The archive's manifest: what it says of its files, held against the files."""
+    path, cold = scratch_path(spark, "hot"), scratch_path(spark, "cold")
+    history.write_history(readings(spark, sf), path)
+    history.archive_cold(spark, path, cold, cutoff=CUTOFF, batch_rows=500)
+    listed = history.archive_files(spark, cold)
+    rows = history.read_archive(spark, cold, readings(spark, sf).schema)
+    found = rows.groupBy(F.regexp_extract("_metadata.file_path", "run=.*", 0).alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
+    both = listed.join(found, "file", "full")
+    same = (F.col("rows") == F.col("n")) & (F.col("min_timestamp") == F.col("a")) & (F.col("max_timestamp") == F.col("b"))
+    return both.agg(
+        F.sum("rows").alias("rows"), F.min("min_timestamp").alias("min_timestamp"), F.max("max_timestamp").alias("max_timestamp"),
+        F.min("min_asset").alias("min_asset"), F.max("max_asset").alias("max_asset"), F.bool_and(F.col("rows") <= 500).alias("bounded"),
+        F.bool_and(F.coalesce(same, F.lit(False))).alias("ranges_hold"))
+
+
 @plan("retention_purge", with_readings(f"SELECT {_READING_COLUMNS} FROM readings WHERE timestamp >= {CUTOFF}"))
 def retention_purge(spark, sf):
     path = scratch_path(spark, "purge")

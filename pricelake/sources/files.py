@@ -23,13 +23,10 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in found) if found is not None else []
 
 
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    """Move to a path that must not exist yet."""
-    old, fs = _fs(spark, source)
-    new, _ = _fs(spark, target)
-    fs.mkdirs(new.getParent())
-    if fs.exists(new) or not fs.rename(old, new):
-        raise FileExistsError(target)
+def create(spark: SparkSession, path: str) -> None:
+    """An empty file that must not exist yet: one step on file systems and object stores alike."""
+    target, fs = _fs(spark, path)
+    fs.create(target, False).close()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -196,50 +196,113 @@ def retention_purge_created(spark: SparkSession, path: str, cutoff: Column, *, c
             files.remove(spark, f"{path}/chunk={number}")
 
 
+# -- cold archive -------------------------------------------------------------
+#
+# cold/data/run=<id>/      gzip NDJSON files of one run
+# cold/manifest/run=<id>/  one row a file: name, rows, time range
+# cold/commits/<id>        an empty object; a run is in the archive once it is there
+
+ARCHIVED_FILES = "file string, rows bigint, min_timestamp bigint, max_timestamp bigint, min_asset string, max_asset string"
+
+
+def committed_runs(spark: SparkSession, cold: str) -> list[str]:
+    return [path.rsplit("/", 1)[1] for path in files.glob(spark, f"{cold}/commits/*")]
+
+
+def archive_files(spark: SparkSession, cold: str) -> DataFrame | None:
+    """The manifest of all committed runs; None for an empty archive."""
+    runs = committed_runs(spark, cold)
+    if not runs:
+        return None
+    return spark.read.schema(ARCHIVED_FILES).parquet(*[f"{cold}/manifest/run={run}" for run in runs])
+
+
+def read_archive(
+    spark: SparkSession, cold: str, schema, *, start: int | None = None, end: int | None = None
+) -> DataFrame | None:
+    """Archived rows of [start, end); only files whose range meets it are read. None if there are none."""
+    listed = archive_files(spark, cold)
+    if listed is None:
+        return None
+    if start is None and end is None:
+        return spark.read.schema(schema).json([f"{cold}/data/run={run}" for run in committed_runs(spark, cold)])
+    if start is not None:
+        listed = listed.filter(F.col("max_timestamp") >= start)
+    if end is not None:
+        listed = listed.filter(F.col("min_timestamp") < end)
+    chosen = [f"{cold}/data/{r.file}" for r in listed.select("file").toLocalIterator()]
+    if not chosen:
+        return None
+    rows = spark.read.schema(schema).json(chosen)
+    if start is not None:
+        rows = rows.filter(F.col("timestamp") >= start)
+    return rows if end is None else rows.filter(F.col("timestamp") < end)
+
+
+def _archive_run(spark: SparkSession, rows: DataFrame, cold: str, batch_rows: int) -> None:
+    """Write rows and their manifest under a new run id, then commit the run."""
+    run = uuid.uuid4().hex
+    (
+        rows.repartitionByRange("timestamp", *[c for c in ("seq", "id") if c in rows.columns])
+        .sortWithinPartitions("timestamp")
+        .write.option("compression", "gzip")
+        .option("maxRecordsPerFile", batch_rows)
+        .json(f"{cold}/data/run={run}")
+    )
+    written = spark.read.schema(rows.schema).json(f"{cold}/data/run={run}")
+    name = F.concat(F.lit(f"run={run}/"), F.col("_metadata.file_name"))
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("timestamp", "asset") for n, f in (("min", F.min), ("max", F.max))]
+    written.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("rows"), *ranges).write.parquet(f"{cold}/manifest/run={run}")
+    files.create(spark, f"{cold}/commits/{run}")
+
+
 def archive_cold(spark: SparkSession, path: str, cold: str, *, cutoff: int, batch_rows: int = 5000) -> None:
     """Move rows older than `cutoff` to gzip NDJSON under `cold`; safe to run again at any point.
 
-    Rows that the archive lacks are staged beside it and published by a rename, to a
-    folder that never replaces one that is there. Then only rows found in the archive
-    are removed from the table, so an interrupted run is completed by the next.
+    Rows that the archive lacks are written with a manifest of their files' time ranges; creating
+    the commit object is the one step that puts them into the archive, so no folder is renamed. Then
+    only rows found in the archive are removed from the table. An interrupted run leaves files without
+    a commit, which nobody reads, or rows that the next run finds archived. Of the archive only the files
+    that overlap the rows to move are read: none, if the run before was completed.
     """
     stored = spark.read.parquet(path)
     schema = stored.drop("chunk").schema
     keys = [*KEY, *[c for c in ("seq", "id") if c in schema.names]]
     last = (cutoff - 1) // CHUNK_SECONDS
     old = stored.filter((F.col("chunk") <= last) & (F.col("timestamp") < cutoff))
+    first = old.agg(F.min("timestamp")).first()[0]
+    if first is None:
+        return
 
     def archived() -> DataFrame | None:
-        folders = files.glob(spark, f"{cold}/price_history_*")
-        return spark.read.schema(schema).json(folders).select(*keys).distinct() if folders else None
+        rows = read_archive(spark, cold, schema, start=first, end=cutoff)
+        return None if rows is None else rows.select(*keys).distinct()
 
     known = archived()
     missing = materialize((old if known is None else old.join(known, keys, "left_anti")).drop("chunk"), "to-archive")
     if not missing.isEmpty():
-        staged = f"{cold}-staging/{uuid.uuid4().hex}"
-        (
-            missing.repartitionByRange("timestamp", *[c for c in ("seq", "id") if c in schema.names])
-            .sortWithinPartitions("timestamp")
-            .write.option("compression", "gzip")
-            .option("maxRecordsPerFile", batch_rows)
-            .json(staged)
-        )
-        target, number = f"{cold}/price_history_{cutoff}", 1
-        while files.exists(spark, target):
-            number += 1
-            target = f"{cold}/price_history_{cutoff}_{number}"
-        files.rename(spark, staged, target)
-    known = archived()
-    if known is not None:
-        low = stored.filter(F.col("chunk") <= last)
-        gone = low.filter(F.col("timestamp") < cutoff).join(known, keys, "left_semi").select(*keys)
-        _drop_rows(spark, path, low.join(materialize(gone, "archived"), keys, "left_anti"), last)
+        _archive_run(spark, missing, cold, batch_rows)
+    low = stored.filter(F.col("chunk") <= last)
+    gone = low.filter(F.col("timestamp") < cutoff).join(archived(), keys, "left_semi").select(*keys)
+    _drop_rows(spark, path, low.join(materialize(gone, "archived"), keys, "left_anti"), last)
+
 
+def archive_vacuum(spark: SparkSession, cold: str) -> None:
+    """Remove what interrupted runs have left. Not while a run is under way."""
+    known = set(committed_runs(spark, cold))
+    for kind in ("data", "manifest"):
+        for folder in files.glob(spark, f"{cold}/{kind}/run=*"):
+            if folder.rsplit("=", 1)[1] not in known:
+                files.remove(spark, folder)
 
-def archive_restore(spark: SparkSession, path: str, cold: str) -> None:
-    """Bring archive files (a folder or one file) back; existing rows stay."""
-    schema = spark.read.parquet(path).drop("chunk").schema
-    sink_history_append(spark, spark.read.schema(schema).json(cold), path, on_conflict="first")
+
+def archive_restore(
+    spark: SparkSession, path: str, cold: str, *, start: int | None = None, end: int | None = None
+) -> None:
+    """Bring archived rows of [start, end) back; existing rows stay."""
+    rows = read_archive(spark, cold, spark.read.parquet(path).drop("chunk").schema, start=start, end=end)
+    if rows is not None:
+        sink_history_append(spark, rows, path, on_conflict="first")
 
 
 def migrate_history(spark: SparkSession, folders: list[str], path: str, *, multi_line: bool = True) -> dict[str, int]:

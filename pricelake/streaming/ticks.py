@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pricelake.functions.decimals import middle, rescaled
 from pricelake.operators.breaker import DEVIATION_LIMIT_PCT, RECOVERY_SUCCESSES
 from pricelake.schemas import POLL_SECONDS, STALENESS_SECONDS
 
 LATENESS_SECONDS = 120
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WIDEST = 10**38
 FRAME_ROWS = 10_000
 BLOCK_TICKS = 64
 
@@ -39,27 +39,6 @@ def with_state_store(df: DataFrame) -> DataFrame:
     return df
 
 
-def rescaled(price: int, have: int, want: int) -> int | None:
-    """A fixed-point price at another scale, half away from zero; None beyond 38 digits."""
-    if want >= have:
-        out = price * 10 ** (want - have)
-    else:
-        unit = 10 ** (have - want)
-        out = (abs(price) + unit // 2) // unit * (-1 if price < 0 else 1)
-    return out if abs(out) < WIDEST else None
-
-
-def middle(ordered: list[int]) -> str | None:
-    """Median of sorted values with one fraction digit; None without values or from 10^37 on."""
-    if not ordered:
-        return None
-    low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
-    if max(abs(low), abs(high)) >= WIDEST // 10:
-        return None
-    tenths = (low + high) * 5
-    return f"{'-' if tenths < 0 else ''}{abs(tenths) // 10}.{abs(tenths) % 10}"
-
-
 def level_of(used: int, total: int, stale: bool) -> str:
     ratio = used / max(total, 1)
     if stale or not used or ratio < 0.5:

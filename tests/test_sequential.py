@@ -152,3 +152,27 @@ def test_chunks_are_bounded(spark):
     df = spark.range(-50, 1000).withColumnRenamed("id", "seq")
     counts = [r["count"] for r in add_chunk(df, "seq", 100).groupBy("__chunk").count().collect()]
     assert max(counts) <= 100 and len(counts) == 11
+
+
+@pytest.mark.parametrize("size", [50, 1000, 10**6])
+def test_running_median_over_a_thousand_sources(spark, size):
+    """Against sorting the newest arrivals at every reading; no column a source and no job while planning."""
+    rng, rows, newest = random.Random(size), [], {}
+    for seq in range(0, 9000, 3):
+        asset, source = rng.choice("AB"), f"s{int(rng.random() ** 3 * 1000)}"
+        rows.append((seq, asset, source, str(rng.choice([rng.randint(-50, 50), rng.randint(1, 10**6), 10**37])), 0, seq))
+    df = spark.createDataFrame(rows, "seq bigint, asset string, source string, price string, decimals int, timestamp bigint")
+    df = df.withColumn("price", F.col("price").cast("decimal(38,0)"))
+    spark.sparkContext.setJobGroup(f"planning {size}", "")
+    out = breaker.running_median(df, scale=0, size=size)
+    breaker.breaker_state(df, scale=0, size=size)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"planning {size}")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(out.columns) == len(df.columns) + 2
+    got = {r.seq: r.median for r in out.collect()}
+    for seq, asset, source, price, _, _ in rows:
+        newest.setdefault(asset, {})[source] = int(price)
+        ordered = sorted(newest[asset].values())
+        low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+        want = None if max(abs(low), abs(high)) >= 10**37 else (low + high) / 2
+        assert (None if got[seq] is None else float(got[seq])) == want

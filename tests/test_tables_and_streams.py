@@ -120,12 +120,12 @@ def test_stream_replays_equal_batch(spark, data, tmp_path):
 def archive_state(spark, path, cold):
     hot = {r.seq for r in spark.read.parquet(path).select("seq").collect()}
     schema = spark.read.parquet(path).drop("chunk").schema
-    found = [r.seq for r in spark.read.schema(schema).json(f"{cold}/*").select("seq").collect()]
+    found = [r.seq for r in history.read_archive(spark, cold, schema).select("seq").collect()]
     assert len(found) == len(set(found))
     return hot, set(found)
 
 
-@pytest.mark.parametrize("stop", ["none", "before_publish", "before_delete"])
+@pytest.mark.parametrize("stop", ["none", "before_manifest", "before_commit", "before_delete", "while_deleting"])
 def test_archive_again(spark, tmp_path, monkeypatch, stop):
     base = spark.range(0, 3 * 604800, 7200).selectExpr(
         "id seq", "'A' asset", "'x' source", "'1' price", "8 decimals", "id timestamp")
@@ -136,11 +136,15 @@ def test_archive_again(spark, tmp_path, monkeypatch, stop):
     def fail(*_):
         raise RuntimeError("lost")
 
+    steps = {"before_manifest": (history.F, "count"), "before_commit": (history.files, "create"),
+             "before_delete": (history, "_drop_rows"), "while_deleting": (history.files, "remove")}
     if stop != "none":
         with monkeypatch.context() as patch:
-            patch.setattr(*((history.files, "rename") if stop == "before_publish" else (history, "_drop_rows")), fail)
+            patch.setattr(*steps[stop], fail)
             with pytest.raises(RuntimeError):
                 history.archive_cold(spark, path, cold, cutoff=cutoff)
+        if stop in ("before_manifest", "before_commit"):
+            assert history.archive_files(spark, cold) is None
     for _ in range(2):
         history.archive_cold(spark, path, cold, cutoff=cutoff)
         hot, archived = archive_state(spark, path, cold)
@@ -150,6 +154,38 @@ def test_archive_again(spark, tmp_path, monkeypatch, stop):
     history.archive_cold(spark, path, cold, cutoff=cutoff)
     hot, archived = archive_state(spark, path, cold)
     assert len(archived) == len({s for s in every if s < cutoff}) + 2 and not hot & archived
+    history.archive_vacuum(spark, cold)
+    assert archive_state(spark, path, cold) == (hot, archived)
+    runs = set(history.committed_runs(spark, cold))
+    assert {p.name[4:] for kind in ("data", "manifest") for p in (tmp_path / "cold" / kind).iterdir()} == runs
+
+
+def test_archive_reads_only_files_that_overlap(spark, tmp_path):
+    base = spark.range(0, 4 * 604800, 7200).selectExpr("id seq", "'A' asset", "'x' source", "'1' price", "8 decimals", "id timestamp")
+    path, cold = str(tmp_path / "hot"), str(tmp_path / "cold")
+    history.write_history(base, path)
+    schema = base.schema
+    asked = []
+    read = history.read_archive
+
+    def spy(*args, **kw):
+        out = read(*args, **kw)
+        asked.append(0 if out is None else len(out.inputFiles()))
+        return out
+
+    history.read_archive = spy
+    try:
+        for weeks in (1, 2, 3):
+            history.archive_cold(spark, path, cold, cutoff=weeks * 604800, batch_rows=20)
+    finally:
+        history.read_archive = read
+    # The first look finds nothing of the runs before; the second sees the files of its own run.
+    assert asked[0::2] == [0, 0, 0] and all(n == 5 for n in asked[1::2])
+    part = history.read_archive(spark, cold, schema, start=604800, end=604800 + 7200 * 3)
+    assert len(part.inputFiles()) == 1 and sorted(r.seq for r in part.collect()) == [604800, 612000, 619200]
+    history.archive_restore(spark, path, cold, start=604800, end=2 * 604800)
+    back = {r.seq for r in spark.read.parquet(path).select("seq").collect()}
+    assert back == {r.seq for r in base.collect() if 604800 <= r.seq < 2 * 604800 or r.seq >= 3 * 604800}
 
 
 def test_late_rows_read_their_chunks_only(spark, tmp_path):
