@@ -43,14 +43,15 @@ def _entries(rows: DataFrame) -> DataFrame:
     """
     lasts = rows.groupBy("asset", CHUNK, "source").agg(
         F.max_by("value", F.when(F.col("value").isNotNull(), F.col("seq"))).alias("value"))
-    number = F.row_number().over(W.partitionBy("asset").orderBy(CHUNK))
-    chunks = rows.select("asset", CHUNK).distinct().withColumns(
-        {"__no": number, "__all": F.count(F.lit(1)).over(W.partitionBy("asset"))})
-    known = lasts.filter(F.col("value").isNotNull()).join(chunks, ["asset", CHUNK])
+    # Every chunk has a row of some source, so the chunks can be told from these.
+    chunks = W.partitionBy("asset")
+    lasts = lasts.withColumn("__no", F.dense_rank().over(chunks.orderBy(CHUNK)))
+    lasts = lasts.withColumn("__all", F.max("__no").over(chunks))
+    known = lasts.filter(F.col("value").isNotNull())
     upto = F.coalesce(F.lead("__no").over(W.partitionBy("asset", "source").orderBy("__no")), F.col("__all"))
     held = known.withColumn("__upto", upto).filter(F.col("__upto") > F.col("__no"))
     held = held.select("asset", "source", "value", F.explode(F.sequence(F.col("__no") + 1, F.col("__upto"))).alias("__no"))
-    return held.join(chunks.select("asset", CHUNK, "__no"), ["asset", "__no"]).select("asset", CHUNK, "source", "value")
+    return held.join(lasts.select("asset", CHUNK, "__no").distinct(), ["asset", "__no"]).select("asset", CHUNK, "source", "value")
 
 
 def running_median(readings: DataFrame, *, scale: int = 18, size: int = CHUNK_ROWS) -> DataFrame:

@@ -56,9 +56,11 @@ def running(
     part = [KEY, CHUNK]
     within = W.partitionBy(*part).orderBy(position)
     upto, before = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(W.unboundedPreceding, -1)
-    onward, after = within.rowsBetween(0, W.unboundedFollowing), within.rowsBetween(1, W.unboundedFollowing)
+    # What follows is what precedes in falling order: a frame that only grows, where one that shrinks costs a pass a row.
+    falling = W.partitionBy(*part).orderBy(F.col(position).desc())
+    onward, after = falling.rowsBetween(W.unboundedPreceding, 0), falling.rowsBetween(W.unboundedPreceding, -1)
     call = {"sum": F.sum, "low": F.sum, "min": F.min, "max": F.max}
-    pick = lambda value, kind: (F.last if kind == "last" else F.first)(value, ignorenulls=True)
+    pick = lambda value: F.last(value, ignorenulls=True)
 
     sums, local, total = {}, {}, {}
     for name, (kind, _) in values.items():
@@ -68,10 +70,10 @@ def running(
             local[name] = F.min(f"__s_{name}").over(before if aside else upto)
             total |= {f"__t_{name}": F.sum(value), f"__m_{name}": F.min(f"__s_{name}")}
         elif kind == "next":
-            local[name] = pick(value, kind).over(after if aside else onward)
+            local[name] = pick(value).over(after if aside else onward)
             total[f"__t_{name}"] = F.min_by(value, F.when(value.isNotNull(), F.col(position)))
         elif kind == "last":
-            local[name] = pick(value, kind).over(before if aside else upto)
+            local[name] = pick(value).over(before if aside else upto)
             total[f"__t_{name}"] = F.max_by(value, F.when(value.isNotNull(), F.col(position)))
         else:
             local[name] = call[kind](value).over(before if aside else upto)
@@ -86,11 +88,11 @@ def running(
         # The whole row is asked for, or the optimizer would drop it.
         summary = summary.filter(F.col("__row").isNotNull() & (F.hash("__row") >= -(1 << 31)))
     earlier = W.partitionBy(KEY).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(KEY).orderBy(CHUNK).rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(KEY).orderBy(F.col(CHUNK).desc()).rowsBetween(W.unboundedPreceding, -1)
     carry, lows = {}, {}
     for name, (kind, _) in values.items():
         whole = F.col(f"__t_{name}")
-        carry[f"__c_{name}"] = pick(whole, kind).over(earlier if kind == "last" else later) if kind in (
+        carry[f"__c_{name}"] = pick(whole).over(earlier if kind == "last" else later) if kind in (
             "last", "next") else call[kind](whole).over(earlier)
         if kind == "low":
             lows[f"__d_{name}"] = F.min(F.coalesce(f"__c_{name}", F.lit(0)) + F.col(f"__m_{name}")).over(earlier)
