@@ -45,3 +45,37 @@ def test_held_out_accuracy(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) > 0.95 * len(held)
+
+
+def plain_grams(text):
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+    raw = b" " + raw + b"   "
+    return [raw[i:i + 4] for i in range(len(raw) - 3)]
+
+
+def test_decisions_equal_plain_sets(spark, sf):
+    """Sets of n-grams instead of filters: the same languages, and scores that differ by chance hits only."""
+    from collections import Counter
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learn = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None]
+    counts = {}
+    for r in learn:
+        counts.setdefault(r.lang, Counter()).update(g for g in plain_grams(r.text) if g != b"    ")
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    known = {lang: {g for g, n in c.items() if n >= total[lang] * langid.MIN_SHARE} for lang, c in counts.items()}
+    order = sorted(known, key=lambda lang: (-total[lang], lang))
+    from pricelake.llm.queries import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["op7_language_masks"](spark, sf).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        grams = plain_grams(r.text)
+        hits = {lang: sum(g in known[lang] for g in grams) for lang in order}
+        best = max(order, key=lambda lang: hits[lang])
+        share = hits[best] / max(sum(hits.values()), 1e-9)
+        close = sorted(hits.values())[-2] > hits[best] - 2  # chance hits may decide these
+        assert got[r.doc_id].lang_pred == best or close
+        assert abs(got[r.doc_id].score - share) < 0.02 or close
