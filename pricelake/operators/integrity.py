@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricelake.functions import decimals as D
 from pricelake.operators.chunks import CHUNK_ROWS, drop_halo, with_halo
 from pricelake.session import materialize
+from pricelake.sources import files
 
 #: Tree levels folded per shuffle; a block has 2^LEVELS leaves.
 LEVELS = 10
@@ -139,6 +140,96 @@ def merkle_proof(leaves: DataFrame) -> DataFrame:
     return proof.select("nonce", F.col("idx").alias("leaf_index"), "siblings")
 
 
+# -- stored trees ---------------------------------------------------------------
+
+NODES = "nonce bigint, level int, idx bigint, hash binary, top boolean"
+
+
+def merkle_levels(leaves: DataFrame) -> DataFrame:
+    """All nodes (nonce, level, idx, hash, top) of the batches' trees; the leaves are read once.
+
+    A block of 1,024 gives its ten levels at once; the block roots are the nodes of the next round.
+    """
+    nodes = leaves.select("nonce", F.col("leaf_index").alias("idx"), F.col("leaf").alias("hash"))
+    out, base = None, 0
+    while True:
+        blocks = _blocks(nodes)
+        steps = F.sequence(F.lit(1), F.greatest(F.col("levels"), F.lit(1)))
+        start = F.array(F.col("nodes"))
+        ladder = F.when(F.col("levels") > 0, F.aggregate(
+            steps, start, lambda acc, _: F.concat(acc, F.array(_parents(F.element_at(acc, -1)))))).otherwise(start)
+        rows = blocks.select("nonce", "block", "levels", "blocks", F.posexplode(ladder).alias("up", "row"))
+        width = F.floor(F.col("block") * BLOCK / F.pow(F.lit(2.0), F.col("up"))).cast("bigint")
+        rows = rows.select("nonce", "up", "levels", "blocks", width.alias("first"), F.posexplode("row").alias("at", "hash"))
+        last = (F.col("up") == F.col("levels")) & (F.col("blocks") == 1)
+        rows = materialize(rows.select(
+            "nonce", (F.col("up") + base).alias("level"), (F.col("first") + F.col("at")).alias("idx"), "hash", last.alias("top"),
+            (F.col("up") == LEVELS).alias("rises")), "merkle-levels")
+        # A block root is a leaf of the next round, which writes the levels above it.
+        part = rows.drop("rises")
+        out = part if out is None else out.unionByName(part.filter(F.col("level") > base))
+        # Batches of one block are done; the roots of the others rise.
+        nodes = rows.filter(F.col("rises") & ~F.col("top")).select("nonce", "idx", "hash")
+        if nodes.isEmpty():
+            return out
+        base += LEVELS
+
+
+def merkle_append(spark: SparkSession, leaves: DataFrame, store: str) -> None:
+    """Add the trees of new batches to the node table `store`; batches that it has stay untouched.
+
+    Run again after a failure, it adds what is missing: a batch counts as stored once its top is, and a
+    folder of nodes appears with its last file (Parquet commits an append as a whole).
+    """
+    known = merkle_roots(spark, store)
+    new = leaves if known is None else leaves.join(known.select("nonce"), "nonce", "left_anti")
+    merkle_levels(new).repartitionByRange("nonce", "level", "idx").sortWithinPartitions("nonce", "level", "idx").write.mode(
+        "append").parquet(store)
+
+
+def _stored_nodes(spark: SparkSession, store: str) -> DataFrame | None:
+    return spark.read.schema(NODES).parquet(store) if files.exists(spark, store) else None
+
+
+def merkle_roots(spark: SparkSession, store: str) -> DataFrame | None:
+    """(nonce, root, height) of the stored batches; None without a store."""
+    nodes = _stored_nodes(spark, store)
+    return None if nodes is None else nodes.filter("top").select(
+        "nonce", F.col("hash").alias("root"), F.col("level").alias("height"))
+
+
+def merkle_stored_proof(spark: SparkSession, store: str, nonce: int, leaf_index: int) -> list[bytes]:
+    """Sibling path of one leaf: at most two stored nodes a level are read, by pushed-down filters."""
+    nodes = _stored_nodes(spark, store).filter(F.col("nonce") == nonce)
+    height = nodes.filter("top").first()["level"]
+    near = F.lit(False)
+    for level in range(height):
+        spot = leaf_index >> level
+        near = near | ((F.col("level") == level) & F.col("idx").isin(spot, spot ^ 1))
+    found = {(r.level, r.idx): bytes(r.hash) for r in nodes.filter(near).collect()}
+    spots = [(level, leaf_index >> level) for level in range(height)]
+    # An odd last node is its own sibling.
+    return [found.get((level, spot ^ 1), found.get((level, spot))) for level, spot in spots]
+
+
+def merkle_stored_proofs(spark: SparkSession, store: str, wanted: DataFrame) -> DataFrame:
+    """`wanted` (nonce, leaf_index) with `siblings` and `root`: a join of one row a level with the node table."""
+    nodes = _stored_nodes(spark, store).select("nonce", "level", "idx", "hash")
+    roots = merkle_roots(spark, store)
+    leaf = wanted.select("nonce", "leaf_index").distinct().join(roots, "nonce")
+    levels = F.sequence(F.lit(0), F.col("height") - 1)
+    asked = leaf.filter(F.col("height") > 0).select("nonce", "leaf_index", F.explode(levels).alias("level"))
+    spot = F.floor(F.col("leaf_index") / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+    asked = asked.withColumn("spot", spot).withColumn(
+        "idx", F.explode(F.array(F.col("spot"), F.col("spot").bitwiseXOR(F.lit(1).cast("bigint")))))
+    found = asked.join(nodes, ["nonce", "level", "idx"])
+    steps = found.groupBy("nonce", "leaf_index", "level").agg(F.max_by("hash", F.col("idx") != F.col("spot")).alias("hash"))
+    paths = steps.groupBy("nonce", "leaf_index").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "hash"))), lambda s: s["hash"]).alias("siblings"))
+    out = leaf.join(paths, ["nonce", "leaf_index"], "left")
+    return out.select("nonce", "leaf_index", F.coalesce("siblings", F.array().cast("array<binary>")).alias("siblings"), "root")
+
+
 def merkle_verify(proofs: DataFrame) -> DataFrame:
     """Add `valid`: whether (leaf, leaf_index, siblings) leads to `root`."""
     start = F.struct(F.col("leaf").alias("h"), F.col("leaf_index").cast("bigint").alias("i"))

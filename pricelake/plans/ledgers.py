@@ -11,6 +11,7 @@ from pricelake.plans.inputs import (
     CALLS_SQL, REQUESTS_SQL, feed_calls, readings, requests, table, with_readings,
 )
 from pricelake.plans.registry import plan
+from pricelake.session import materialize, scratch_path
 
 _ROW = "seq, asset, source, CAST(price AS VARCHAR) AS price, timestamp"
 
@@ -343,10 +344,28 @@ def merkle_proof(spark, sf):
                       F.array_join(F.transform("siblings", lambda s: F.lower(F.hex(s))), ",").alias("siblings"))
 
 
+@plan("merkle_append", _recursive("""SELECT l.nonce, l.leaf_index, coalesce(string_agg(coalesce(s.h, own.h), ',' ORDER BY own.level), '') AS siblings,
+     any_value(r.root) AS root
+   FROM (SELECT nonce, max(leaf_index) AS leaf_index FROM leaves GROUP BY 1) l JOIN roots r USING (nonce)
+   LEFT JOIN lv own ON own.nonce = l.nonce AND own.level < r.height AND own.idx = l.leaf_index // CAST(pow(2, own.level) AS BIGINT)
+   LEFT JOIN lv s ON s.nonce = own.nonce AND s.level = own.level AND s.idx = xor(own.idx, 1) GROUP BY 1, 2""", _LEAF, _LEVELS))
+def merkle_append(spark, sf):
+    """Batches added to a stored tree table in three runs, one of them a repetition; proofs of the last leaves from it."""
+    store = scratch_path(spark, "merkle")
+    lv = materialize(leaves(spark, sf).select("nonce", "leaf_index", "leaf"), "leaves")
+    for batch in (lv.filter("nonce % 2 = 0"), lv.filter("nonce % 2 = 0"), lv):
+        integrity.merkle_append(spark, batch, store)
+    last = lv.groupBy("nonce").agg(F.max("leaf_index").alias("leaf_index"))
+    out = integrity.merkle_stored_proofs(spark, store, last)
+    return out.select(
+        "nonce", "leaf_index", F.array_join(F.transform("siblings", lambda s: F.lower(F.hex(s))), ",").alias("siblings"),
+        F.lower(F.hex("root")).alias("root"))
+
+
 @plan("merkle_verify", with_readings("SELECT nonce, leaf_index, leaf_index % 5 <> 3 AS valid FROM leaves", _LEAF))
 def merkle_verify(spark, sf):
     """Every proof against its root; each fifth leaf is tampered with."""
-    lv = leaves(spark, sf).select("nonce", "leaf_index", "leaf")
+    lv = materialize(leaves(spark, sf).select("nonce", "leaf_index", "leaf"), "leaves")
     forged = F.when(F.col("leaf_index") % 5 == 3, integrity.sha(F.col("leaf"))).otherwise(F.col("leaf"))
     full = integrity.merkle_proof(lv).join(lv, ["nonce", "leaf_index"]).join(integrity.merkle_root(lv), "nonce")
     return integrity.merkle_verify(full.withColumn("leaf", forged)).select("nonce", "leaf_index", "valid")

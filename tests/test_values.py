@@ -165,6 +165,37 @@ def test_audit_chain(spark, size):
     assert [r.seq for r in integrity.audit_chain_verify(df, key, size).filter("not intact").collect()] == [34]
 
 
+def test_stored_trees(spark, tmp_path):
+    """Trees of one and of several blocks, added in two runs: nodes, single and joined proofs, and untouched files."""
+    sizes = {1: 1, 2: 2, 3: 5, 4: 1024, 5: 1025, 6: 2500, 7: 37}
+    leaf = lambda nonce, i: hashlib.sha256(f"{nonce}:{i}".encode()).digest()
+    rows = [(n, i, bytearray(leaf(n, i))) for n, size in sizes.items() for i in range(size)]
+    df = spark.createDataFrame(rows, "nonce bigint, leaf_index bigint, leaf binary").repartition(3)
+    trees = {n: tree([leaf(n, i) for i in range(size)]) for n, size in sizes.items()}
+    store = str(tmp_path / "store")
+    assert integrity.merkle_roots(spark, store) is None
+    integrity.merkle_append(spark, df.filter("nonce < 6"), store)
+    before = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("*.parquet")}
+    for _ in range(2):
+        integrity.merkle_append(spark, df, store)
+    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("*.parquet")}
+    assert before.items() <= after.items()
+    stored = sorted((r.nonce, r.level, r.idx, bytes(r.hash)) for r in spark.read.parquet(store).collect())
+    assert stored == sorted((n, k, i, h) for n, levels in trees.items() for k, row in enumerate(levels) for i, h in enumerate(row))
+    roots = {r.nonce: (bytes(r.root), r.height) for r in integrity.merkle_roots(spark, store).collect()}
+    assert roots == {n: (levels[-1][0], len(levels) - 1) for n, levels in trees.items()}
+
+    def path(n, i):
+        return [row[i >> k ^ 1] if (i >> k ^ 1) < len(row) else row[i >> k] for k, row in enumerate(trees[n][:-1])]
+
+    for n, i in ((1, 0), (3, 4), (5, 1024), (6, 2499), (6, 1023)):
+        assert integrity.merkle_stored_proof(spark, store, n, i) == path(n, i)
+    wanted = df.filter("leaf_index % 50 = 4 OR leaf_index = 0").select("nonce", "leaf_index")
+    got = integrity.merkle_stored_proofs(spark, store, wanted).collect()
+    assert len(got) == wanted.count()
+    assert all([bytes(x) for x in r.siblings] == path(r.nonce, r.leaf_index) and bytes(r.root) == trees[r.nonce][-1][0] for r in got)
+
+
 OLD, NEW = b"o" * 32, b"n" * 32
 
 
