@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pricelake.llm import text as tx
 from pricelake.session import materialize
@@ -161,7 +161,7 @@ class Tokens:
         return row, first, tx.mix(hashes + np.uint64(view * 1000 + width))
 
 
-FOUND = "id {id}, mark int, hash long, view int, at int, words array<long>, kinds array<tinyint>, size int"
+FOUND = "id {id}, mark string, hash long, view int, at int, words array<long>, kinds array<tinyint>, size int"
 
 
 def _rows(block: tx.Block, tokens: Tokens, parts: list) -> pa.RecordBatch:
@@ -209,8 +209,13 @@ def _document_windows(bitmap: np.ndarray, widths: list[int]):
     return scan
 
 
+def _mark(text_col: str) -> Column:
+    """128 bits of a text, which tell rows with equal or null ids apart."""
+    return F.md5(F.coalesce(text_col, F.lit("")))
+
+
 def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.hash(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    return df.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
 def contaminated(
@@ -265,4 +270,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     hits = contaminated(docs, benchmark, id_col, text_col, **settings).select(
         F.col("id").alias("dc_id"), F.col("mark").alias("dc_mark")).distinct()
     return docs.join(
-        hits, F.col(id_col).eqNullSafe(F.col("dc_id")) & (F.hash(F.col(text_col)) == F.col("dc_mark")), "left_anti")
+        hits, F.col(id_col).eqNullSafe(F.col("dc_id")) & (_mark(text_col) == F.col("dc_mark")), "left_anti")

@@ -38,7 +38,7 @@ from pricelake.session import materialize
 WIDTH = 5
 COLLECTIONS = 16
 ROWS = 2
-SIGNS = "doc long, mark int, n long, f1 long, f2 long, values array<long>"
+SIGNS = "doc long, mark string, n long, f1 long, f2 long, values array<long>"
 
 _SEEDS = tx.mix(np.arange(1, 2 * COLLECTIONS * ROWS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
@@ -241,7 +241,7 @@ def group_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     others = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
     named = docs.select(*[F.col(f"`{c}`") for c in others]).withColumns({
-        "mh_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "mh_mark": F.hash(F.col(text_col))})
+        "mh_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "mh_mark": F.md5(F.coalesce(text_col, F.lit("")))})
     groups = near_groups(named.select(
         F.col("mh_doc").alias("doc"), F.col("mh_mark").alias("mark"), F.col(text_col).alias("text")), percent)
     groups = groups.select(

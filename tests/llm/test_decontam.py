@@ -101,3 +101,10 @@ def test_generated_parameters_and_jumbled_twins(spark):
     found = {(r.id, r.item) for r in decontam.contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {i for i, _ in same} <= {i for i, _ in found}
     assert all(i == item for i, item in found)
+
+
+def test_null_ids_are_told_apart_by_their_texts(spark):
+    say = ITEMS[4][1]
+    rows = [(None, f"clean text number {i}") for i in range(300)] + [(None, f"{i} {say}") for i in range(3)]
+    hits, left = run(spark, rows)
+    assert hits == [(None, 5)] and len(left) == 300

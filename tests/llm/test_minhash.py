@@ -83,3 +83,12 @@ def test_documents(spark, sf):
 
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op8_near_groups"](spark, sf).collect()]
     assert sorted(got, key=str) == brute(rows)
+
+
+def test_null_ids_are_told_apart_by_their_texts(spark):
+    rows = [(None, f"w{i} a b c d e f g h") for i in range(400)] + [(None, "w1 a b c d e f g h"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS mark", "2 AS doc", "3 AS root")
+    out = minhash.group_near(docs).collect()
+    assert len(out) == len(rows) and all(r.component_id is None for r in out)
+    assert sum(r.kept for r in out if r.text and r.text.startswith("w1 ")) <= 1
+    assert {r.n_shingles for r in out} == {0, 5}
