@@ -42,6 +42,7 @@ from pricelake.session import materialize
 LENGTH = 400
 GRAM_SHARE = 2  # an anchor is length / GRAM_SHARE bytes
 HOT = 20_000
+OFTEN_TIMES = 4096  # bodies beyond it are joined apart: at most one in so many rows
 ORDER_ROWS = 8192
 PIECE_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 23) - 1)
@@ -209,6 +210,7 @@ def repeated_spans(
     hot: int = HOT,
     order_rows: int = ORDER_ROWS,
     gram: int | None = None,
+    often_times: int = OFTEN_TIMES,
 ) -> DataFrame:
     """Spans (doc, mark, s, e) of `docs` (doc, mark, text) that repeated windows cover; they may overlap.
 
@@ -222,8 +224,12 @@ def repeated_spans(
     shared = materialize(anchors.join(often, "key"), "shared-anchors")
     bodies = materialize(shared.groupBy("key", "body").agg(
         F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("doc", "mark", "at", "off", "n")]), "bodies")
-    whole = shared.join(bodies.filter("times > 1").select("key", "body"), ["key", "body"]).select(
-        "doc", "mark", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + length).alias("e"))
+    # A body that stands in very many places has few rows here, so its places need not be brought together.
+    frequent = materialize(bodies.filter(F.col("times") > often_times).select("key", "body"), "frequent")
+    repeated = bodies.filter((F.col("times") > 1) & (F.col("times") <= often_times)).select("key", "body")
+    span = ["doc", "mark", F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + length).alias("e")]
+    whole = shared.join(frequent, ["key", "body"]).select(*span).unionByName(
+        shared.join(frequent, ["key", "body"], "left_anti").join(repeated, ["key", "body"]).select(*span))
 
     mixed = materialize(bodies.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "mixed")
     rivals = bodies.join(mixed, "key").select(

@@ -73,7 +73,7 @@ def texts(seed, n, alphabet, longest):
 
 
 @pytest.mark.parametrize("seed,alphabet,kw", [
-    (1, "ab", {}), (2, "abcdef ghé", {}), (3, "aé", {"order_rows": 5}), (4, "abc", {"hot": 2}), (5, "a", {})])
+    (1, "ab", {}), (2, "abcdef ghé", {}), (3, "aé", {"order_rows": 5}), (4, "abc", {"hot": 2}), (5, "a", {}), (6, "abc", {"often_times": 2})])
 def test_like_brute_force(spark, seed, alphabet, kw):
     rows = texts(seed, 40, alphabet, 60)
     assert run(spark, rows, 20, **kw) == brute(rows, 20)
