@@ -12,6 +12,19 @@ from pricelake.schemas import POLL_SECONDS
 
 # Fixed value: allowed spread between sources in percent.
 DISAGREEMENT_PCT = 5.0
+# Texts of alerts, for the batch and the stream.
+DEVIATION_TEXT = "Price deviation alert for {asset}: {pct}% change"
+STALE_TEXT = "Price data stale for {asset}: {age}s old (threshold: {limit}s)"
+SOURCE_DOWN_TEXT = "All sources down for {asset} ({streak} consecutive failures)"
+DISAGREEMENT_TEXT = "Source disagreement for {asset}: {pct}% spread across sources"
+
+
+def filled(text: str, **values: Column) -> Column:
+    """A text with columns in its places; doubles with two digits."""
+    out = F.lit(text)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.format_string("%.2f", value) if name == "pct" else value.cast("string"))
+    return out
 
 
 def _alert(df: DataFrame, kind: str, message: Column, at: Column, **extra: Column) -> DataFrame:
@@ -42,7 +55,7 @@ def alert_deviation(
         before.isNotNull() & (now != 0), F.lit(float("inf")))
     seen = seen.withColumn("__moved", moved)
     hit = seen.filter((F.col("deviation_pct") > 0) & (F.col("__moved") > F.col("deviation_pct")))
-    text = F.format_string("Price deviation alert for %s: %.2f%% change", "asset", "__moved")
+    text = filled(DEVIATION_TEXT, asset=F.col("asset"), pct=F.col("__moved"))
     return _alert(
         hit, "deviation", text, F.col("tick") * poll, previous_price=F.col("prev").cast("string"),
         current_price=F.col("price").cast("string"), deviation_percent=F.col("__moved"))
@@ -53,8 +66,7 @@ def alert_stale(consensus: DataFrame, thresholds: DataFrame, *, poll: int = POLL
     seen = join_thresholds(consensus, thresholds)
     seen = seen.withColumn("__age", F.col("tick") * poll - F.col("timestamp"))
     hit = seen.filter((F.col("stale_s") > 0) & (F.col("__age") > F.col("stale_s")))
-    text = F.concat(F.lit("Price data stale for "), "asset", F.lit(": "), F.col("__age").cast("string"),
-                    F.lit("s old (threshold: "), F.col("stale_s").cast("bigint").cast("string"), F.lit("s)"))
+    text = filled(STALE_TEXT, asset=F.col("asset"), age=F.col("__age"), limit=F.col("stale_s").cast("bigint"))
     return _alert(hit, "stale", text, F.col("tick") * poll)
 
 
@@ -73,8 +85,7 @@ def alert_source_down(
     streak = F.col("tick") - F.coalesce(F.col("__ok") + 1, F.col("__first"))
     seen = join_thresholds(marked.withColumn("streak", streak), thresholds)
     hit = seen.filter(F.col("stale") & (F.col("source_down") > 0) & (F.col("streak") >= F.col("source_down")))
-    text = F.concat(F.lit("All sources down for "), "asset", F.lit(" ("), F.col("streak").cast("string"),
-                    F.lit(" consecutive failures)"))
+    text = filled(SOURCE_DOWN_TEXT, asset=F.col("asset"), streak=F.col("streak"))
     return _alert(hit, "source_down", text, F.col("tick") * poll)
 
 
@@ -91,7 +102,7 @@ def alert_disagreement(
     spread = spread.withColumn(
         "__pct", F.when(F.col("__min") > 0, (F.col("__max") - F.col("__min")) / F.col("__min") * 100))
     hit = spread.filter((F.col("__n") >= 2) & (F.col("__pct") > limit_pct))
-    text = F.format_string("Source disagreement for %s: %.2f%% spread across sources", "asset", "__pct")
+    text = filled(DISAGREEMENT_TEXT, asset=F.col("asset"), pct=F.col("__pct"))
     return _alert(hit, "deviation", text, F.col("tick") * poll, deviation_percent=F.col("__pct"),
                   affected_sources=F.col("__sources"))
 

@@ -18,6 +18,10 @@ HTTP_LATENCY_BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5,
 SESSION_BUCKETS = (1, 5, 15, 30, 60, 120, 300, 600, 1800, 3600)
 DEVIATION_BUCKETS = (1, 5, 10, 20, 30, 50, 100)
 OBJECTIVES = {"api-availability": 99.9, "api-latency": 99.0, "price-freshness": 99.5}
+# Texts of incidents.
+INCIDENT_TITLE = " is unreachable"
+INCIDENT_OPENED = "Incident opened — investigating."
+INCIDENT_RESOLVED = "Service recovered. Incident resolved."
 
 
 def _half_up(value: Column) -> Column:
@@ -167,14 +171,14 @@ def incidents(checks: DataFrame, *, size: int = CHUNK_ROWS) -> DataFrame:
     opened = running(opened, [], "seq", {"number": ("sum", F.lit(1))}, size, shared=True)
     second = lambda c: F.floor(F.col(c) / 1000).alias
     done = F.col("__next_ok").isNotNull()
-    opening = F.struct(F.lit("Incident opened — investigating.").alias("message"),
+    opening = F.struct(F.lit(INCIDENT_OPENED).alias("message"),
                        F.floor(F.col("ts_ms") / 1000).alias("timestamp"))
-    closing = F.struct(F.lit("Service recovered. Incident resolved.").alias("message"),
+    closing = F.struct(F.lit(INCIDENT_RESOLVED).alias("message"),
                        F.floor(F.col("__next_ok") / 1000).alias("timestamp"))
     number = F.col("number").cast("string")
     return opened.select(
         F.concat(F.lit("INC-"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("id"),
-        F.concat("component", F.lit(" is unreachable")).alias("title"), "component", "seq",
+        F.concat("component", F.lit(INCIDENT_TITLE)).alias("title"), "component", "seq",
         F.when(done, "resolved").otherwise("investigating").alias("status"), F.lit("major").alias("severity"),
         second("ts_ms")("started_at"), second("__next_ok")("resolved_at"),
         F.when(done, F.array(opening, closing)).otherwise(F.array(opening)).alias("updates"))

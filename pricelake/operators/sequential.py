@@ -235,6 +235,7 @@ def guard_replay(submissions: DataFrame, *, bps: int = GUARD_BPS, size: int = CH
 
 # -- feed breaker ------------------------------------------------------------
 
+# Names of the states.
 CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
 
 

@@ -11,13 +11,14 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from pricelake.functions.decimals import middle, rescaled
+from pricelake.operators.alerts import DEVIATION_TEXT, DISAGREEMENT_TEXT, SOURCE_DOWN_TEXT, STALE_TEXT
 from pricelake.operators.breaker import DEVIATION_LIMIT_PCT, RECOVERY_SUCCESSES
 from pricelake.schemas import POLL_SECONDS, STALENESS_SECONDS
 
@@ -270,25 +271,27 @@ class TickAlerts(_Ticked):
             # A move away from 0 has no finite size and always fires.
             moved = abs((new - old) / old) * 100 if old else (math.inf if new else 0.0)
             if moved > limit:
-                yield "deviation", ("deviation", f"Price deviation alert for {asset}: {_two_places(moved)}% change",
+                yield "deviation", ("deviation", DEVIATION_TEXT.format(asset=asset, pct=_two_places(moved)),
                                     previous, price, moved, None)
         if _set(oldest) and now - timestamp > oldest:
-            yield "stale", ("stale", f"Price data stale for {asset}: {now - timestamp}s old (threshold: {int(oldest)}s)",
+            yield "stale", ("stale", STALE_TEXT.format(asset=asset, age=now - timestamp, limit=int(oldest)),
                             None, None, None, None)
         if _set(down) and stale and failures >= down:
-            yield "source_down", ("source_down", f"All sources down for {asset} ({failures} consecutive failures)",
+            yield "source_down", ("source_down", SOURCE_DOWN_TEXT.format(asset=asset, streak=failures),
                                   None, None, None, None)
         if len(polled) > 1 and lowest > 0:
             spread = (highest - lowest) / lowest * 100
             if spread > self.disagreement_pct:
                 yield "disagreement", (
-                    "deviation", f"Source disagreement for {asset}: {_two_places(spread)}% spread across sources", None, None,
+                    "deviation", DISAGREEMENT_TEXT.format(asset=asset, pct=_two_places(spread)), None, None,
                     spread, list(polled))
 
 
 def _two_places(value: float) -> str:
     """As the batch messages: half up on the shortest decimal form."""
-    return str(Decimal(repr(value)).quantize(Decimal("0.01"), ROUND_HALF_UP)) if math.isfinite(value) else "Infinity"
+    if not math.isfinite(value):
+        return "Infinity"
+    return str(Decimal(repr(value)).quantize(Decimal("0.01"), ROUND_HALF_UP, Context(prec=400)))
 
 
 def _set(limit) -> bool:

@@ -109,6 +109,15 @@ def test_exact_helpers():
     assert [ticks.level_of(u, 4, False) for u in (0, 1, 2, 4)] == ["critical", "critical", "degraded", "healthy"]
 
 
+def test_messages_round_as_the_batch(spark):
+    from pricelake.operators import alerts
+
+    values = [1240.625, 0.005, 1.005, 2.675, 12.345, 99.995, 7.0, 123456.785, 1e19, 3e25, float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.t for r in df.select(alerts.filled(alerts.DISAGREEMENT_TEXT, asset=F.lit("A"), pct=F.col("v")).alias("t")).collect()]
+    assert got == [alerts.DISAGREEMENT_TEXT.format(asset="A", pct=ticks._two_places(v)) for v in values]
+
+
 def test_usage_leaves_the_sink_after_its_retention(spark, tmp_path):
     """Hours of 200 days in two runs of one job: what is older than 90 days is gone, the rest stays once."""
     hour, base = 3_600_000, str(tmp_path)
