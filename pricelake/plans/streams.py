@@ -81,16 +81,15 @@ def stream_consensus(spark, sf):
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'endpoint', method || ' ' || endpoint, count(*) FROM requests GROUP BY 1, 3
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'key', api_key_prefix, count(*) FROM requests GROUP BY 1, 3
   UNION ALL SELECT timestamp // 3600000 * 3600000, 'asset', asset, count(*) FROM requests WHERE asset IS NOT NULL GROUP BY 1, 3)
-, passed AS (SELECT * FROM hourly WHERE hour + 3600000 <= (SELECT max(timestamp) - 600000 FROM requests))
-SELECT hour, dimension, name, count FROM passed WHERE hour > (SELECT max(hour) FROM passed) - 480 * 3600000""")
+SELECT hour, dimension, name, count FROM hourly WHERE hour + 3600000 <= (SELECT max(timestamp) - 600000 FROM requests)""")
 def stream_usage(spark, sf):
-    """Hourly counts of the last 20 days; older ones leave the sink."""
+    """All hourly counts that the watermark has passed; the sink keeps every hour."""
     stream = event_stream(spark, sf).selectExpr(
         "concat('/', event_type) AS endpoint", "'GET' AS method", "lpad(CAST(user_id AS STRING), 10, '0') AS api_key_prefix",
         "CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS asset", "unix_millis(CAST(ts AS TIMESTAMP)) AS timestamp")
     path = scratch_path(spark, "usage")
-    jobs.run_usage(jobs.stream_usage(stream), path, scratch_path(spark, "usage-checkpoint"), retention_hours=480)
-    return jobs.read_usage(spark, path, retention_hours=480).select("hour", "dimension", "name", "count")
+    jobs.run_usage(jobs.stream_usage(stream), path, scratch_path(spark, "usage-checkpoint"), retention_hours=None)
+    return jobs.read_usage(spark, path, retention_hours=None).select("hour", "dimension", "name", "count")
 
 
 @plan("stream_deliveries", """WITH d AS (SELECT epoch_us(ts) // 1000 AS ts_ms, 'hook-' || CAST(user_id % 20 AS VARCHAR) AS webhook_id,

@@ -70,9 +70,9 @@ def stream_usage(requests: DataFrame, *, lateness: str = "10 minutes") -> DataFr
 
 
 def run_usage(
-    counts: DataFrame, path: str, checkpoint: str, *, retention_hours: int = RETENTION_HOURS
+    counts: DataFrame, path: str, checkpoint: str, *, retention_hours: int | None = RETENTION_HOURS
 ) -> None:
-    """Process what is there now into a table that forgets hours beyond the retention.
+    """Process what is there now into a table that forgets hours beyond the retention (None: keeps all).
 
     `counts` is a `stream_usage`. Files lie by day and micro-batch, so a batch that is run again
     overwrites its own and a day goes by its folder; what an expiry that was stopped has left goes
@@ -85,15 +85,18 @@ def run_usage(
         # A day and its batch in few files; Spark splits those that are far larger than others.
         writer = rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("day", "batch").parquet(path)
-        expire_usage(spark, path, retention_hours=retention_hours)
+        if retention_hours is not None:
+            expire_usage(spark, path, retention_hours=retention_hours)
 
     query = counts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def read_usage(spark: SparkSession, path: str, *, retention_hours: int = RETENTION_HOURS) -> DataFrame:
-    """The hourly counts that end less than `retention_hours` before the newest one does."""
+def read_usage(spark: SparkSession, path: str, *, retention_hours: int | None = RETENTION_HOURS) -> DataFrame:
+    """The hourly counts that end less than `retention_hours` before the newest one does (None: all)."""
     table = spark.read.schema(USAGE_TABLE).parquet(path)
+    if retention_hours is None:
+        return table.drop("day", "batch")
     newest = table.agg(F.max("hour").alias("hour")).scalar()
     return usage.retained(table, now_ms=newest + HOUR_MS, hours=retention_hours).drop("day", "batch")
 

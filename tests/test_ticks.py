@@ -2,6 +2,8 @@
 
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,16 @@ def test_usage_leaves_the_sink_after_its_retention(spark, tmp_path):
         days = [int(d.split("=")[1]) for d in os.listdir(f"{base}/out") if d.startswith("day=")]
         assert min(days) + jobs.DAY_MS > max(days) - 90 * 24 * hour
     assert newest[1] > newest[0] + 79 * 24 * hour
+
+
+def test_usage_plan_gives_every_hour(spark, tmp_path):
+    """Hours of 60 days: none is too old for the result."""
+    from pricelake.plans.streams import stream_usage
+
+    hours = range(60 * 24)
+    pq.write_table(pa.table({
+        "event_id": list(hours), "ts": pa.array([(1704067200 + h * 3600 + 1) * 10**6 for h in hours], pa.timestamp("us")),
+        "user_id": [h % 5 for h in hours], "event_type": ["view"] * len(hours), "value": [1.0] * len(hours)}),
+        str(tmp_path / "events.parquet"))
+    got = stream_usage(spark, str(tmp_path)).filter("dimension = 'total'").collect()
+    assert sorted(r.hour for r in got) == [(1704067200 + h * 3600) * 1000 for h in hours[:-2]]
