@@ -6,8 +6,9 @@ stream and still picked up when a batch recomputes the range.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -119,25 +120,58 @@ def stream_deliveries(log: DataFrame, *, max_attempts: int = 5, lateness: str =
                           "delivered", "exhausted")
 
 
+FRAME_ROWS = 10_000
+
+
 def _keyed(stream: DataFrame, key: str, fold: Callable, output: str, state: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(
         fold, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def _slim(values: pd.Series) -> np.ndarray:
+    """Values as an array of numbers; objects only where they are no 64-bit integers."""
+    found = values.to_numpy()
+    if found.dtype == object:
+        try:
+            return np.array([int(v) for v in found], np.int64)
+        except (OverflowError, TypeError, ValueError):
+            pass
+    return found
+
+
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str], rows: int = FRAME_ROWS) -> Iterator[tuple[list, ...]]:
+    """A key's rows of one micro-batch by `seq`, as lists of at most `rows` values of each column.
+
+    What is held is a few bytes a row: the input goes as soon as its frame is taken over, and rows
+    become Python values one stretch at a time.
+    """
+    held: list[list[np.ndarray]] = [[] for _ in columns]
+    for frame in frames:
+        for column, parts in zip(columns, held):
+            parts.append(_slim(frame[column]))
+    arrays = []
+    for parts in held:
+        arrays.append(np.concatenate(parts))
+        parts.clear()
+    order = np.argsort(arrays[0])  # rows without a number come last
+    for at in range(0, len(order), rows):
+        yield tuple(a[order[at : at + rows]].tolist() for a in arrays)
+
+
 def stream_guard(submissions: DataFrame, *, bps: int = GUARD_BPS) -> DataFrame:
     """guard_replay on a stream: the state is the last accepted price per asset."""
 
     def fold(key, frames, state: GroupState):
         previous = int(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, text in zip(rows["seq"], rows["price"]):
-            ok = _within(int(text), previous, bps)
-            out.append((key[0], int(seq), ok))
-            if ok:
-                previous = int(text)
+        for seqs, prices in _in_order(frames, ["seq", "price"]):
+            accepted = []
+            for price in map(int, prices):
+                ok = _within(price, previous, bps)
+                accepted.append(ok)
+                if ok:
+                    previous = price
+            yield pd.DataFrame({"asset": key[0], "seq": [int(s) for s in seqs], "accepted": accepted})
         state.update((str(previous),))
-        yield pd.DataFrame(out, columns=["asset", "seq", "accepted"])
 
     slim = submissions.select("asset", "seq", F.col("price").cast("string").alias("price"))
     return _keyed(slim, "asset", fold, "asset string, seq bigint, accepted boolean", "previous string")
@@ -152,14 +186,14 @@ def stream_feed_breaker(
     def fold(key, frames, state: GroupState):
         name, wins, failures, at, trips = state.get if state.exists else (CLOSED, 0, 0, None, 0)
         now = (name, wins, failures, at)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, ts, ok in zip(rows["seq"].tolist(), rows["ts_ms"].tolist(), rows["ok"].tolist()):
-            now, allowed, more = _call(now, ts, ok, threshold, cooldown_ms, successes)
-            trips += more
-            out.append((key[0], seq, allowed, now[0], now[2], trips))
+        for seqs, times, oks in _in_order(frames, ["seq", "ts_ms", "ok"]):
+            out = []
+            for seq, ts, ok in zip(seqs, times, oks):
+                now, allowed, more = _call(now, ts, ok, threshold, cooldown_ms, successes)
+                trips += more
+                out.append((key[0], seq, allowed, now[0], now[2], trips))
+            yield pd.DataFrame(out, columns=["source", "seq", "allowed", "state", "failures", "trips"])
         state.update((*now, trips))
-        yield pd.DataFrame(out, columns=["source", "seq", "allowed", "state", "failures", "trips"])
 
     slim = calls.select("source", "seq", "ts_ms", "ok")
     return _keyed(slim, "source", fold,

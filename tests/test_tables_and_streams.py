@@ -1,5 +1,7 @@
+import tracemalloc
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,28 @@ def test_stream_replays_equal_batch(spark, data, tmp_path):
     assert got == {(r.seq, r.accepted) for r in sequential.guard_replay(data).select("seq", "accepted").collect()}
 
 
+def test_a_key_of_a_batch_is_held_in_few_bytes():
+    """Rows of one key in arrival order, out of seq order, as the guard and the feed breaker take them."""
+    rows, per = 200_000, 10_000
+
+    def frames():
+        for at in range(rows - per, -1, -per):
+            yield pd.DataFrame({"seq": range(at, at + per), "price": [str(10**12 + i) for i in range(at, at + per)]})
+
+    tracemalloc.start()
+    seen, wanted = 0, 0
+    for seqs, prices in jobs._in_order(frames(), ["seq", "price"]):
+        assert len(seqs) <= per and seqs == list(range(seen, seen + len(seqs)))
+        wanted += prices == [10**12 + s for s in seqs]
+        seen += len(seqs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (seen, wanted) == (rows, rows // per) and peak < 50 * rows
+    wide = pd.DataFrame({"seq": [3, 1, 2], "price": [str(10**30), "7", "-" + str(10**37)]})
+    assert [[int(p) for p in prices] for _, prices in jobs._in_order(iter([wide]), ["seq", "price"], 2)] == [
+        [7, -(10**37)], [10**30]]
+
+
 def archive_state(spark, path, cold):
     hot = {r.seq for r in spark.read.parquet(path).select("seq").collect()}
     schema = spark.read.parquet(path).drop("chunk").schema
