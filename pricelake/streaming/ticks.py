@@ -13,11 +13,13 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Context, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from pricelake.functions.decimals import middle, rescaled
+from pricelake.functions.decimals import WIDEST, middle, rescaled
 from pricelake.operators.alerts import DEVIATION_TEXT, DISAGREEMENT_TEXT, SOURCE_DOWN_TEXT, STALE_TEXT
 from pricelake.operators.breaker import DEVIATION_LIMIT_PCT, RECOVERY_SUCCESSES
 from pricelake.schemas import POLL_SECONDS, STALENESS_SECONDS
@@ -26,6 +28,7 @@ LATENESS_SECONDS = 120
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FRAME_ROWS = 10_000
 BLOCK_TICKS = 64
+PART_ROWS = 100_000  # input is dealt to blocks in stretches of about so many rows
 
 CONSENSUS = ("asset string, tick bigint, tick_time timestamp, price string, decimals int, sources array<string>, "
              "timestamp bigint, confidence double, level string, stale boolean, lowest double, highest double, "
@@ -67,10 +70,41 @@ def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
+          "array<string>": pa.list_(pa.string())}
+
+
+def _stretches(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames put together to at least `rows` rows."""
+    held, size = [], 0
+    for frame in frames:
+        held.append(frame)
+        size += len(frame)
+        if size >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    """As `to_pylist`, faster for plain values."""
+    plain = not column.null_count and not pa.types.is_list(column.type)
+    return column.to_numpy().tolist() if plain else column.to_pylist()
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 class _Ticked(StatefulProcessor):
     """What waits for its tick, by blocks of ticks, and the next tick to take.
 
-    A call to the state store costs more than a few rows, so a block is read and written as a whole.
+    A block is a list of parts, each the Arrow bytes of the rows that one stretch of input had for it. Parts
+    are only added until the block is taken, so the work grows with the rows, in whatever order they come.
     """
 
     fields: str  # of a waiting row, the tick first
@@ -79,9 +113,10 @@ class _Ticked(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.columns = _names(self.fields)
-        arrays = ", ".join(f"{part.split(None, 1)[0]} array<{part.split(None, 1)[1]}>" for part in self.fields.split(", "))
-        self.waiting = handle.getMapState("waiting", "block long", arrays)
+        kinds = [part.split(None, 1) for part in self.fields.split(", ")]
+        self.schema = pa.schema([(name, _ARROW[kind]) for name, kind in kinds])
+        self.parts = handle.getMapState("parts", "block long", "n long")
+        self.waiting = handle.getMapState("waiting", "block long, part long", "rows binary")
         self.clock = handle.getValueState("clock", "tick long")
 
     def _due_at(self, tick: int) -> int:
@@ -90,12 +125,19 @@ class _Ticked(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         first = None
-        for frame in rows:
-            for block, part in frame.groupby(frame["tick"] // BLOCK_TICKS, sort=False):
-                before = self.waiting.getValue((int(block),)) or [[] for _ in self.columns]
-                added = [[v.tolist() if hasattr(v, "tolist") else v for v in part[c].tolist()] for c in self.columns]
-                self.waiting.updateValue((int(block),), tuple(list(b) + a for b, a in zip(before, added)))
-            low = int(frame["tick"].min())
+        for frame in _stretches(rows, PART_ROWS):
+            frame = frame[frame["tick"].notna()]
+            if not len(frame):
+                continue
+            tick = frame["tick"].to_numpy().astype(np.int64)
+            order = np.argsort(tick, kind="stable")
+            block = tick[order] // BLOCK_TICKS
+            table = pa.table({
+                f.name: pa.array(frame[f.name].iloc[order], f.type, from_pandas=True) for f in self.schema}, self.schema)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges, edges[1:]):
+                self._add(int(block[a]), table.slice(a, b - a))
+            low = int(tick.min())
             first = low if first is None else min(first, low)
         if first is not None:
             clock = self.clock.get()
@@ -106,23 +148,39 @@ class _Ticked(StatefulProcessor):
                 self.handle.registerTimer(self._due_at(first))
         return iter(())
 
+    def _add(self, block: int, rows: pa.Table) -> None:
+        n = (self.parts.getValue((block,)) or (0,))[0]
+        self.waiting.updateValue((block, n), (_packed(rows),))
+        self.parts.updateValue((block,), (n + 1,))
+
+    def _leave(self, block: int) -> pa.Table | None:
+        """The rows of a block by tick, out of the state."""
+        held = self.parts.getValue((block,))
+        if held is None:
+            return None
+        found = []
+        for n in range(held[0]):
+            found.append(pa.ipc.open_stream(bytes(self.waiting.getValue((block, n))[0])).read_all())
+            self.waiting.removeKey((block, n))
+        self.parts.removeKey((block,))
+        table = pa.concat_tables(found)
+        order = np.argsort(table.column("tick").to_numpy(), kind="stable")
+        return table.take(pa.array(order)).combine_chunks()
+
     def _taken(self, ticks: range) -> Iterator[tuple[int, list[tuple]]]:
         """Every tick with its rows, which leave the state."""
         for block in range(ticks.start // BLOCK_TICKS, (ticks.stop - 1) // BLOCK_TICKS + 1 if ticks else 0):
-            held = self.waiting.getValue((block,))
-            rows: dict[int, list[tuple]] = {}
-            later = []
-            for row in zip(*held) if held else ():
-                if row[0] < ticks.stop:
-                    rows.setdefault(row[0], []).append(row[1:])
-                else:
-                    later.append(row)
-            if later:
-                self.waiting.updateValue((block,), tuple(map(list, zip(*later))))
-            elif held:
-                self.waiting.removeKey((block,))
-            for tick in range(max(ticks.start, block * BLOCK_TICKS), min(ticks.stop, (block + 1) * BLOCK_TICKS)):
-                yield tick, rows.get(tick, [])
+            span = range(max(ticks.start, block * BLOCK_TICKS), min(ticks.stop, (block + 1) * BLOCK_TICKS))
+            table = self._leave(block)
+            at = [0] * (len(span) + 1)
+            if table is not None:
+                # What is left of an earlier tick is not taken again.
+                at = np.searchsorted(table.column("tick").to_numpy(), [*span, span.stop]).tolist()
+                if at[-1] < len(table):
+                    self._add(block, table.slice(at[-1]))
+            for tick, a, b in zip(span, at, at[1:]):
+                part = table.slice(a, b - a) if a < b else None
+                yield tick, list(zip(*map(_values, part.columns[1:]))) if part else []
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         clock = self.clock.get()[0]
@@ -153,7 +211,9 @@ class TickConsensus(_Ticked):
 
     def rows_of(self, asset: str, ticks: range):
         known = {k[0]: list(v) for k, v in self.known.iterator()}
-        current = sorted(int(v[5]) for v in known.values() if v[5] is not None)
+        for entry in known.values():
+            entry[5] = None if entry[5] is None else int(entry[5])
+        current = sorted(v[5] for v in known.values() if v[5] is not None)
         changed: set[str] = set()
         for tick, rows in self._taken(ticks):
             polled: dict[str, tuple] = {}
@@ -170,7 +230,8 @@ class TickConsensus(_Ticked):
                     polled[source] = (*at, float(int(price)) / 10.0**decimals)
             yield self._decide(asset, tick, known, polled)
         for source in changed:
-            self.known.updateValue((source,), tuple(known[source]))
+            entry = known[source]
+            self.known.updateValue((source,), (*entry[:5], None if entry[5] is None else str(entry[5]), entry[6]))
 
     def _judge(self, entry, current: list[int], price: int, decimals: int):
         """(suspicious, last arrival, good readings since the last stray) after one more reading."""
@@ -180,16 +241,18 @@ class TickConsensus(_Ticked):
         if entry is not None and entry[5] is not None:
             # A price that fits no decimal leaves the one before it standing.
             if value is not None:
-                del current[bisect_left(current, int(entry[5]))]
+                del current[bisect_left(current, entry[5])]
         if value is not None:
             insort(current, value)
-        median, good = middle(current), None if entry is None else entry[6]
+        good = None if entry is None else entry[6]
         strayed = False
-        if value is not None and median is not None:
-            center = float(Decimal(median))
+        if value is not None and current:
+            low, high = current[(len(current) - 1) // 2], current[len(current) // 2]
+            # The double nearest to the exact median, none where `middle` has none.
+            center = (low + high) / 2 if max(abs(low), abs(high)) < WIDEST // 10 else 0
             strayed = center != 0 and abs(float(value) - center) / center * 100 > self.limit_pct
         good = 0 if strayed else None if good is None else good + 1
-        arrived = str(value) if value is not None else None if entry is None else entry[5]
+        arrived = value if value is not None else None if entry is None else entry[5]
         return good is not None and good < self.recovery, arrived, good
 
     def _decide(self, asset: str, tick: int, known: dict, polled: dict) -> tuple:

@@ -1,7 +1,9 @@
 """Streaming consensus, alerts and usage: the cut into micro-batches and restarts do not matter."""
 
 import os
+import pickle
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -153,3 +155,65 @@ def test_usage_plan_gives_every_hour(spark, tmp_path):
         str(tmp_path / "events.parquet"))
     got = stream_usage(spark, str(tmp_path)).filter("dimension = 'total'").collect()
     assert sorted(r.hour for r in got) == [(1704067200 + h * 3600) * 1000 for h in hours[:-2]]
+
+
+class _Store:
+    """A state variable in a dict, with the bytes that were written to it."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def getValue(self, key):
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.written += len(pickle.dumps(value))
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def iterator(self):
+        return iter(list(self.held.items()))
+
+    def get(self):
+        return self.held.get(())
+
+    def update(self, value):
+        self.held[()] = value
+
+
+class _Handle:
+    def __init__(self):
+        self.stores = []
+
+    def getMapState(self, *_):
+        self.stores.append(_Store())
+        return self.stores[-1]
+
+    getValueState = getMapState
+
+    def registerTimer(self, _):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_state_written_grows_with_the_rows(monkeypatch):
+    """Copies of one range of ticks, one after the other: waiting rows are not written again for each."""
+    monkeypatch.setattr(ticks, "PART_ROWS", 500, raising=False)
+    written = []
+    for copies in (4, 16):
+        operator, handle = ticks.TickConsensus(STALE, POLL, 90.0, 3, 8), _Handle()
+        operator.init(handle)
+        frames = (pd.DataFrame({
+            "asset": "A", "seq": [c * 500 + i for i in range(500)], "source": [f"s{i % 4}" for i in range(500)],
+            "price": [str(100 + i % 7) for i in range(500)], "decimals": 2, "timestamp": [i * 60 + 1 for i in range(500)],
+            "tick": [i // 60 + 1 for i in range(500)]}) for c in range(copies))
+        operator.handleInputRows(("A",), frames, None)
+        written.append(sum(s.written for s in handle.stores))
+    assert written[1] < 4.4 * written[0]
+    taken = [(tick, len(rows)) for tick, rows in operator._taken(range(1, 8))]
+    assert taken == [(t, 16 * 60) for t in range(1, 8)]
+    # What is beyond the ticks that were taken waits on; taken rows are gone.
+    assert [len(rows) for _, rows in operator._taken(range(1, 12))] == [0] * 7 + [16 * 60, 16 * 20, 0, 0]
