@@ -59,7 +59,7 @@ def shingles(block: tx.Block, width: int = WIDTH) -> tuple[np.ndarray, np.ndarra
 
 
 def _sign(batches):
-    for block in tx.blocks(batches, "text"):
+    for block in tx.blocks(batches, "text", tx.SMALL_BLOCK_BYTES):
         hashes, bounds = shingles(block)
         rows = len(bounds) - 1
         size = np.zeros(rows, np.int64)
@@ -91,7 +91,7 @@ def _sign(batches):
 
 
 def _sets(batches):
-    for block in tx.blocks(batches, "text"):
+    for block in tx.blocks(batches, "text", tx.SMALL_BLOCK_BYTES):
         hashes, bounds = shingles(block)
         rows = [np.unique(hashes[bounds[i]:bounds[i + 1]]) for i in range(len(bounds) - 1)]
         offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)

@@ -115,3 +115,22 @@ def test_real_documents(spark, sf):
     want = sorted((i, n, g, s, hashlib.sha256(rest).hexdigest()) for i, n, g, s, rest in brute(rows, 400))
     assert got == want
     assert sum(g for _, _, g, _, _ in got) > 0
+
+
+def test_scan_needs_little_memory():
+    """Eight megabytes of short texts and one long text: a task holds arrays of a small block only."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [rng.randbytes(1500).hex() for _ in range(2000)] + [rng.randbytes(1 << 20).hex()]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc", "mark", "text"])
+    tracemalloc.start()
+    windows = sum(sum(b.column("n").to_pylist()) for b in suffix._scan(150, 50)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert windows == sum(len(t) - 149 for t in texts)
+    assert peak < 150 << 20
